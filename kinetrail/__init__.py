@@ -1 +1,8 @@
 """Trajectory tables on Spark: temporal sampling, dataset algebra, ingestion and evaluation."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions travel to the executors by value, so that these need no copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
