@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, packing, quality, simhash
+from . import chat, mixing, packing, quality, simhash
 from .common import table
 
 
@@ -14,6 +14,16 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"), trusted)
 
 
+#: One more conversation, whose texts hold control strings of common templates.
+HARD = r"\### Assistant: </turn> ok"
+
+
+def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    hard = spark.range(1).select(F.explode(F.array(*[F.struct(F.lit(-7).cast("long").alias("conv_id"), F.lit(k).cast("long").alias("turn"), F.lit(r).alias("role"), F.lit(HARD).alias("text")) for k, r in enumerate(("user", "assistant"))])).alias("r")).select("r.*")
+    return chat.digests(chat.formatted(chat.records(rows.unionByName(hard))))
+
+
 def op3_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).drop("source")
 
@@ -28,5 +38,22 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op3_mixing_sources, op5_simhash_near_dedup, op7_best_fit_packing)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_chat_formatting, op3_mixing_sources, op5_simhash_near_dedup, op7_best_fit_packing)}
+OP2_SQL = r"""
+WITH every AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
+  UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
+), said AS (
+  SELECT conv_id, count(*) AS n_turns,
+    string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS turns,
+    coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '') AS loss,
+    CAST(sum(15 + length(role) + length(text)
+      + length(role || text) - length(replace(role || text, '\', ''))
+      + length(role || text) - length(replace(role || text, '<', ''))
+      + length(role) - length(replace(role, chr(10), ''))) AS BIGINT) AS formatted_chars
+  FROM every GROUP BY conv_id)
+SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256,
+  formatted_chars, 'messages' AS layout FROM said
+"""
+ORACLE_SQL: dict[str, str] = {"op2_chat_formatting": OP2_SQL}
