@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, mixing, packing, quality, simhash
+from . import chat, licenses, mixing, packing, quality, simhash
 from .common import table
 
 
@@ -38,7 +38,11 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_chat_formatting, op3_mixing_sources, op5_simhash_near_dedup, op7_best_fit_packing)}
+def op10_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_chat_formatting, op3_mixing_sources, op5_simhash_near_dedup, op7_best_fit_packing, op10_license_scans)}
 OP2_SQL = r"""
 WITH every AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
