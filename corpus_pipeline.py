@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinetrail.llm import quality
+from kinetrail.llm import mixing, packing, pii, quality, simhash
 from kinetrail.llm.common import table, written
 
 
@@ -15,8 +15,36 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.keep(docs, trusted)
 
 
-STAGES = [("quality rules", quality_rules)]
-#: Stages 1, 2 and 3 hash, cluster and learn in ways SQL cannot express; tests compare with brute force.
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group whose SimHash fingerprints connect."""
+    return simhash.one_each(docs)
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, personal data replaced by its kind; n_chars follows the text."""
+    return pii.masked(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+
+
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """What the mix takes: documents as often, or as much of them, as their source's target asks."""
+    return mixing.mixed(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Where each piece of each document lies in the packed sequences."""
+    import public_tokenizers
+
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("SimHash near-dedup", near_dedup),
+    ("PII", personal_data),
+    ("mixing sources", source_mix),
+    ("best-fit packing", best_fit_packing),
+]
+#: The stages hash, cluster, learn and tokenize in ways SQL cannot express; tests compare with brute force.
 ORACLE_SQL = None
 
 

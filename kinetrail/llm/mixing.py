@@ -12,7 +12,7 @@ modulo the number of blocks is below the rest, which is a permutation of the blo
 Sources are cut into shards by hash, so a source with most of the rows is many tasks.
 Null sources are a source of their own, null and empty texts have size 0 and take 0; repeated
 rows are laid one after the other. Without sizes all targets are 0. Reruns agree: the order is by
-hash, doc_id and size, and rows that tie in all three differ in nothing that is returned.
+a hash of doc_id and text, and rows that tie in it are alike.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import n_words_of, small, written
+from .common import n_words_of, small, words_of, written
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -82,10 +82,18 @@ def sainte_lague(votes: DataFrame, group: list[str], vote: str, seats: Column, o
     return stepped.groupBy(*votes.columns, "_n").agg(F.coalesce(F.sum("_step"), F.lit(0)).alias("_s")).withColumn("quota", F.col("_n") + F.col("_s")).drop("_n", "_s")
 
 
-def mix(docs: DataFrame, seed: int = SEED, block: int = BLOCK, shard: int = SHARD) -> DataFrame:
-    """doc_id, source, size, source_size, target and taken of every document."""
-    hashed = F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("size"))
-    sized = written(docs.select("doc_id", "source", n_words_of(F.col("text")).alias("size")))
+def _measured(docs: DataFrame, row: list[str], seed: int) -> DataFrame:
+    """``row`` columns as a struct, source, size and the hash that orders documents."""
+    return docs.select(
+        F.struct(*[docs[c] for c in row]).alias("row"),
+        docs["source"].alias("source"),
+        n_words_of(docs["text"]).alias("size"),
+        F.xxhash64(F.lit(seed), docs["doc_id"], docs["text"]).alias("hash"),
+    )
+
+
+def _mixed(sized: DataFrame, every: DataFrame, seed: int, block: int, shard: int) -> DataFrame:
+    """``every`` with source_size, target, full (whole passes), taken and how to tell chosen blocks."""
     sources = targets(written(sized.groupBy("source").agg(F.sum("size").alias("size"))))
     sources = sources.withColumn("blocks", F.greatest(F.round(F.sum("target").over(Window.partitionBy()) / block), F.lit(0)).cast("long"))
     sources = written(
@@ -93,28 +101,55 @@ def mix(docs: DataFrame, seed: int = SEED, block: int = BLOCK, shard: int = SHAR
         .withColumn("shards", F.greatest(F.ceil(F.col("size") / shard), F.lit(1)).cast("long"))
         .select(F.col("source").alias("_source"), F.col("size").alias("source_size"), "target", F.col("quota").alias("source_quota"), "shards")
     )
-    placed = sized.join(small(sources, BROADCAST_ROWS), F.col("source").eqNullSafe(F.col("_source"))).withColumn(
-        "shard", F.pmod(F.shiftright(hashed, 20), F.col("shards"))
-    )
+    sources = small(sources, BROADCAST_ROWS)
+
+    def placed(rows: DataFrame) -> DataFrame:
+        met = rows.join(sources, F.col("source").eqNullSafe(F.col("_source")))
+        return met.withColumn("shard", F.pmod(F.shiftright("hash", 20), F.col("shards")))
+
     keys = ["_source", "shard"]
-    totals = written(placed.groupBy(*keys).agg(F.sum("size").alias("shard_size"), F.max("source_quota").alias("source_quota")))
+    totals = written(placed(sized).groupBy(*keys).agg(F.sum("size").alias("shard_size"), F.max("source_quota").alias("source_quota")))
     quotas = sainte_lague(totals, ["_source"], "shard_size", F.col("source_quota"), ["shard"])
-    n_blocks = F.ceil(F.col("shard_size") / block).cast("long")
     quotas = written(
-        quotas.withColumn("n_blocks", n_blocks)
+        quotas.withColumn("n_blocks", F.ceil(F.col("shard_size") / block).cast("long"))
         .withColumn("quota", F.least(F.col("quota"), MOST * F.col("n_blocks")))
         .select(*[F.col(c).alias(f"q{c}") for c in keys], "n_blocks", "quota")
     )
-    laid = Window.partitionBy("_source", "shard").orderBy(hashed, "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    at = placed.withColumn("start", F.coalesce(F.sum("size").over(laid), F.lit(0)).cast("long"))
+    laid = Window.partitionBy("_source", "shard").orderBy("hash", "size").rowsBetween(Window.unboundedPreceding, -1)
+    at = placed(every).withColumn("start", F.coalesce(F.sum("size").over(laid), F.lit(0)).cast("long"))
     met = at.join(small(quotas, BROADCAST_ROWS), F.col("_source").eqNullSafe(F.col("q_source")) & (F.col("shard") == F.col("qshard")))
+    met = (
+        met.withColumn("rest", F.pmod("quota", "n_blocks"))
+        .withColumn("offset", F.pmod(F.xxhash64(F.lit(seed), "_source", "shard"), F.col("n_blocks")))
+        .withColumn("full", F.when(F.col("size") == 0, 0).otherwise(F.floor(F.col("quota") / F.col("n_blocks"))).cast("long"))
+    )
     end = F.col("start") + F.col("size")
-    rest = F.pmod(F.col("quota"), F.col("n_blocks"))
-    offset = F.pmod(F.xxhash64(F.lit(seed), "_source", "shard"), F.col("n_blocks"))
     mine = F.sequence(F.floor(F.col("start") / block), F.floor((end - 1) / block))
-    chosen = F.filter(mine, lambda b: F.pmod(b * F.lit(PRIME).cast("long") + offset, F.col("n_blocks")) < rest)
     part = F.aggregate(
-        chosen, F.lit(0).cast("long"), lambda acc, b: acc + F.least(end, (b + 1) * block) - F.greatest(F.col("start"), b * block)
+        F.filter(mine, _chosen), F.lit(0).cast("long"), lambda acc, b: acc + F.least(end, (b + 1) * block) - F.greatest(F.col("start"), b * block)
     )
-    taken = F.when(F.col("size") == 0, F.lit(0)).otherwise(F.floor(F.col("quota") / F.col("n_blocks")) * F.col("size") + part).cast("long")
-    return met.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"))
+    part = F.when(F.col("size") == 0, F.lit(0)).otherwise(part)
+    return met.withColumn("taken", (F.col("full") * F.col("size") + part).cast("long"))
+
+
+def _chosen(block: Column) -> Column:
+    return F.pmod(block * F.lit(PRIME).cast("long") + F.col("offset"), F.col("n_blocks")) < F.col("rest")
+
+
+def mix(docs: DataFrame, seed: int = SEED, block: int = BLOCK, shard: int = SHARD) -> DataFrame:
+    """doc_id, source, size, source_size, target and taken of every document."""
+    sized = written(_measured(docs, ["doc_id"], seed))
+    done = _mixed(sized, sized, seed, block, shard)
+    return done.select("row.doc_id", "source", "size", "source_size", "target", "taken")
+
+
+def mixed(docs: DataFrame, seed: int = SEED, block: int = BLOCK, shard: int = SHARD) -> DataFrame:
+    """The mix itself, columns of ``docs``: a row for each whole pass over a document, and one with
+    the words of its further chosen blocks, joined by spaces. Documents that nothing is taken of go."""
+    sized = written(_measured(docs, ["doc_id"], seed))
+    done = _mixed(sized, _measured(docs, docs.columns, seed), seed, block, shard)
+    words = F.filter(words_of(F.col("row.text")), lambda w, i: _chosen(F.floor((F.col("start") + i) / block)))
+    more = F.when(F.col("taken") > F.col("full") * F.col("size"), F.array(F.array_join(words, " "))).otherwise(F.array().cast("array<string>"))
+    texts = F.concat(F.array_repeat(F.col("row.text"), F.col("full").cast("int")), more)
+    rows = done.select("row", F.explode(texts).alias("text"))
+    return rows.select(*[F.col("text") if c == "text" else F.col("row")[c].alias(c) for c in docs.columns])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, licenses, mixing, packing, quality, simhash
+from . import chat, licenses, mixing, packing, pii, quality, simhash
 from .common import table
 
 
@@ -28,6 +28,10 @@ def op3_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).drop("source")
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.detect(table(spark, sf_dir, "documents"))
+
+
 def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash(table(spark, sf_dir, "documents"))
 
@@ -42,7 +46,7 @@ def op10_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_chat_formatting, op3_mixing_sources, op5_simhash_near_dedup, op7_best_fit_packing, op10_license_scans)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_chat_formatting, op3_mixing_sources, op4_pii, op5_simhash_near_dedup, op7_best_fit_packing, op10_license_scans)}
 OP2_SQL = r"""
 WITH every AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations

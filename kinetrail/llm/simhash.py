@@ -25,7 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import components, written
@@ -208,10 +208,10 @@ def link(classes: DataFrame, max_bits: int = MAX_BITS, run: int = RUN) -> DataFr
     return direct.unionAll(cut.mapInPandas(_block_links(max_bits), "a long, b long")).distinct()
 
 
-def grouped(docs: DataFrame, fp: Column, node: str = "doc_id") -> DataFrame:
-    """(node, fp, component_id) for every row; component_id is the smallest node in reach."""
-    marked = written(docs.select(F.col(node).alias("node"), fp.alias("fp")))
-    classes = written(marked.groupBy("fp").agg(F.min("node").alias("rep")))
+def grouped(docs: DataFrame, fp: Column) -> DataFrame:
+    """(doc_id, text_hash, fp, component_id) for every row; component_id is the smallest doc_id in reach."""
+    marked = written(docs.select(docs["doc_id"].alias("doc_id"), F.xxhash64(docs["text"]).alias("text_hash"), fp.alias("fp")))
+    classes = written(marked.groupBy("fp").agg(F.min("doc_id").alias("rep")))
     links = link(classes)
     ends = written(
         links.join(classes.select(F.col("fp").alias("a"), F.col("rep").alias("ra")), "a")
@@ -220,12 +220,24 @@ def grouped(docs: DataFrame, fp: Column, node: str = "doc_id") -> DataFrame:
     )
     found = components(ends, "ra", "rb")
     united = written(
-        classes.join(found, F.col("rep") == F.col("node"), "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
+        classes.join(found, F.col("rep") == F.col("node"), "left").select(F.col("fp").alias("_fp"), F.coalesce("component", "rep").alias("component_id"))
     )
-    return marked.join(united.withColumnRenamed("fp", "_fp"), F.col("fp") == F.col("_fp")).select("node", "fp", "component_id")
+    return marked.join(united, F.col("fp") == F.col("_fp")).drop("_fp")
 
 
 def simhash(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id of every document."""
-    found = grouped(docs.select("doc_id", "text"), fingerprints("text"))
-    return found.select(F.col("node").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    found = grouped(docs, fingerprints(docs["text"]))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def one_each(docs: DataFrame) -> DataFrame:
+    """The row with the smallest doc_id of each component, all columns; of rows that share it, one."""
+    found = grouped(docs, fingerprints(docs["text"]))
+    first = Window.partitionBy("doc_id", "component_id").orderBy("text_hash")
+    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).distinct().withColumn("n", F.row_number().over(first)).where("n = 1")
+    keys = written(kept.select(F.col("doc_id").alias("d"), F.col("text_hash").alias("h")))
+    rows = docs.select(F.struct(*docs.columns).alias("row")).withColumn("h", F.xxhash64("row.text"))
+    met = rows.join(keys.withColumnRenamed("h", "_h"), F.col("row.doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("_h")))
+    alike = Window.partitionBy("d", "h").orderBy(F.lit(0))
+    return met.withColumn("n", F.row_number().over(alike)).where("n = 1").select("row.*")
