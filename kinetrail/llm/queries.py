@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, licenses, mixing, packing, pii, quality, simhash
+from . import chat, licenses, mixing, packing, pii, quality, simhash, suffixes
 from .common import table
 
 
@@ -36,6 +36,10 @@ def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash(table(spark, sf_dir, "documents"))
 
 
+def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.digested(table(spark, sf_dir, "documents"))
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -46,7 +50,7 @@ def op10_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_chat_formatting, op3_mixing_sources, op4_pii, op5_simhash_near_dedup, op7_best_fit_packing, op10_license_scans)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_chat_formatting, op3_mixing_sources, op4_pii, op5_simhash_near_dedup, op6_suffix_array_dedup, op7_best_fit_packing, op10_license_scans)}
 OP2_SQL = r"""
 WITH every AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
