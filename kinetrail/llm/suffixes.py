@@ -30,7 +30,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import dropped, written
@@ -143,7 +143,7 @@ KIND = "kind string, doc_id long, hash long, lead long, gram long, context long,
 
 
 def neighbours(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """A bucket's suffixes that repeat whole ("full"), must be compared ("some"), or touch its bounds ("edge")."""
+    """A bucket's suffixes that repeat whole ("full"), must be compared ("some"), or touch its bounds ("edge", how many, whether its group has others)."""
     frames = list(batches)
     if not sum(map(len, frames)):
         return
@@ -156,24 +156,30 @@ def neighbours(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     g, c = np.cumsum(group) - 1, np.cumsum(own) - 1
     several = np.bincount(g[own])[g] > 1
     twice = np.bincount(c)[c] > 1
-    edge = (g == 0) | (g == g[-1])
-    for kind, rows in (("edge", edge), ("full", twice & ~edge), ("some", several & (own | ~twice) & ~edge)):
+    edge = (c == 0) | (c == c[-1])
+    kinds = [("full", twice), ("some", several & own & ~edge)]
+    for n, counted in ((1, ~twice), (2, twice)):
+        for s, seen in (("", ~several), ("s", several)):
+            kinds.append((f"edge{n}{s}", edge & own & counted & seen))
+    for kind, rows in kinds:
         found = bucket.take(order[rows])
         for k in range(0, len(found), 50_000):
             yield found.iloc[k : k + 50_000].assign(kind=kind)
 
 
 def _across(edges: DataFrame) -> DataFrame:
-    """The same verdict for groups at the buckets' bounds, which may lie in several buckets."""
-    keys = ["lead", "gram", "context"]
+    """Verdicts on the contexts at buckets' bounds: one row for each context and bound, so a small table."""
+    group, same = Window.partitionBy("lead", "gram"), Window.partitionBy("lead", "gram", "context")
     me = F.struct("doc_id", "hash", "at")
-    same = written(edges.groupBy(*keys).agg(F.count("*").alias("n"), F.min(me).alias("head")))
-    group = written(same.groupBy("lead", "gram").agg(F.count("*").alias("contexts")))
-    judged = written(same.join(group, ["lead", "gram"]).where("n > 1 or contexts > 1").select(*[F.col(k).alias(f"_{k}") for k in keys], "n", "contexts", "head"))
-    met = edges.drop("kind").join(judged, [F.col(k) == F.col(f"_{k}") for k in keys])
-    some = (F.col("contexts") > 1) & ((F.col("n") == 1) | (F.col("head") == me))
-    kinds = F.array_compact(F.array(F.when(F.col("n") > 1, F.lit("full")), F.when(some, F.lit("some"))))
-    return met.select(F.explode(kinds).alias("kind"), "doc_id", "hash", "lead", "gram", "context", "at", "first", "last")
+    known = (
+        edges.withColumn("n", F.sum(F.substring("kind", 5, 1).cast("int")).over(same))
+        .withColumn("several", (F.max(F.col("kind").endswith("s")).over(group)) | (F.min("context").over(group) != F.max("context").over(group)))
+        .withColumn("is_head", F.min(me).over(same) == me)
+    )
+    # A context of several rows in its bucket is "full" there already.
+    kinds = F.array(F.when((F.col("n") > 1) & F.col("kind").startswith("edge1"), F.lit("full")), F.when(F.col("several") & F.col("is_head"), F.lit("some")))
+    judged = known.withColumn("kind", F.explode(F.array_compact(kinds)))
+    return judged.select("kind", "doc_id", "hash", "lead", "gram", "context", "at", "first", "last")
 
 
 def blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -255,8 +261,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     ranged = found.repartitionByRange(n, "lead", "gram", "context", "doc_id", "at")
     judged = written(ranged.mapInPandas(neighbours, KIND))
     dropped(found)
-    every = judged.where("kind != 'edge'").unionByName(_across(judged.where("kind = 'edge'")))
-    every = written(every)
+    every = written(judged.where("kind not like 'edge%'").unionByName(_across(judged.where("kind like 'edge%'"))))
     wanted = every.where("kind = 'some'").groupBy("doc_id", "hash").agg(F.collect_set(F.struct("at", "first", "last")).alias("wanted"))
     wanted = wanted.select(F.col("doc_id").alias("_doc"), F.col("hash").alias("_hash"), "wanted")
     # Of rows that repeat a document whole, "full" says all; one stands for them here.
