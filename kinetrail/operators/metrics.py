@@ -66,7 +66,8 @@ def average_precision(curve: DataFrame, keys: list[str], mode: str = "area") ->
         points = [F.coalesce(F.max(F.when(F.col("r") >= t / 10, F.col("p"))), F.lit(0.0)) for t in range(11)]
         return curve.groupBy(*keys).agg((sum(points[1:], points[0]) / 11).alias("ap"), F.max("r").alias("recall"))
     of = Window.partitionBy(*keys).orderBy("_k")
-    ahead = of.rowsBetween(0, Window.unboundedFollowing)
+    # From the far end, so that the maximum runs along; a frame open to the end would be computed anew for each row.
+    ahead = Window.partitionBy(*keys).orderBy(F.col("_k").desc()).rowsBetween(Window.unboundedPreceding, 0)
     steps = curve.withColumn("_env", F.max("p").over(ahead)).withColumn("_step", F.col("r") - F.coalesce(F.lag("r").over(of), F.lit(0.0)))
     return steps.groupBy(*keys).agg(F.sum(F.col("_env") * F.col("_step")).alias("ap"), F.max("r").alias("recall"))
 

@@ -129,7 +129,9 @@ def nearest(base: DataFrame, stream: DataFrame, value: str, by: list[str], time:
     first = both.withColumn("_seen", F.when(~F.col("_base"), F.min_by(F.struct("_t", "_v"), F.struct("_v")).over(Window.partitionBy(*by, time, "_base"))).otherwise(seen))
     order = Window.partitionBy(*by).orderBy(time, "_base")
     back = F.last("_seen", True).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    ahead = F.first("_seen", True).over(order.rowsBetween(1, Window.unboundedFollowing))
+    # The first after a row is the last before it in falling order: a frame open to the end would be computed anew for each row.
+    falling = Window.partitionBy(*by).orderBy(F.col(time).desc(), F.col("_base").desc())
+    ahead = F.last("_seen", True).over(falling.rowsBetween(Window.unboundedPreceding, -1))
     met = first.withColumn("_back", back).withColumn("_ahead", ahead).where("_base")
     near = F.when(F.col("_back").isNull() | (F.col("_ahead._t") - F.col(time) < F.col(time) - F.col("_back._t")), F.col("_ahead")).otherwise(F.col("_back"))
     return met.withColumn("_near", near).select("_row.*", F.col("_near._v").alias(value), F.abs(F.col("_near._t") - F.col(time)).alias("apart"))
