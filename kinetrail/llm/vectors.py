@@ -10,7 +10,8 @@ doubles until the recall reaches TARGET. Candidates are verified by cosine in do
 
 A task holds one shard's graph and a block of queries. It returns for each query how many
 rows it links to, and links that connect what is connected: one a query and one a member, not
-all pairs. SHARDS bounds a graph's memory (about 700 bytes a class); raise it with the table.
+all pairs. There are SHARDS shards at least, and more so that none has over about SHARD_ROWS
+classes, which bounds a graph's memory (about 700 bytes a class); slices grow alike.
 
 Null, empty, zero, or otherwise unusable vectors (null or non-finite components) link with
 nothing; vectors of other lengths than the most frequent only with those of their own length.
@@ -33,6 +34,7 @@ from .common import components, written
 THRESHOLD = 0.9
 SHARDS = 8
 SLICES = 4
+SHARD_ROWS = 200_000
 DEGREE = 16
 BUILD_BEAM = 64
 BEAM = 64
@@ -325,10 +327,12 @@ def _ask(graph: list, queries, threshold: float) -> pd.DataFrame:
     return pd.DataFrame({"class": asker.astype(str), "linked": linked, "n": counts})
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, shards: int = SHARDS, slices: int = SLICES) -> DataFrame:
+def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, shards: int = SHARDS, slices: int = SLICES, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """vec_id, n_links, component_id, kept of every vector."""
     known = written(vectors.select("vec_id", "embedding").mapInPandas(_classes, "vec_id long, class string, unit binary"))
     classes = written(known.where("class is not null").groupBy("class").agg(F.count("*").alias("rows"), F.min("vec_id").alias("least"), F.first("unit").alias("unit")))
+    many = -(-classes.count() // shard_rows)
+    shards, slices = max(shards, many), max(slices, many)
     sharded = classes.withColumn("shard", F.pmod(F.xxhash64("class"), F.lit(shards)).cast("int"))
     graphs = written(sharded.select("shard", "class", "rows", "unit").groupBy("shard").applyInPandas(_index, "shard int, size int, blob binary"))
 
