@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kinetrail.operators.sequences import let
+
 
 def _sum(parts: list[Column]) -> Column:
     return sum(parts[1:], parts[0])
@@ -15,33 +17,45 @@ def _sum(parts: list[Column]) -> Column:
 def product(a: Column, b: Column, n: int = 4) -> Column:
     """Matrix product of two n x n matrices as flat arrays."""
     at = lambda m, i, j: F.get(m, F.lit(i * n + j))
-    return F.array(*[_sum([at(a, i, k) * at(b, k, j) for k in range(n)]) for i in range(n) for j in range(n)])
+    cells = lambda x, y: F.array(*[_sum([at(x, i, k) * at(y, k, j) for k in range(n)]) for i in range(n) for j in range(n)])
+    return let(a, lambda x: let(b, lambda y: cells(x, y)))  # bound once: nested products would grow by their cells else
 
 
 def inverse_rigid(m: Column) -> Column:
     """Inverse of a 4x4 rigid transform."""
-    r = [[F.get(m, F.lit(4 * j + i)) for j in range(3)] for i in range(3)]
-    t = [F.get(m, F.lit(4 * i + 3)) for i in range(3)]
-    rows = [[*r[i], -_sum([r[i][k] * t[k] for k in range(3)])] for i in range(3)]
-    return F.array(*[x for row in rows for x in row], *map(F.lit, (0.0, 0.0, 0.0, 1.0)))
+
+    def cells(m: Column) -> Column:
+        r = [[F.get(m, F.lit(4 * j + i)) for j in range(3)] for i in range(3)]
+        t = [F.get(m, F.lit(4 * i + 3)) for i in range(3)]
+        rows = [[*r[i], -_sum([r[i][k] * t[k] for k in range(3)])] for i in range(3)]
+        return F.array(*[x for row in rows for x in row], *map(F.lit, (0.0, 0.0, 0.0, 1.0)))
+
+    return let(m, cells)
 
 
 def quaternion_matrix(q: Column) -> Column:
     """3x3 rotation of a quaternion, which need not be of unit length."""
-    w, x, y, z = (F.get(q, F.lit(i)) for i in range(4))
-    s = 2 / (w * w + x * x + y * y + z * z)
-    return F.array(
-        1 - s * (y * y + z * z), s * (x * y - w * z), s * (x * z + w * y),
-        s * (x * y + w * z), 1 - s * (x * x + z * z), s * (y * z - w * x),
-        s * (x * z - w * y), s * (y * z + w * x), 1 - s * (x * x + y * y),
-    )
+
+    def cells(q: Column) -> Column:
+        w, x, y, z = (F.get(q, F.lit(i)) for i in range(4))
+        s = 2 / (w * w + x * x + y * y + z * z)
+        return F.array(
+            1 - s * (y * y + z * z), s * (x * y - w * z), s * (x * z + w * y),
+            s * (x * y + w * z), 1 - s * (x * x + z * z), s * (y * z - w * x),
+            s * (x * z - w * y), s * (y * z + w * x), 1 - s * (x * x + y * y),
+        )
+
+    return let(q, cells)
 
 
 def pose_matrix(xyz: Column, q: Column) -> Column:
     """4x4 transform of a position and a quaternion."""
-    r = quaternion_matrix(q)
-    rows = [x for i in range(3) for x in (*[F.get(r, F.lit(3 * i + j)) for j in range(3)], F.get(xyz, F.lit(i)))]
-    return F.array(*rows, *map(F.lit, (0.0, 0.0, 0.0, 1.0)))
+
+    def cells(r: Column) -> Column:
+        rows = [x for i in range(3) for x in (*[F.get(r, F.lit(3 * i + j)) for j in range(3)], F.get(xyz, F.lit(i)))]
+        return F.array(*rows, *map(F.lit, (0.0, 0.0, 0.0, 1.0)))
+
+    return let(quaternion_matrix(q), cells)
 
 
 def euler_matrix(angles: list[Column], order: str = "ZXY") -> Column:
@@ -79,9 +93,13 @@ def back_projected(u: Column, v: Column, depth: Column, fx: float, fy: float, cx
 
 def angle_to_vertical(matrix: Column) -> Column:
     """Angle in degrees between a pose's z axis and straight down."""
-    z = [F.get(matrix, F.lit(4 * i + 2)) for i in range(3)]
-    norm = F.sqrt(_sum([x * x for x in z]))
-    return F.degrees(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), -z[2] / norm))))
+
+    def angle(m: Column) -> Column:
+        z = [F.get(m, F.lit(4 * i + 2)) for i in range(3)]
+        norm = F.sqrt(_sum([x * x for x in z]))
+        return F.degrees(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), -z[2] / norm))))
+
+    return let(matrix, angle)
 
 
 def centre_distance(a: list[Column], b: list[Column]) -> Column:
