@@ -151,3 +151,14 @@ def top_scores(scores: DataFrame, by: str, column: str, top: int, threshold: flo
     best = flat.withColumn("_rank", F.row_number().over(Window.partitionBy(by).orderBy(F.col("logit").desc(), "query", "label"))).where(F.col("_rank") <= top)
     out = best.select(by, "query", "label", (1 / (1 + F.exp(-F.col("logit")))).alias("score"), F.col("_rank").alias("rank"))
     return out if threshold is None else out.where(F.col("score") >= threshold)
+
+
+def clusters(rows: DataFrame, column: str, k: int, seed: int) -> DataFrame:
+    """(cluster, n, centre): k-means of an array column; distances and sums stay on the executors."""
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.functions import array_to_vector
+
+    vectors = rows.select(array_to_vector(F.col(column).cast("array<double>")).alias("v"))
+    model = KMeans(k=k, seed=seed, featuresCol="v", predictionCol="cluster").fit(vectors)
+    centres = F.array(*[F.array(*map(F.lit, c.tolist())) for c in model.clusterCenters()])
+    return model.transform(vectors).groupBy("cluster").agg(F.count("*").alias("n")).withColumn("centre", F.get(centres, F.col("cluster")))

@@ -162,7 +162,7 @@ def t1_batch_by_count(spark, sf_dir):
 
 @query(f"SELECT event_id, CAST(batch AS BIGINT) AS batch FROM ({_BATCH})")
 def t2_batch_state_machine(spark, sf_dir):
-    """The state machine with least = most = 3 and no lookahead, which a running count can check."""
+    """The state machine with least = most = 3, which a running count can check."""
     return messages.batched(_log(spark, sf_dir), (messages.Monitor("view", 3, 3, 10**18),), "user_id", ["log_time", "event_id"]).select("event_id", "batch")
 
 
