@@ -83,3 +83,12 @@ def test_empty_null_and_stage_columns(spark):
     masked = pii.masked(docs)
     assert masked.columns == docs.columns
     assert sorted((r.doc_id, r.text or "") for r in masked.collect()) == [(1, ""), (2, ""), (2, "mail [EMAIL]")]
+
+
+def test_secrets_of_any_length(spark):
+    rng = random.Random(12)
+    key = lambda n: "".join(rng.choice("abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ23456789+/") for _ in range(n))
+    rows = [(k, f"private key: {key(n)}= end", "en", "x", 0) for k, n in enumerate([16, 40, 511, 512, 513, 1600, 100_000] * 6)]
+    rows += [(len(rows) + k, f"a word like sectionnnnnnnnnnnnnnnnnn{k} here", "en", "x", 0) for k in range(42)]
+    masked = {r.doc_id: r.text for r in pii.masked(table(spark, rows)).collect()}
+    assert all(masked[k] == ("private key: [SECRET] end" if k < 42 else rows[k][1]) for k in range(84))
