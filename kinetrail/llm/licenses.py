@@ -9,7 +9,7 @@ distinct template grams, over all of the template's, must reach ``LEAST`` within
 most STRETCH times the template's words. Everything is DataFrame expressions.
 
 Base phrases are found by their words in sequence and always label; verified templates add
-labels. Null texts are empty: no words, null first and last, empty labels, score 0. Rows that
+labels. A null doc_id stays null. Null texts are empty: no words, null first and last, empty labels, score 0. Rows that
 repeat get the same result each: hits are kept by doc_id and a hash of the text.
 """
 
@@ -65,7 +65,9 @@ def template_grams(spark: SparkSession, templates: tuple = TEMPLATES, k: int = K
 
 def verified(docs: DataFrame, templates: tuple = TEMPLATES, k: int = K) -> DataFrame:
     """(doc_id, text_hash, template, label, first, last, coverage): template passages in texts, words first to last."""
-    keyed = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.posexplode(let(words_of(F.col("text")), lambda w: grams(w, k))).alias("pos", "gram"))
+    # Hashed before it is exploded: what stands beside a generator is computed for each row it makes.
+    hashed = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), let(words_of(F.col("text")), lambda w: grams(w, k)).alias("grams"))
+    keyed = hashed.select("doc_id", "text_hash", F.posexplode("grams").alias("pos", "gram"))
     hits = keyed.join(F.broadcast(template_grams(docs.sparkSession, templates, k)), "gram")  # the templates' size is constant
     diagonal = hits.groupBy("doc_id", "text_hash", "template", "label", "n_grams", "n_template_words", (F.col("pos") - F.col("at")).alias("diagonal")).agg(
         F.collect_set("at").alias("places"), F.min("pos").alias("low"), F.max("pos").alias("high")

@@ -3,14 +3,16 @@
 Sources in code point order (null last) get the weights in turn; targets share ``share`` of
 all sizes by weight, and stop at ``most`` times their source's size (the rest is reshared, in
 closed form over sources sorted by the ratio of limit to weight). A target is cut into blocks
-of ``block`` tokens, apportioned to sources, and each source's blocks to its shards, by the
-highest quotients votes / (2k - 1). A shard holds the source's documents whose seeded hash
-falls to it, about ``shard`` tokens, laid end to end in hash order; its quota takes all blocks
-as often as it can and the rest in a seeded order: block b is chosen if b * PRIME + offset
-modulo the number of blocks is below the rest, which is a permutation of the blocks.
+of ``block`` tokens, apportioned to sources, each source's blocks to its groups of ``GROUP`` shards
+and a group's to its shards, by the highest quotients votes / (2k - 1). A shard holds the
+source's documents whose seeded hash falls to it, about ``shard`` tokens, laid end to end in
+hash order. Its quota takes all blocks as often as it can, and the rest is a run of blocks that
+begins at a seeded one and goes on at the first behind the last: documents lie there in random
+order, and all but those at the run's ends are taken whole. A quota is at most twice a shard's
+blocks; what rounding gives beyond that, less than a block, is not taken.
 
 Sources are cut into shards by hash, so a source with most of the rows is many tasks.
-Null sources are a source of their own, null and empty texts have size 0 and take 0; repeated
+Null sources are a source of their own, a null doc_id is like any other, null and empty texts have size 0 and take 0; repeated
 rows are laid one after the other. Without sizes all targets are 0. Reruns agree: the order is by
 a hash of doc_id and text, and rows that tie in it are alike.
 """
@@ -20,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import n_words_of, small, words_of, written
+from .common import SPACE_CHARS, SPACES, n_words_of, small, written
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -28,8 +30,8 @@ MOST = 2
 BLOCK = 16
 SHARD = 200_000
 SEED = 7
-#: Larger than any shard's number of blocks, and prime, so coprime to it.
-PRIME = 2_147_483_647
+#: Shards that are ranked together; so are a source's groups.
+GROUP = 1_000
 #: Shard and source rows are broadcast up to this many, and joined by a shuffle beyond.
 BROADCAST_ROWS = 20_000
 
@@ -109,7 +111,12 @@ def _mixed(sized: DataFrame, every: DataFrame, seed: int, block: int, shard: int
 
     keys = ["_source", "shard"]
     totals = written(placed(sized).groupBy(*keys).agg(F.sum("size").alias("shard_size"), F.max("source_quota").alias("source_quota")))
-    quotas = sainte_lague(totals, ["_source"], "shard_size", F.col("source_quota"), ["shard"])
+    totals = totals.withColumn("group", F.floor(F.col("shard") / GROUP))
+    groups = totals.groupBy("_source", "group").agg(F.sum("shard_size").alias("group_size"), F.max("source_quota").alias("source_quota"))
+    groups = sainte_lague(groups, ["_source"], "group_size", F.col("source_quota"), ["group"])
+    groups = written(groups.select(F.col("_source").alias("gsource"), F.col("group").alias("ggroup"), F.col("quota").alias("group_quota")))
+    totals = totals.join(groups, F.col("_source").eqNullSafe(F.col("gsource")) & (F.col("group") == F.col("ggroup"))).drop("gsource", "ggroup")
+    quotas = sainte_lague(totals, ["_source", "group"], "shard_size", F.col("group_quota"), ["shard"])
     quotas = written(
         quotas.withColumn("n_blocks", F.ceil(F.col("shard_size") / block).cast("long"))
         .withColumn("quota", F.least(F.col("quota"), MOST * F.col("n_blocks")))
@@ -119,7 +126,8 @@ def _mixed(sized: DataFrame, every: DataFrame, seed: int, block: int, shard: int
     at = placed(every).withColumn("start", F.coalesce(F.sum("size").over(laid), F.lit(0)).cast("long"))
     met = at.join(small(quotas, BROADCAST_ROWS), F.col("_source").eqNullSafe(F.col("q_source")) & (F.col("shard") == F.col("qshard")))
     met = (
-        met.withColumn("rest", F.pmod("quota", "n_blocks"))
+        met.withColumn("n_blocks", F.greatest("n_blocks", F.lit(1)))  # a shard without words takes none
+        .withColumn("rest", F.pmod("quota", "n_blocks"))
         .withColumn("offset", F.pmod(F.xxhash64(F.lit(seed), "_source", "shard"), F.col("n_blocks")))
         .withColumn("full", F.when(F.col("size") == 0, 0).otherwise(F.floor(F.col("quota") / F.col("n_blocks"))).cast("long"))
     )
@@ -133,7 +141,7 @@ def _mixed(sized: DataFrame, every: DataFrame, seed: int, block: int, shard: int
 
 
 def _chosen(block: Column) -> Column:
-    return F.pmod(block * F.lit(PRIME).cast("long") + F.col("offset"), F.col("n_blocks")) < F.col("rest")
+    return F.pmod(block - F.col("offset"), F.col("n_blocks")) < F.col("rest")
 
 
 def mix(docs: DataFrame, seed: int = SEED, block: int = BLOCK, shard: int = SHARD) -> DataFrame:
@@ -145,11 +153,14 @@ def mix(docs: DataFrame, seed: int = SEED, block: int = BLOCK, shard: int = SHAR
 
 def mixed(docs: DataFrame, seed: int = SEED, block: int = BLOCK, shard: int = SHARD) -> DataFrame:
     """The mix itself, columns of ``docs``: a row for each whole pass over a document, and one with
-    the words of its further chosen blocks, joined by spaces. Documents that nothing is taken of go."""
+    the words of its further chosen blocks, with what stands between them. Documents that nothing is taken of go."""
     sized = written(_measured(docs, ["doc_id"], seed))
     done = _mixed(sized, _measured(docs, docs.columns, seed), seed, block, shard)
-    words = F.filter(words_of(F.col("row.text")), lambda w, i: _chosen(F.floor((F.col("start") + i) / block)))
-    more = F.when(F.col("taken") > F.col("full") * F.col("size"), F.array(F.array_join(words, " "))).otherwise(F.array().cast("array<string>"))
+    parted = F.split(F.ltrim(F.col("row.text"), F.lit(SPACE_CHARS)), f"(?<=[{SPACES}])(?=[^{SPACES}])")  # words with the white characters behind them
+    words = F.filter(parted, lambda w, i: _chosen(F.floor((F.col("start") + i) / block)))
+    part = F.col("taken") - F.col("full") * F.col("size")
+    text = F.when(part == F.col("size"), F.col("row.text")).otherwise(F.rtrim(F.array_join(words, ""), F.lit(SPACE_CHARS)))
+    more = F.when(part > 0, F.array(text)).otherwise(F.array().cast("array<string>"))
     texts = F.concat(F.array_repeat(F.col("row.text"), F.col("full").cast("int")), more)
     rows = done.select("row", F.explode(texts).alias("text"))
     return rows.select(*[F.col("text") if c == "text" else F.col("row")[c].alias(c) for c in docs.columns])

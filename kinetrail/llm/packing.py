@@ -14,22 +14,25 @@ histogram, whose size depends on the capacity alone, for any number of documents
 
 A piece's place follows from its rank among the pieces of its length: ranks are counted within
 (length, hash bucket) and continue over the buckets, so that a length with most of the rows is
-many tasks. Null and empty texts are one piece of one id. Repeated rows are packed one by one,
+many tasks. Null and empty texts are one piece of one id, and a null doc_id stays null. Repeated rows are packed one by one,
 by (doc_id, piece, crc) and a row number within their bucket. An empty table packs nothing.
 """
 
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import tiktoken
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from .common import written
 
@@ -40,13 +43,17 @@ BUCKETS = 256
 #: Pre-token pattern of byte-level BPE and its one special token: fixed values of the vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 SPECIAL = "<|endoftext|>"
+SPACES = re.compile(r"\s+")
+LONG_SPACES = 100_000
 
 
 def encoder(path: str):
     """text -> ids as little-endian 32-bit words, without special tokens at the ends.
 
     ``path`` is a byte-level BPE file of the tokenizers library. Its ids are ranks of merges, so
-    that tiktoken's faster loop gives the same ids; tests hold the two against each other.
+    that tiktoken's faster loop gives the same ids; tests hold the two against each other. Its
+    pattern matcher gives up on about a million white characters in a row, so that texts with
+    a long run of them go through the tokenizers library.
     """
     with open(path) as file:
         vocabulary = json.load(file)["model"]["vocab"]
@@ -56,9 +63,12 @@ def encoder(path: str):
     byte = {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(hidden)}
     special = vocabulary.pop(SPECIAL, None) or len(vocabulary)
     ranks = {bytes(byte[c] for c in token): rank for token, rank in vocabulary.items()}
+    slow = lru_cache(lambda: Tokenizer.from_file(path))
     bpe = tiktoken.Encoding(path, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={SPECIAL: special})
 
     def encode(text: str) -> bytes:
+        if len(text) > LONG_SPACES and any(len(m[0]) > LONG_SPACES for m in SPACES.finditer(text)):
+            return np.array(slow().encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         return bpe.encode_to_numpy(text, allowed_special="all").astype("<u4", copy=False).tobytes()
 
     return encode
@@ -71,17 +81,20 @@ def tokenized(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame
         encode = encoder(path)
         for batch in batches:
             out = []
-            for doc, text in zip(batch["doc_id"], batch["text"], strict=True):
+            for doc, unnamed, text in zip(batch["doc_id"], batch["unnamed"], batch["text"], strict=True):
                 ids = encode(text or "") + b"\0\0\0\0"
                 n = len(ids) // 4
                 start, piece = 0, 0
                 while start < n:
                     length = (n - start) % capacity or capacity
-                    out.append((doc, piece, start, length, zlib.crc32(ids[4 * start : 4 * (start + length)])))
+                    out.append((doc, unnamed, piece, start, length, zlib.crc32(ids[4 * start : 4 * (start + length)])))
                     start, piece = start + length, piece + 1
-            yield pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids_crc32"]).astype({"doc_id": batch["doc_id"].dtype})
+            yield pd.DataFrame(out, columns=["doc_id", "unnamed", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select("doc_id", "text").mapInPandas(pieces, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    # Without nulls, ids stay whole numbers in pandas.
+    named = docs.select(F.coalesce("doc_id", F.lit(0)).cast("long").alias("doc_id"), F.col("doc_id").isNull().alias("unnamed"), "text")
+    cut = named.mapInPandas(pieces, "doc_id long, unnamed boolean, piece int, start long, length long, ids_crc32 long")
+    return cut.withColumn("doc_id", F.when(~F.col("unnamed"), F.col("doc_id"))).drop("unnamed")
 
 
 def configurations(sizes: list[int], capacity: int) -> np.ndarray:
@@ -247,7 +260,9 @@ def placed(ranked: DataFrame, rows: list[tuple]) -> DataFrame:
             row, r = table[at], rank - firsts[at]
             yield batch.assign(sequence_id=row[:, 3] + r // row[:, 5], offset=row[:, 4] + r % row[:, 5] * k).drop(columns="rank")
 
-    return ranked.mapInPandas(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    named = ranked.withColumns({"doc_id": F.coalesce("doc_id", F.lit(0)), "unnamed": F.col("doc_id").isNull()})
+    out = named.mapInPandas(place, "doc_id long, piece int, start long, length long, ids_crc32 long, unnamed boolean, sequence_id long, offset long")
+    return out.withColumn("doc_id", F.when(~F.col("unnamed"), F.col("doc_id"))).drop("unnamed")
 
 
 def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, buckets: int = BUCKETS) -> DataFrame:

@@ -9,7 +9,7 @@ a logistic span classifier over votes and surface features is trained on the pos
 decides. Votes and features are few-valued: a candidate is a code below 2^12, the corpus comes
 to the driver as a count for each code, and both fits are exact over all candidates.
 
-Nulls are empty texts: no spans. Offsets are code points, ends exclusive. Repeated rows each get
+A null doc_id stays null, and null texts are empty: no spans. Offsets are code points, ends exclusive. Repeated rows each get
 their spans; candidates of both count. Added spans that touch a base span are dropped. With no
 candidates no model is needed and only base spans remain.
 """
@@ -17,7 +17,9 @@ candidates no model is needed and only base spans remain.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -29,10 +31,11 @@ from .common import written
 KINDS = ("email", "ip", "card", "phone", "secret", "ssn")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
+IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]+")  # no match can begin within a run of digits
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 OPAQUE = re.compile(r"(?<![A-Za-z0-9_+/=-])[A-Za-z0-9_+/-]{16,}={0,2}(?![A-Za-z0-9_+/=-])")
+LETTER = re.compile("[A-Za-z]")
 SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 #: Gazetteers: names of keys, prefixes of issued keys, words that announce private values. Fixed values.
 KEY_NAMES = re.compile(r"(?:token|password|passwd|pwd|secret|api[_ -]?key|access[_ -]?key|private[_ -]?key|credential|auth|ssn|social security(?: number)?)\s*(?:is|=|:)*\s*[\"']?$", re.I)
@@ -69,7 +72,8 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     out = [(a, 0, b) for a, b in emails(text)] if "@" in text else []
     if re.search("[0-9]", text):
         for m in IP.finditer(text):
-            if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split(".")):
+            parts = [p.lstrip("0") for p in m[0].split(".")]
+            if all(len(p) <= 3 and int(p or 0) <= 255 for p in parts):
                 out.append((m.start(), 1, m.end()))
         for m in CARD.finditer(text):
             digits = m[0].replace(" ", "").replace("-", "")
@@ -82,16 +86,21 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int]]:
-    """(start, kind, end, code) of strings the labelers vote on; none touches a base span."""
-    if not re.search("[0-9]", text):
-        return []
+    """(start, kind, end, code) of strings the labelers vote on; none touches a base span.
+
+    A number inside an opaque string is a candidate of its own; masking unites what overlaps.
+    """
+    # Ends of base spans up to each start, so that spans that reach far are seen by bisection.
+    starts = [a for a, _, _ in base]
+    reach = list(accumulate((b for _, _, b in base), max))
     out = []
     for kind, pattern in ((4, OPAQUE), (5, SSN)):
         for m in pattern.finditer(text):
             value, before = m[0], text[max(0, m.start() - BEFORE) : m.start()]
-            if kind == 4 and not (re.search("[0-9]", value) and re.search("[A-Za-z]", value)):
+            if kind == 4 and not LETTER.search(value):
                 continue
-            if any(a < m.end() and m.start() < b for a, _, b in base):
+            k = bisect_left(starts, m.end())
+            if k and reach[k - 1] > m.start():
                 continue
             out.append((m.start(), kind, m.end(), _code(kind, value, before)))
     return sorted(out)
@@ -100,7 +109,12 @@ def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, i
 def _code(kind: int, value: str, before: str) -> int:
     """Votes (0 against, 1 for, 2 none) of shape, gazetteer and context, and surface features, as a number."""
     if kind == 4:
-        shape = 1 if re.fullmatch(r"[0-9a-f]{32,}|[0-9A-F]{32,}", value) or (len(set(value)) >= 12 and re.search("[a-z]", value) and re.search("[A-Z]", value)) else 0 if len(set(value)) < 8 else 2
+        kinds = len(set(value))
+        mixed = [bool(re.search(c, value)) for c in ("[0-9]", "[a-z]", "[A-Z]")]
+        if re.fullmatch(r"[0-9a-f]{32,}|[0-9A-F]{32,}", value) or (kinds >= 12 and mixed[1] and mixed[2]):
+            shape = 1
+        else:  # letters of one case may be a long word
+            shape = 0 if kinds < 8 or sum(mixed) == 1 else 2
     else:
         shape = 0 if value[:3] in ("000", "666") or value[0] == "9" or value[4:6] == "00" or value[7:] == "0000" else 1
     named = 1 if KEY_NAMES.search(before) or value.startswith(PREFIXES) else 2
@@ -166,24 +180,21 @@ def accepted(counted: dict[int, int], threshold: float = THRESHOLD, ridge: float
     return codes[1 / (1 + np.exp(-np.clip(x @ w, -30, 30))) >= threshold].tolist()
 
 
+def _spans(texts: pd.Series) -> pd.DataFrame:
+    base = [base_spans(t or "") for t in texts]
+    more = [candidates(t or "", b) for t, b in zip(texts, base, strict=True)]
+    return pd.DataFrame(
+        {
+            "base": [[{"start": a, "kind": k, "end": b} for a, k, b in x] for x in base],
+            "more": [[{"start": a, "kind": k, "end": b, "code": c} for a, k, b, c in x] for x in more],
+        }
+    )
+
+
 def found(docs: DataFrame) -> DataFrame:
     """(doc_id, base, more): base spans and candidates of every document."""
-
-    def spans(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            base = [base_spans(t or "") for t in batch["text"]]
-            more = [candidates(t or "", b) for t, b in zip(batch["text"], base, strict=True)]
-            yield pd.DataFrame(
-                {
-                    "doc_id": batch["doc_id"],
-                    "base": [[{"start": a, "kind": k, "end": b} for a, k, b in x] for x in base],
-                    "more": [[{"start": a, "kind": k, "end": b, "code": c} for a, k, b, c in x] for x in more],
-                }
-            )
-
-    return docs.select("doc_id", "text").mapInPandas(
-        spans, "doc_id long, base array<struct<start:int,kind:int,end:int>>, more array<struct<start:int,kind:int,end:int,code:int>>"
-    )
+    spans = F.pandas_udf(_spans, "base array<struct<start:int,kind:int,end:int>>, more array<struct<start:int,kind:int,end:int,code:int>>")
+    return docs.select("doc_id", spans("text").alias("s")).select("doc_id", "s.base", "s.more")
 
 
 def learned(spans: DataFrame) -> list[int]:

@@ -11,11 +11,13 @@ true distances decide, and linked fingerprints are united.
 
 Only distinct fingerprints take part, so exact copies cost one row. Within a key the search
 runs breadth first over what is not reached yet and returns one link for each fingerprint
-reached, not all pairs. A key with more than RUN fingerprints is cut into blocks, and pairs of
-blocks are searched as rows of their own in a further shuffle.
+reached, not all pairs. Keys are counted before they meet; the fingerprints of one with more
+than RUN are dealt to blocks by hash, and each pair of blocks meets in a task of its own.
 
 Null and empty texts have fingerprint zero and link like any other. Repeated rows and equal
-doc_ids share a component by their fingerprints. An empty table gives an empty result.
+doc_ids share a component by their fingerprints. A null doc_id comes after all others: its
+component is the smallest id that it reaches, null if there is none. An empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from .common import components, written
+from .common import components, small, written
 
 SEED = 42
 MAX_BITS = 4
@@ -38,6 +40,8 @@ SEGMENTS = ((0, 23), (23, 23), (46, 18))
 #: Generator polynomial of the Golay code: x^11 + x^9 + x^7 + x^6 + x^5 + x + 1.
 GENERATOR = 0b101011100011
 RUN = 20_000
+#: Keys with more fingerprints than RUN are broadcast up to this many, and joined by a shuffle beyond.
+BROADCAST_KEYS = 100_000
 _MADE: dict[str, np.ndarray] = {}
 UPPER_LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
@@ -140,17 +144,18 @@ def spanning(fps: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([none, *a]).view(np.int64), np.concatenate([none, *b]).view(np.int64)
 
 
-def _links(max_bits: int, run: int):
-    """Searches runs of equal keys; a run over ``run`` fingerprints leaves as pairs of blocks."""
+def _links(max_bits: int, columns: list[str]):
+    """Searches runs of equal ``columns``, which rows come sorted by; a run has a bounded number of rows."""
 
-    def search(key: np.ndarray, fp: np.ndarray) -> Iterator[pd.DataFrame]:
-        n = len(key)
+    def search(fresh: np.ndarray, fp: np.ndarray) -> pd.DataFrame:
+        n = len(fp)
         a, b = [], []
-        start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        start = np.flatnonzero(fresh)
+        group = np.cumsum(fresh)
         size = np.diff(np.r_[start, n])
         few = np.repeat(size <= 32, size)
         for step in range(1, min(32, n)):  # all pairs of short runs, a distance apart at a time
-            same = few[:-step] & (key[step:] == key[:-step])
+            same = few[:-step] & (group[step:] == group[:-step])
             if not same.any():
                 break
             i = np.flatnonzero(same)
@@ -158,61 +163,55 @@ def _links(max_bits: int, run: int):
             a.append(fp[i])
             b.append(fp[i + step])
         for s, m in zip(start[size > 32].tolist(), size[size > 32].tolist(), strict=True):
-            part = fp[s : s + m]
-            if m <= run:
-                x, y = spanning(part, max_bits)
-                a.append(x)
-                b.append(y)
-                continue
-            blocks = [part[k : k + run // 2] for k in range(0, m, run // 2)]
-            for i in range(len(blocks)):
-                for other in blocks[i + 1 :] or [blocks[i][:0]] * (len(blocks) == 1):
-                    yield pd.DataFrame({"a": [0], "b": [0], "block": [np.concatenate([blocks[i], other]).tobytes()]})
-        if a and sum(map(len, a)):
-            a, b = np.concatenate(a), np.concatenate(b)
-            low, high = np.minimum(a, b), np.maximum(a, b)
-            pairs = np.unique(np.stack([low, high], 1), axis=0)
-            yield pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1], "block": None})
+            x, y = spanning(fp[s : s + m], max_bits)
+            a.append(x)
+            b.append(y)
+        none = np.empty(0, np.int64)
+        a, b = np.concatenate([none, *a]), np.concatenate([none, *b])
+        pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
+        return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
 
     def over(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held_key, held_fp = np.empty(0, np.int32), np.empty(0, np.int64)
-        for batch in batches:  # sorted by key: the last key's run may go on in the next batch
-            key, fp = batch["key"].to_numpy(), batch["fp"].to_numpy()
-            key, fp = np.r_[held_key, key], np.r_[held_fp, fp]
-            cut = int(np.searchsorted(key, key[-1]))
+        held = np.empty((0, len(columns) + 1), np.int64)
+        for batch in batches:  # the last run may go on in the next batch
+            rows = np.vstack([held, batch[[*columns, "fp"]].to_numpy(np.int64)])
+            fresh = np.r_[True, (rows[1:, :-1] != rows[:-1, :-1]).any(1)][: len(rows)]
+            cut = int(np.flatnonzero(fresh)[-1]) if len(rows) else 0
             if cut:
-                yield from search(key[:cut], fp[:cut])
-            held_key, held_fp = key[cut:], fp[cut:]
-        if len(held_key):
-            yield from search(held_key, held_fp)
-
-    return over
-
-
-def _block_links(max_bits: int):
-    def over(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for block in batch["block"]:
-                a, b = spanning(np.frombuffer(block, np.int64), max_bits)
-                yield pd.DataFrame({"a": a, "b": b})
+                yield search(fresh[:cut], rows[:cut, -1])
+            held = rows[cut:]
+        if len(held):
+            yield search(np.arange(len(held)) == 0, held[:, -1])
 
     return over
 
 
 def link(classes: DataFrame, max_bits: int = MAX_BITS, run: int = RUN) -> DataFrame:
     """(a, b): links between distinct fingerprints ``fp`` that connect all within ``max_bits``."""
-    keyed = classes.select("fp").mapInPandas(_emit_keys, "key int, fp long")
-    met = keyed.repartition("key").sortWithinPartitions("key")
-    found = written(met.mapInPandas(_links(max_bits, run), "a long, b long, block binary"))
-    direct = found.where("block is null").select("a", "b")
-    cut = found.where("block is not null").select("block").repartition(F.xxhash64("block"))
-    return direct.unionAll(cut.mapInPandas(_block_links(max_bits), "a long, b long")).distinct()
+    keyed = written(classes.select("fp").mapInPandas(_emit_keys, "key int, fp long"))
+    hot = written(keyed.groupBy("key").count().where(F.col("count") > run).select(F.col("key").alias("hot"), F.ceil(F.col("count") * 2 / run).cast("int").alias("blocks")))
+    out = "a long, b long"
+    if not hot.count():
+        met = keyed.repartition("key").sortWithinPartitions("key")
+        return met.mapInPandas(_links(max_bits, ["key"]), out).distinct()
+    hot = small(hot, BROADCAST_KEYS)
+    met = keyed.join(hot, F.col("key") == F.col("hot"), "left_anti").repartition("key").sortWithinPartitions("key")
+    direct = met.mapInPandas(_links(max_bits, ["key"]), out)
+    dealt = keyed.join(hot, F.col("key") == F.col("hot")).withColumn("block", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
+    # Two blocks of a key meet under their pair; a block meets itself in each of its pairs.
+    other = F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: k != F.col("block"))
+    pair = dealt.select("key", "fp", "block", F.explode(other).alias("other"))
+    pair = pair.select("key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "fp")
+    met = pair.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
+    return direct.unionAll(met.mapInPandas(_links(max_bits, ["key", "low", "high"]), out)).distinct()
 
 
 def grouped(docs: DataFrame, fp: Column) -> DataFrame:
     """(doc_id, text_hash, fp, component_id) for every row; component_id is the smallest doc_id in reach."""
     marked = written(docs.select(docs["doc_id"].alias("doc_id"), F.xxhash64(docs["text"]).alias("text_hash"), fp.alias("fp")))
-    classes = written(marked.groupBy("fp").agg(F.min("doc_id").alias("rep")))
+    # Behind all ids: fingerprints without one, each by itself.
+    nameless = (F.col("fp").cast("decimal(38,0)") + F.lit(str(1 << 65)).cast("decimal(38,0)")).cast("decimal(38,0)")
+    classes = written(marked.groupBy("fp").agg(F.min("doc_id").cast("decimal(38,0)").alias("rep")).withColumn("rep", F.coalesce("rep", nameless)))
     links = link(classes)
     ends = written(
         links.join(classes.select(F.col("fp").alias("a"), F.col("rep").alias("ra")), "a")
@@ -221,7 +220,9 @@ def grouped(docs: DataFrame, fp: Column) -> DataFrame:
     )
     found = components(ends, "ra", "rb")
     united = written(
-        classes.join(found, F.col("rep") == F.col("node"), "left").select(F.col("fp").alias("_fp"), F.coalesce("component", "rep").alias("component_id"))
+        classes.join(found, F.col("rep") == F.col("node"), "left")
+        .withColumn("top", F.coalesce("component", "rep"))
+        .select(F.col("fp").alias("_fp"), F.when(F.col("top") < F.lit(str(1 << 63)).cast("decimal(38,0)"), F.col("top")).cast("long").alias("component_id"))
     )
     return marked.join(united, F.col("fp") == F.col("_fp")).drop("_fp")
 

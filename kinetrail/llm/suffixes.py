@@ -15,10 +15,11 @@ suffixes is one. A suffix carries which windows have it as their anchor.
 2. Groups with different contexts are cut by window offset into blocks of ``WIDTH``; a block's
    windows share LENGTH - WIDTH + 1 bytes, whose hash is the key, so that near copies that differ
    in them part again. Texts of such groups' documents give the bytes, windows with equal
-   hashes at one offset are repeats.
+   hashes at one offset are repeats. A key of more than ``TOGETHER`` blocks does not meet in one
+   task: its windows are counted by their hashes in a grouping of their own.
 3. Repeated windows' spans are united per document, and the rest of its bytes is kept.
 
-Texts are UTF-8, null is empty. Repeated rows, even with one doc_id, are occurrences of their
+Texts are UTF-8, null is empty, and a null doc_id stays null. Repeated rows, even with one doc_id, are occurrences of their
 own: a document is told by doc_id and a hash of its text. An empty table gives an empty result.
 """
 
@@ -33,15 +34,22 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import dropped, written
+from .common import dropped, small, written
 
 LENGTH = 200
 GRAM = 32
 WIDTH = 43
 #: Bytes of a text that are looked at at once; the windows of one part begin in it.
 PART = 1 << 22
+#: Suffixes that a range bucket holds in memory, about (64 bytes each).
+BUCKET = 1_000_000
+#: Blocks under one key that are compared in one task (about 2 KB each); those of larger keys are counted window by window.
+TOGETHER = 20_000
+BROADCAST_KEYS = 100_000
 BASE = np.array([0x9E3779B97F4A7C15], np.uint64)
 MIX = np.uint64(0xD6E8FEB86659FD93)
+#: Stands for a null doc_id; a document is told by its text too, so that one of this id and text has the same result.
+NAMELESS = -(1 << 63)
 PLACE = np.uint64((1 << 24) - 1)
 
 
@@ -139,6 +147,7 @@ def multikey_quicksort(columns: list[np.ndarray]) -> np.ndarray:
     return order
 
 
+SPAN = "doc_id long, hash long, start int, end int"
 KIND = "kind string, doc_id long, hash long, lead long, gram long, context long, at int, first int, last int"
 
 
@@ -222,9 +231,11 @@ def compared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = rolled(square, LENGTH)
         column = np.arange(WIDTH)
         there = (column >= WIDTH - 1 - (low + last - first)[:, None]) & (column <= WIDTH - 1 - low[:, None])
-        mixed = (hashes ^ (group[:, None] * np.uint64(WIDTH) + column.astype(np.uint64)) * MIX)[there]
+        place = (group[:, None] * np.uint64(WIDTH) + column.astype(np.uint64))[there]
+        mixed = hashes[there] ^ place * MIX
         order = np.argsort(mixed, kind="stable")
-        equal = mixed[order][1:] == mixed[order][:-1]
+        mixed, place = mixed[order], place[order]
+        equal = (mixed[1:] == mixed[:-1]) & (place[1:] == place[:-1])
         hit = np.zeros(len(mixed), bool)
         hit[order[1:][equal]] = True
         hit[order[:-1][equal]] = True
@@ -253,11 +264,32 @@ def compared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield repeats(pd.concat(held, ignore_index=True))
 
 
-def repeated_spans(docs: DataFrame) -> DataFrame:
+def windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Each window of each block: its key, distance to the anchor, a 128-bit hash, and where it is."""
+    digest = xxhash.xxh128_digest
+    for batch in batches:
+        for k in range(0, len(batch), 2_000):
+            out = []
+            for r in batch.iloc[k : k + 2_000].itertuples():
+                for start in range(r.first, r.last + 1):
+                    out.append((r.key, r.at - start, digest(r.bytes[start - r.first : start - r.first + LENGTH]), r.doc_id, r.hash, start))
+            yield pd.DataFrame(out, columns=["key", "ahead", "window", "doc_id", "hash", "start"])
+
+
+def _counted(rows: DataFrame) -> DataFrame:
+    """``compared`` for keys of any size: windows are counted with partial sums, and those of repeated ones kept."""
+    every = rows.mapInPandas(windows, "key long, ahead int, window binary, doc_id long, hash long, start int")
+    by = ["key", "ahead", "window"]
+    twice = every.groupBy(*by).count().where("count > 1").select(*[F.col(c).alias(f"_{c}") for c in by])
+    same = (F.col("key") == F.col("_key")) & (F.col("ahead") == F.col("_ahead")) & (F.col("window") == F.col("_window"))
+    return every.join(twice, same, "left_semi").select("doc_id", "hash", "start", (F.col("start") + LENGTH).alias("end"))
+
+
+def repeated_spans(docs: DataFrame, together: int = TOGETHER) -> DataFrame:
     """(doc_id, hash, spans): byte spans that repeated windows cover, not united; ``docs`` has doc_id, hash, text."""
     spark = docs.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     found = written(docs.mapInPandas(suffixes, KIND.replace("kind string, ", "")))
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-found.count() // BUCKET))
     ranged = found.repartitionByRange(n, "lead", "gram", "context", "doc_id", "at")
     judged = written(ranged.mapInPandas(neighbours, KIND))
     dropped(found)
@@ -267,8 +299,18 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     # Of rows that repeat a document whole, "full" says all; one stands for them here.
     texts = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("hash") == F.col("_hash"))).select("doc_id", "hash", "text", "wanted")
     rows = texts.mapInPandas(blocks, "key long, doc_id long, hash long, first int, last int, block int, bytes binary, at int")
-    met = rows.repartition("key").sortWithinPartitions("key")
-    partly = written(met.mapInPandas(compared, "doc_id long, hash long, start int, end int"))
+    rows = written(rows)
+    hot = written(rows.groupBy("key").count().where(F.col("count") > together).select(F.col("key").alias("hot")))
+    cold = rows
+    if hot.count():
+        hot = small(hot, BROADCAST_KEYS)
+        cold = rows.join(hot, F.col("key") == F.col("hot"), "left_anti")
+    met = cold.repartition("key").sortWithinPartitions("key")
+    partly = met.mapInPandas(compared, SPAN)
+    if cold is not rows:
+        partly = partly.unionByName(_counted(rows.join(hot, F.col("key") == F.col("hot")).drop("hot")))
+    partly = written(partly)
+    dropped(rows)
     full = every.where("kind = 'full'").select("doc_id", "hash", F.col("first").alias("start"), (F.col("last") + LENGTH).alias("end"))
     return full.unionByName(partly).groupBy("doc_id", "hash").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
 
@@ -283,27 +325,27 @@ def united(spans: list) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def removed(docs: DataFrame) -> DataFrame:
-    """doc_id, hash, text, spans: every document with its repeated spans united."""
-    texts = docs.select("doc_id", F.xxhash64("text").alias("hash"), F.coalesce("text", F.lit("")).alias("text"))
-    spans = repeated_spans(texts).select(F.col("doc_id").alias("_doc"), F.col("hash").alias("_hash"), "spans")
-    return texts.join(spans, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("hash") == F.col("_hash")), "left").select("doc_id", "text", "spans")
+def removed(docs: DataFrame, together: int = TOGETHER) -> DataFrame:
+    """doc_id, text, spans: every document with its repeated spans, not united."""
+    texts = docs.select("doc_id", F.coalesce("doc_id", F.lit(NAMELESS)).alias("_id"), F.xxhash64("text").alias("hash"), F.coalesce("text", F.lit("")).alias("text"))
+    spans = repeated_spans(texts.select(F.col("_id").alias("doc_id"), "hash", "text"), together).select(F.col("doc_id").alias("_doc"), F.col("hash").alias("_hash"), "spans")
+    return texts.join(spans, (F.col("_id") == F.col("_doc")) & (F.col("hash") == F.col("_hash")), "left").select("doc_id", "text", "spans")
 
 
-def digested(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every document."""
+def _digests(texts: pd.Series, spans: pd.Series) -> pd.DataFrame:
+    out = []
+    for text, some in zip(texts, spans, strict=True):
+        raw, gone = text.encode(), united(some) if some is not None else []
+        kept, at = hashlib.sha256(), 0
+        for a, b in gone:
+            kept.update(raw[at:a])
+            at = b
+        kept.update(raw[at:])
+        out.append((len(raw), sum(b - a for a, b in gone), len(gone), kept.hexdigest()))
+    return pd.DataFrame(out, columns=["n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    def digest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for doc, text, spans in zip(batch["doc_id"], batch["text"], batch["spans"], strict=True):
-                raw, gone = text.encode(), united(spans) if spans is not None else []
-                kept, at = hashlib.sha256(), 0
-                for a, b in gone:
-                    kept.update(raw[at:a])
-                    at = b
-                kept.update(raw[at:])
-                out.append((doc, len(raw), sum(b - a for a, b in gone), len(gone), kept.hexdigest()))
-            yield pd.DataFrame(out, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
-
-    return removed(docs).mapInPandas(digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+
+def digested(docs: DataFrame, together: int = TOGETHER) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every document."""
+    digests = F.pandas_udf(_digests, "n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return removed(docs, together).select("doc_id", digests("text", "spans").alias("d")).select("doc_id", "d.*")
