@@ -4,18 +4,23 @@ Equal vectors are one class. Classes are dealt to ``SHARDS`` shards by hash, and
 its graph (Malkov and Yashunin 2016): a class reaches level l with probability 16^-l; its level's
 members are inserted in batches, linked to diverse near ones found by beam search, and
 members that no path reaches are linked from their nearest. Every class then queries every
-shard. Its beam widens while all in it are over the threshold; before that, an audit compares
-the answers to a sample of AUDIT queries with brute force over the shard, and the start width
-doubles until the recall reaches TARGET. Candidates are verified by cosine in double precision.
+shard. A beam that overflows with vectors over the threshold goes on at twice its width, nothing over the threshold
+being dropped; a query that has reached the threshold follows only what is within ``LEEWAY`` of it.
 
-A task holds one shard's graph and a block of queries. It returns for each query how many
+Before that, an audit compares the answers with brute force over the shard, to ``AUDIT`` queries of the table (the
+first classes by hash, a bounded sample) and as many made at the threshold's border from
+the shard's own vectors. The start width doubles until the recall of both reaches TARGET; a shard whose
+graph does not reach it at any width is searched whole. Candidates are verified by cosine in double precision.
+
+A task holds one shard's graph and a block of queries at a time. It returns for each query how many
 rows it links to, and links that connect what is connected: one a query and one a member, not
 all pairs. There are SHARDS shards at least, and more so that none has over about SHARD_ROWS
-classes, which bounds a graph's memory (about 700 bytes a class); slices grow alike.
+classes, which bounds a graph's memory (about 700 bytes a class); slices grow alike, and (shard, slice) is dealt by range, so that tasks have equal numbers of blocks.
 
 Null, empty, zero, or otherwise unusable vectors (null or non-finite components) link with
 nothing; vectors of other lengths than the most frequent only with those of their own length.
-Repeated rows link with each other. An empty table gives an empty result.
+Repeated rows link with each other, a null vec_id is like any other (after all others as a component's id).
+An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -29,16 +34,18 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, written
+from .common import components, small, written
 
 THRESHOLD = 0.9
 SHARDS = 8
-SLICES = 4
+SLICES = 8
 SHARD_ROWS = 200_000
 DEGREE = 16
 BUILD_BEAM = 64
-BEAM = 64
-AUDIT = 64
+BEAM = 16
+AUDIT = 256
+LEEWAY = 0.2
+BROADCAST_ROWS = 1_000_000
 TARGET = 0.99
 BATCH = 256
 BLOCK = 512
@@ -49,28 +56,50 @@ SHORT = 1e-4
 def search(x: np.ndarray, links: np.ndarray, queries: np.ndarray, entry: np.ndarray, beam: int, floor: float | None = None):
     """Beam search for all queries at once: (ids, similarities), best first, -1 padded.
 
-    With ``floor``, queries whose whole beam is at or over it go on with beams of twice the width.
+    With ``floor``, a query with more than ``beam`` vectors at or over it goes on with a beam of twice the width.
     """
     n, b = len(x), len(queries)
     beam = min(beam, n)
+    entry = np.sort(entry, axis=1)
+    entry[:, 1:][entry[:, 1:] == entry[:, :-1]] = n  # an entry named twice counts once
     seen = np.zeros((b, n + 1), bool)
     seen[:, n] = True
-    ids = np.full((b, beam), n)
-    sims = np.full((b, beam), -np.inf, np.float32)
-    done = np.zeros((b, beam), bool)
-    start = np.unique(entry, axis=1) if entry.ndim == 2 and b == 1 else entry
-    k = start.shape[1]
-    ids[:, :k], sims[:, :k] = start, np.einsum("bd,bkd->bk", queries, x[start])
-    for j in range(k):  # an entry named twice counts once
-        twice = seen[np.arange(b), start[:, j]]
-        ids[twice, j], sims[twice, j] = n, -np.inf
-        seen[np.arange(b), start[:, j]] = True
-    live = np.arange(b)
+    seen[np.arange(b)[:, None], entry] = True
+    sims = np.where(entry == n, -np.inf, np.einsum("bd,bkd->bk", queries, x[np.minimum(entry, n - 1)]))
     padded = np.vstack([links, np.full((1, links.shape[1]), n, links.dtype)])
-    width = 4
+    ids, sims = _beams(x, padded, queries, entry, sims, np.zeros_like(entry, bool), seen, beam, floor)
+    order = np.argsort(-sims, axis=1)
+    ids, sims = np.take_along_axis(ids, order, 1), np.take_along_axis(sims, order, 1)
+    return np.where(ids == n, -1, ids), sims
+
+
+def _beams(x: np.ndarray, padded: np.ndarray, queries: np.ndarray, first_ids: np.ndarray, first_sims: np.ndarray, first_done: np.ndarray, seen: np.ndarray, beam: int, floor: float | None):
+    """Beams from a state on, until all in them is expanded: (ids, sims), as wide as the widest needs."""
+    n, b = len(x), len(queries)
+    ids, sims, done = np.full((b, beam), n), np.full((b, beam), -np.inf, np.float32), np.zeros((b, beam), bool)
+    live = np.arange(b)
+    over: list[tuple[np.ndarray, ...]] = []
+
+    def keep(all_ids: np.ndarray, all_sims: np.ndarray, all_done: np.ndarray) -> None:
+        nonlocal live
+        if floor is not None and beam < n:
+            full = (all_sims >= floor).sum(1) > beam
+            if full.any():
+                over.append((live[full], all_ids[full], all_sims[full], all_done[full]))
+                live, all_ids, all_sims, all_done = (v[~full] for v in (live, all_ids, all_sims, all_done))
+        if all_ids.shape[1] > beam:
+            top = np.argpartition(-all_sims, beam - 1, axis=1)[:, :beam]
+            all_ids, all_sims, all_done = (np.take_along_axis(v, top, 1) for v in (all_ids, all_sims, all_done))
+        k = all_ids.shape[1]
+        ids[live, :k], sims[live, :k], done[live, :k] = all_ids, all_sims, all_done
+
+    keep(first_ids, first_sims, first_done)
+    width = min(4, beam)
     while len(live):
         score = np.where(done[live] | (ids[live] == n), -np.inf, sims[live])
-        pick = np.argpartition(-score, min(width, beam) - 1, axis=1)[:, :width]
+        if floor is not None:  # once at the threshold, what lies far below it leads nowhere
+            score[(sims[live].max(1) >= floor)[:, None] & (score < floor - LEEWAY)] = -np.inf
+        pick = np.argpartition(-score, width - 1, axis=1)[:, :width]
         good = np.take_along_axis(score, pick, 1) > -np.inf
         on = good.any(1)
         live, pick, good = live[on], pick[on], good[on]
@@ -81,49 +110,44 @@ def search(x: np.ndarray, links: np.ndarray, queries: np.ndarray, entry: np.ndar
         new = np.where(seen[live[:, None], new], n, new)
         new.sort(axis=1)
         new[:, 1:][new[:, 1:] == new[:, :-1]] = n
+        new.sort(axis=1)
+        new = new[:, : max(int((new < n).sum(1).max()), 1)]
         seen[live[:, None], new] = True
-        near = np.einsum("bd,bkd->bk", queries[live], x[np.minimum(new, n - 1)])
-        near[new == n] = -np.inf
-        all_ids = np.hstack([ids[live], new])
-        all_sims = np.hstack([sims[live], near])
-        all_done = np.hstack([done[live], np.zeros_like(new, bool)])
-        top = np.argpartition(-all_sims, beam - 1, axis=1)[:, :beam]
-        ids[live], sims[live], done[live] = (np.take_along_axis(a, top, 1) for a in (all_ids, all_sims, all_done))
-    order = np.argsort(-sims, axis=1)
-    ids, sims = np.take_along_axis(ids, order, 1), np.take_along_axis(sims, order, 1)
-    ids = np.where(ids == n, -1, ids)
-    if floor is not None and beam < n:
-        wide = np.flatnonzero(sims[:, -1] >= floor)
-        if len(wide):
-            more_ids, more_sims = search(x, links, queries[wide], np.maximum(ids[wide], ids[wide, :1]), 2 * beam, floor)
-            pad = more_ids.shape[1] - ids.shape[1]
-            ids = np.pad(ids, ((0, 0), (0, pad)), constant_values=-1)
-            sims = np.pad(sims, ((0, 0), (0, pad)), constant_values=-np.inf)
-            ids[wide], sims[wide] = more_ids, more_sims
+        near = np.full(new.shape, -np.inf, np.float32)
+        r, c = np.nonzero(new < n)
+        near[r, c] = np.einsum("kd,kd->k", queries[live[r]], x[new[r, c]])
+        keep(np.hstack([ids[live], new]), np.hstack([sims[live], near]), np.hstack([done[live], np.zeros_like(new, bool)]))
+    if over:
+        width = max(v[1].shape[1] for v in over)
+        rows = np.concatenate([v[0] for v in over])
+        fill = lambda v, value: np.pad(v, ((0, 0), (0, width - v.shape[1])), constant_values=value)
+        state = (np.vstack([fill(v[k], value) for v in over]) for k, value in ((1, n), (2, -np.inf), (3, False)))
+        more_ids, more_sims = _beams(x, padded, queries[rows], *state, seen[rows], min(2 * beam, n), floor)
+        pad = more_ids.shape[1] - beam
+        ids, sims = np.pad(ids, ((0, 0), (0, pad)), constant_values=n), np.pad(sims, ((0, 0), (0, pad)), constant_values=-np.inf)
+        ids[rows], sims[rows] = more_ids, more_sims
     return ids, sims
 
 
 def diverse(x: np.ndarray, me: np.ndarray, ids: np.ndarray, sims: np.ndarray, degree: int) -> np.ndarray:
     """Of candidates best first, those nearer to the row's vector than to any chosen before; then the best left."""
-    out = np.full((len(ids), degree), -1)
-    for r in range(len(ids)):
-        c = ids[r][(ids[r] >= 0) & (ids[r] != me[r])]
-        s = sims[r][(ids[r] >= 0) & (ids[r] != me[r])]
-        if len(c) <= degree:
-            out[r, : len(c)] = c
-            continue
-        between = x[c] @ x[c].T
-        chosen: list[int] = []
-        blocked = np.full(len(c), -np.inf)
-        for j in range(len(c)):
-            if len(chosen) == degree:
-                break
-            if s[j] > blocked[j]:
-                chosen.append(j)
-                np.maximum(blocked, between[j], out=blocked)
-        left = [j for j in range(len(c)) if j not in set(chosen)][: degree - len(chosen)]
-        out[r, : len(chosen) + len(left)] = c[chosen + left]
-    return out
+    b, width = ids.shape
+    usable = (ids >= 0) & (ids != me[:, None])
+    near = x[np.maximum(ids, 0)]
+    between = near @ near.transpose(0, 2, 1)
+    blocked = np.full((b, width), -np.inf, np.float32)
+    chosen = np.zeros((b, width), bool)
+    room = np.full(b, degree)
+    for j in range(width):
+        take = usable[:, j] & (sims[:, j] > blocked[:, j]) & (room > 0)
+        if take.any():
+            chosen[:, j] = take
+            room -= take
+            blocked = np.where(take[:, None], np.maximum(blocked, between[:, j]), blocked)
+    rank = np.where(chosen, np.arange(width), np.where(usable, np.arange(width) + width, 2 * width + np.arange(width)))
+    order = np.argsort(rank, axis=1)[:, :degree]
+    out = np.where(np.take_along_axis(usable, order, 1), np.take_along_axis(ids, order, 1), -1)
+    return np.pad(out, ((0, 0), (0, degree - out.shape[1])), constant_values=-1)
 
 
 def build(x: np.ndarray, draws: np.ndarray) -> dict[str, np.ndarray]:
@@ -229,11 +253,9 @@ def _unit(vector: np.ndarray | None) -> np.ndarray | None:
     return v / np.sqrt(v @ v)
 
 
-def _classes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        units = [_unit(v) for v in batch["embedding"]]
-        raw = [None if u is None else u.tobytes() for u in units]
-        yield pd.DataFrame({"vec_id": batch["vec_id"], "class": [r and xxhash.xxh128_hexdigest(r) for r in raw], "unit": raw})
+def _classes(vectors: pd.Series) -> pd.DataFrame:
+    raw = [None if (u := _unit(v)) is None else u.tobytes() for v in vectors]
+    return pd.DataFrame({"class": [r and xxhash.xxh128_hexdigest(r) for r in raw], "unit": raw})
 
 
 def _packed(**arrays: np.ndarray) -> bytes:
@@ -255,22 +277,30 @@ def _index(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["shard", "size", "blob"])
 
 
-def _answers(threshold: float):
-    def answer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: dict[tuple[int, int], list] = {}
-        for batch in batches:  # sorted: graphs come before queries
-            for kind, shard, size, blob in zip(batch["kind"], batch["shard"], batch["size"], batch["blob"], strict=True):
-                loaded = np.load(io.BytesIO(blob))
-                if kind == 0:
-                    held[shard, size] = _opened(loaded, threshold)
-                elif (shard, size) in held:
-                    yield _ask(held[shard, size], loaded, threshold)
-        for unit, _, _, names, _, root in held.values():
-            del unit
+def _answers(threshold: float, sample: list[bytes]):
+    """Answers of shards to blocks of queries; rows come sorted by (shard, slice, kind), a slice's graphs before its queries."""
+
+    def members(graphs: dict[int, list]) -> Iterator[pd.DataFrame]:
+        for _, _, _, names, _, root in graphs.values():
             found = np.array([_find(root, i) for i in range(len(root))])
             i = np.flatnonzero(found != np.arange(len(root)))
             yield pd.DataFrame({"class": names[i].astype(str), "linked": names[found[i]].astype(str), "n": 0})
 
+    def answer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, held = None, {}
+        for batch in batches:
+            for kind, shard, part, size, blob in zip(batch["kind"], batch["shard"], batch["slice"], batch["size"], batch["blob"], strict=True):
+                if (shard, part) != at:
+                    yield from members(held)
+                    at, held = (shard, part), {}
+                loaded = np.load(io.BytesIO(blob))
+                if kind == 0:
+                    own = [np.frombuffer(v, np.float64) for v in sample if len(v) == size]
+                    held[size] = _opened(loaded, threshold, np.array(own).reshape(len(own), -1))
+                elif size in held:
+                    yield _ask(held[size], loaded, threshold)
+        yield from members(held)
+
     return answer
 
 
@@ -281,8 +311,47 @@ def _find(root: np.ndarray, i: int) -> int:
     return i
 
 
-def _opened(loaded, threshold: float) -> list:
-    """Graph ready for queries, its start width set by the audit."""
+def _found(graph: list, queries: np.ndarray, beam: int, floor: float) -> tuple[np.ndarray, np.ndarray]:
+    """Candidates of unit vectors by the graph; by the whole shard if beam is -1."""
+    _, x, layers = graph[:3]
+    if beam < 0:
+        sims = queries @ x.T
+        order = np.argsort(-sims, axis=1)[:, : max(int((sims >= floor).sum(1).max(initial=0)), 1)]
+        return order, np.take_along_axis(sims, order, 1)
+    entry = _descend(x, layers[:-1], queries) if layers[:-1] else np.zeros((len(queries), 1), int)
+    return search(x, layers[-1][1], queries, entry, beam, floor)
+
+
+def border(x: np.ndarray, threshold: float, many: int) -> np.ndarray:
+    """Queries about as far from some of the vectors as the threshold allows."""
+    rng = np.random.default_rng(0)
+    some = x[rng.permutation(len(x))[:many]]
+    noise = rng.standard_normal(some.shape).astype(np.float32)
+    noise -= (noise * some).sum(1, keepdims=True) * some
+    noise /= np.maximum(np.linalg.norm(noise, axis=1, keepdims=True), 1e-9)
+    cosine = min(threshold + 0.02, 1.0)
+    return cosine * some + np.sqrt(1 - cosine**2) * noise
+
+
+def audited(graph: list, queries: np.ndarray, threshold: float, beam: int) -> tuple[int, float]:
+    """(start width, recall) at which the graph finds TARGET of what brute force finds; -1 if it does not at any."""
+    x, n = graph[1], len(graph[1])
+    true = [set(np.flatnonzero(row >= threshold).tolist()) for row in queries @ x.T]
+    of = sum(map(len, true))
+    while True:
+        got = 0
+        for k in range(0, len(queries), BATCH):
+            ids, sims = _found(graph, queries[k : k + BATCH], beam, threshold)
+            got += sum(len(t & set(i[s >= threshold].tolist())) for t, i, s in zip(true[k : k + BATCH], ids, sims, strict=True))
+        if got >= TARGET * of:
+            return beam, got / of if of else 1.0
+        if beam >= n:
+            return -1, 1.0
+        beam *= 2
+
+
+def _opened(loaded, threshold: float, sample: np.ndarray) -> list:
+    """Graph ready for queries, its start width set by the audits."""
     unit, names = loaded["unit"], loaded["names"]
     x, n = unit.astype(np.float32), len(unit)
     layers = []
@@ -290,33 +359,21 @@ def _opened(loaded, threshold: float) -> list:
         links = np.full((n, loaded[f"links{at}"].shape[1]), n)
         links[loaded[f"members{at}"]] = loaded[f"links{at}"]
         layers.append((loaded[f"members{at}"], links))
-    # The sample: the first by class hash, which is as good as random; near pairs are taken as the truth's own.
-    sample = np.arange(min(AUDIT, n))
-    near = np.random.default_rng(0).standard_normal((len(sample), x.shape[1])).astype(np.float32)
-    near /= np.linalg.norm(near, axis=1, keepdims=True)
-    asked = x[sample] + 0.3 * near  # about 0.95 from the vector it must find
-    asked /= np.linalg.norm(asked, axis=1, keepdims=True)
-    true = [set(np.flatnonzero(row >= threshold).tolist()) for row in asked @ x.T]
-    beam = BEAM
-    while beam < n:
-        ids, sims = search(x, layers[-1][1], asked, _descend(x, layers[:-1], asked) if layers[:-1] else np.zeros((len(asked), 1), int), beam, threshold)
-        got = sum(len(t & set(i[s >= threshold].tolist())) for t, i, s in zip(true, ids, sims, strict=True))
-        if got >= TARGET * sum(map(len, true)):
-            break
-        beam *= 2
-    return [unit, x, layers, names, (loaded["rows"], beam), np.arange(n)]
+    graph, beam = [unit, x, layers], BEAM
+    for asked in (sample.astype(np.float32), border(x, threshold, AUDIT)):
+        if len(asked) and beam > 0:
+            beam, _ = audited(graph, asked, threshold, beam)
+    return [*graph, names, (loaded["rows"], beam), np.arange(n)]
 
 
 def _ask(graph: list, queries, threshold: float) -> pd.DataFrame:
-    unit, x, layers, names, (rows, beam), root = graph
+    unit, _, _, names, (rows, beam), root = graph
     asked, asker = queries["unit"], queries["names"]
     counts, linked = np.zeros(len(asked), np.int64), [None] * len(asked)
     for k in range(0, len(asked), BATCH):
         part = asked[k : k + BATCH]
-        low = part.astype(np.float32)
-        entry = _descend(x, layers[:-1], low) if layers[:-1] else np.zeros((len(low), 1), int)
-        ids, sims = search(x, layers[-1][1], low, entry, beam, threshold - SHORT)
-        for r in range(len(part)):
+        ids, sims = _found(graph, part.astype(np.float32), beam, threshold - SHORT)
+        for r in np.flatnonzero(sims[:, 0] >= threshold - SHORT).tolist():
             near = ids[r][sims[r] >= threshold - SHORT]
             near = near[(unit[near] @ part[r] >= threshold) & (names[near] != asker[k + r])]
             if len(near):
@@ -329,7 +386,8 @@ def _ask(graph: list, queries, threshold: float) -> pd.DataFrame:
 
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, shards: int = SHARDS, slices: int = SLICES, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """vec_id, n_links, component_id, kept of every vector."""
-    known = written(vectors.select("vec_id", "embedding").mapInPandas(_classes, "vec_id long, class string, unit binary"))
+    told = F.pandas_udf(_classes, "class string, unit binary")
+    known = written(vectors.select("vec_id", told("embedding").alias("k")).select("vec_id", "k.class", "k.unit"))
     classes = written(known.where("class is not null").groupBy("class").agg(F.count("*").alias("rows"), F.min("vec_id").alias("least"), F.first("unit").alias("unit")))
     many = -(-classes.count() // shard_rows)
     shards, slices = max(shards, many), max(slices, many)
@@ -349,16 +407,19 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, shards: in
     asked = classes.select("class", "unit").mapInPandas(blocks, "size int, blob binary").withColumn("slice", F.pmod(F.xxhash64("blob"), F.lit(slices)).cast("int"))
     asked = asked.select(F.lit(1).alias("kind"), every.alias("shard"), "slice", "size", "blob")
     copies = graphs.select(F.lit(0).alias("kind"), "shard", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("slice"), "size", "blob")
-    met = copies.unionByName(asked).repartition("shard", "slice").sortWithinPartitions("kind")
-    found = written(met.mapInPandas(_answers(threshold), "class string, linked string, n long"))
+    # For the audits: a sample of AUDIT vectors comes to the driver.
+    sample = [bytes(r["unit"]) for r in classes.orderBy("class").limit(AUDIT).select("unit").collect()]
+    tasks = max(int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")), shards * slices // 8)
+    met = copies.unionByName(asked).repartitionByRange(tasks, "shard", "slice").sortWithinPartitions("shard", "slice", "kind")
+    found = written(met.mapInPandas(_answers(threshold, sample), "class string, linked string, n long"))
     linked = components(found.where("linked is not null").select(F.col("class").alias("a"), F.col("linked").alias("b")))
     counts = found.groupBy(F.col("class").alias("_class")).agg(F.sum("n").alias("n"))
     met = classes.select("class", "rows", "least").join(counts, F.col("class") == F.col("_class"), "left").join(linked, F.col("class") == F.col("node"), "left")
     met = written(met.select("class", (F.coalesce("n", F.lit(0)) + F.col("rows") - 1).alias("n_links"), F.coalesce("component", "class").alias("top"), "least"))
-    least = met.groupBy(F.col("top").alias("_top")).agg(F.min("least").alias("component"))
-    done = written(met.join(least, F.col("top") == F.col("_top")).select(F.col("class").alias("_class"), "n_links", "component"))
+    least = written(met.groupBy(F.col("top").alias("_top")).agg(F.min("least").alias("component")))
+    # Components as a table to look up: one with very many members is no hot key of a shuffle.
+    done = written(met.join(small(least, BROADCAST_ROWS), F.col("top") == F.col("_top")).select(F.col("class").alias("_class"), "n_links", "component"))
     joined = known.select("vec_id", "class").join(done, F.col("class") == F.col("_class"), "left")
     component = F.coalesce("component", "vec_id")
-    return joined.select(
-        "vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (F.col("vec_id") == component).alias("kept")
-    )
+    kept = F.coalesce(F.col("vec_id") == component, F.lit(False))
+    return joined.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), kept.alias("kept"))
