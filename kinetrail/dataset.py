@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
 from typing import Any
 
@@ -85,3 +85,15 @@ class TrajectoryDataset:
 
     def transform(self, f: Any, *args: Any, **kwargs: Any) -> TrajectoryDataset:
         return replace(self, frames=self.frames.transform(f, *args, **kwargs))
+
+    def transformed(self, change: Callable[[TrajectoryDataset], TrajectoryDataset]) -> TrajectoryDataset:
+        """By an EpisodeTransform, or any function of datasets."""
+        return change(self)
+
+    def ordered(self, part: str) -> DataFrame:
+        """A dimension table by its index."""
+        return getattr(self, part).orderBy(f"{part.removesuffix('s')}_index")
+
+    def sql(self, statement: str) -> DataFrame:
+        """A SELECT over the dataset's tables, named in braces: ``{frames}``, ``{episodes}``, ``{tasks}``, ..."""
+        return self.frames.sparkSession.sql(statement, **{p: df for p in PARTS if (df := getattr(self, p)) is not None})

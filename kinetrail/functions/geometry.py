@@ -129,3 +129,22 @@ def voxels(points: DataFrame, size: float, axes: tuple[str, ...] = ("x", "y", "z
     """The mean point of each cell of a grid, and how many it has."""
     cells = [F.floor(F.col(a) / size).alias(f"cell_{a}") for a in axes]
     return points.groupBy(*by, *cells).agg(F.count("*").alias("n"), *[F.avg(a).alias(a) for a in axes])
+
+
+def extrinsic_noise(matrix: Column, angles: list[Column], shift: list[Column]) -> Column:
+    """A 4 x 4 extrinsic moved by a small rotation (Euler XYZ) and translation from the left."""
+    r = euler_matrix(angles, "XYZ")
+    noise = F.array(*[x for i in range(3) for x in (*[F.get(r, F.lit(3 * i + j)) for j in range(3)], shift[i])], *[F.lit(v) for v in (0.0, 0.0, 0.0, 1.0)])
+    return product(noise, matrix)
+
+
+def projection(intrinsic: Column, world_to_camera: Column, base_to_world: Column | None = None) -> Column:
+    """4 x 4 projection from the world's frame, or from a robot's base or another frame whose pose is given."""
+    whole = product(intrinsic, world_to_camera)
+    return whole if base_to_world is None else product(whole, base_to_world)
+
+
+def gaussian_wasserstein(a: list[Column], size_a: list[Column], b: list[Column], size_b: list[Column]) -> Column:
+    """2-Wasserstein distance of axis-aligned boxes as Gaussians with deviations of half their sizes."""
+    centre = _sum([(x - y) ** 2 for x, y in zip(a, b, strict=True)])
+    return F.sqrt(centre + _sum([((s - t) / 2) ** 2 for s, t in zip(size_a, size_b, strict=True)]))

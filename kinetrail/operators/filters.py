@@ -99,3 +99,21 @@ def contains_any(text: Column, parts: list[str]) -> Column:
     for p in parts:
         out = out | text.contains(p)
     return out
+
+
+def valid_tasks(episodes: DataFrame, error: Column, task: Column, tasks: list[str]) -> DataFrame:
+    """Episodes without error whose task is one of ``tasks``."""
+    return episodes.where(~F.coalesce(error, F.lit(False)) & task.isin(tasks))
+
+
+def distractor_flags(distractors: Column) -> dict[str, Column]:
+    """is_unique: no distractor; is_hard: more than three."""
+    n = F.coalesce(F.size(distractors), F.lit(0))
+    return {"is_unique": n == 0, "is_hard": n > 3}
+
+
+def with_files(episodes: DataFrame, files: DataFrame, path: str) -> DataFrame:
+    """Episodes all of whose listed paths are among ``files`` (path)."""
+    each = episodes.select("episode_index", F.explode(path).alias("_path"))
+    lost = each.join(files, F.col("_path") == F.col("path"), "left_anti").select(F.col("episode_index").alias("_lost"))
+    return episodes.join(lost, F.col("episode_index") == F.col("_lost"), "left_anti")

@@ -26,10 +26,15 @@ def fetched(keys: DataFrame, table: DataFrame, key: str) -> DataFrame:
 def routed(asked: DataFrame, parts: DataFrame) -> DataFrame:
     """``asked`` (pos) with part and the place in it; parts (part, size) lie end to end, negative positions count from the end."""
     laid = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each part
-    bounds = parts.select("part", "size", F.coalesce(F.sum("size").over(laid), F.lit(0)).alias("_start"), F.sum("size").over(Window.partitionBy()).alias("_n"))
-    at = F.when(F.col("pos") < 0, F.col("pos") + F.col("_n")).otherwise(F.col("pos"))
-    met = asked.join(bounds, (at >= F.col("_start")) & (at < F.col("_start") + F.col("size")))
-    return met.withColumn("local", at - F.col("_start")).drop("_start", "_n", "size")
+    bounds = parts.select("part", "size", F.coalesce(F.sum("size").over(laid), F.lit(0)).alias("_start"))
+    n, many = parts.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()
+    # An equi join on buckets as wide as an average part: a part names all that it reaches, twice the parts in sum.
+    width = max(-(-n // max(many, 1)), 1)
+    last = F.col("_start") + F.greatest(F.col("size"), F.lit(1)) - 1
+    named = bounds.where("size > 0").withColumn("_bucket", F.explode(F.sequence(F.floor(F.col("_start") / width), F.floor(last / width))))
+    at = F.when(F.col("pos") < 0, F.col("pos") + n).otherwise(F.col("pos"))
+    inside = (F.floor(at / width) == F.col("_bucket")) & (at >= F.col("_start")) & (at < F.col("_start") + F.col("size"))
+    return asked.join(named, inside).withColumn("local", at - F.col("_start")).drop("_start", "_bucket", "size")
 
 
 def previous_episode(episodes: DataFrame, columns: list[str]) -> DataFrame:
@@ -47,3 +52,39 @@ def matched_once(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
     """Equi join that keeps left rows with exactly one partner."""
     single = right.withColumn("_n", F.count("*").over(Window.partitionBy(*on))).where("_n = 1").drop("_n")
     return left.join(single, on)
+
+
+def capped(episodes: DataFrame, group: str, order: str, most: int) -> DataFrame:
+    """The first ``most`` episodes of each group."""
+    rank = F.row_number().over(Window.partitionBy(group).orderBy(order))
+    return episodes.withColumn("_rank", rank).where(F.col("_rank") <= most).drop("_rank")
+
+
+def steps_of(asked: DataFrame, episodes: DataFrame, stride: int = 1) -> DataFrame:
+    """``asked`` (pos) with episode and step, where each of ``episodes`` (part, size) gives every ``stride``-th step."""
+    sampled = episodes.withColumn("size", F.ceil(F.col("size") / stride).cast("long"))
+    return routed(asked, sampled).withColumn("step", F.col("local") * stride).drop("local")
+
+
+def texts_of(rows: DataFrame, key: str, text: str, order: str) -> DataFrame:
+    """(key, texts): all texts of a key in order."""
+    every = F.array_sort(F.collect_list(F.struct(order, text)))
+    return rows.groupBy(key).agg(F.transform(every, lambda s: s[text]).alias("texts"))
+
+
+def transform_paths(edges: DataFrame, root: str, depth: int = 16) -> DataFrame:
+    """(frame, matrix): each frame's 4 x 4 transform to ``root`` from (parent, child, matrix), row by row; a join for each level of the tree.
+
+    matrix is child to parent, 16 numbers in row order.
+    """
+    from kinetrail.functions.geometry import product
+
+    level = edges.where(F.col("parent") == root).select(F.col("child").alias("frame"), "matrix")
+    out = level
+    for _ in range(depth - 1):
+        below = edges.select("parent", "child", F.col("matrix").alias("_own"))
+        level = level.join(below, F.col("frame") == F.col("parent")).select(F.col("child").alias("frame"), product(F.col("matrix"), F.col("_own")).alias("matrix"))
+        if level.isEmpty():
+            break
+        out = out.unionByName(level)
+    return out

@@ -114,7 +114,9 @@ def carried(batches: DataFrame, by: list[str] | None = None) -> DataFrame:
     """(batch, topic, data, log_time): the newest message of every topic from the batches before, also where the topic has none there."""
     by = by or []
     last = batches.groupBy(*by, "batch", "topic").agg(F.max_by(F.struct("data", "log_time"), F.struct("log_time", "data")).alias("m"))
-    grid = batches.select(*by, "batch").distinct().join(batches.select(*by, "topic").distinct(), by) if by else batches.select("batch").distinct().crossJoin(F.broadcast(batches.select("topic").distinct()))
+    if not by:
+        raise ValueError("name the columns that tell logs apart")
+    grid = batches.select(*by, "batch").distinct().join(batches.select(*by, "topic").distinct(), by)
     before = Window.partitionBy(*by, "topic").orderBy("batch").rowsBetween(Window.unboundedPreceding, -1)
     met = grid.join(last, [*by, "batch", "topic"], "left").withColumn("_m", F.last("m", True).over(before)).where("_m is not null")
     return met.select(*by, "batch", "topic", "_m.data", "_m.log_time")
@@ -122,8 +124,9 @@ def carried(batches: DataFrame, by: list[str] | None = None) -> DataFrame:
 
 def aligned(messages: DataFrame, order: list[str], start: Column) -> DataFrame:
     """``messages`` with log times moved so that each topic's first equals ``start``; distances stay."""
-    first = F.first("log_time").over(Window.partitionBy("topic").orderBy(*order))
-    return messages.withColumn("log_time", F.col("log_time") - first + start)
+    first = messages.groupBy(F.col("topic").alias("_topic")).agg(F.min_by("log_time", F.struct(*order)).alias("_first"))
+    met = messages.join(first, F.col("topic") == F.col("_topic"))
+    return met.withColumn("log_time", F.col("log_time") - F.col("_first") + start).drop("_topic", "_first")
 
 
 def time_range(messages: DataFrame, offset: int | None = None, duration: int | None = None) -> DataFrame:
@@ -137,3 +140,12 @@ def time_range(messages: DataFrame, offset: int | None = None, duration: int | N
 
 def split_at(messages: DataFrame, time: int) -> tuple[DataFrame, DataFrame]:
     return messages.where(F.col("log_time") < time), messages.where(F.col("log_time") >= time)
+
+
+def of_topics(messages: DataFrame, topics: list[str]) -> DataFrame:
+    return messages.where(F.col("topic").isin(topics))
+
+
+def in_order(messages: DataFrame, by: str = "log_time", descending: bool = False) -> DataFrame:
+    """Messages by log or publish time, topics in order among equals; a range shuffle."""
+    return messages.orderBy(F.col(by).desc() if descending else F.col(by).asc(), "topic")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kinetrail.tables import positions
+
 
 def success_rates(results: DataFrame, task: str, success: str) -> DataFrame:
     """(task, n, n_success, rate)."""
@@ -53,11 +55,20 @@ def detection_ap(predictions: DataFrame, truths: DataFrame, thresholds: list[flo
     claim = Window.partitionBy("threshold", "label", "image", "_hit", F.col("b._gt")).orderBy(*order)
     ignored = F.col("_hit") & F.coalesce(F.col("b.ignore"), F.lit(False))
     judged = aim.withColumn("_first", F.row_number().over(claim)).withColumn("tp", (F.col("_hit") & (F.col("_first") == 1) & ~ignored).cast("long")).withColumn("fp", (~ignored & ~(F.col("_hit") & (F.col("_first") == 1))).cast("long"))
-    run = Window.partitionBy("threshold", "label").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    sums = judged.withColumn("_tp", F.sum("tp").over(run)).withColumn("_fp", F.sum("fp").over(run)).withColumn("_k", F.row_number().over(Window.partitionBy("threshold", "label").orderBy(*order)))
+    keys = ["threshold", "label"]
+    # Running counts by range partition, so that a class with most of the rows is many tasks.
+    counted = judged.where("tp + fp = 1").select(*keys, "image", "pred_id", "tp", (-F.col("score")).alias("_down"))
+    ranked = positions(counted, [*keys, "_down", "image", "pred_id"], "_pos", "tp", "_tp0")
+    begins = ranked.groupBy(*keys).agg(F.min("_pos").alias("_p0"), F.min("_tp0").alias("_t0"))
     total = truths.where(~F.col("ignore")).groupBy(F.col("label").alias("_label")).agg(F.count("*").alias("n_truths"))
-    curve = sums.join(total, F.col("label") == F.col("_label")).withColumn("r", F.col("_tp") / F.col("n_truths")).withColumn("p", F.col("_tp") / F.greatest(F.col("_tp") + F.col("_fp"), F.lit(1)))
-    return average_precision(curve.select("label", "threshold", "n_truths", "_k", "r", "p"), ["label", "threshold", "n_truths"], mode)
+    # Between true positives precision falls, so that these are all the curve's points that count.
+    hits = ranked.where("tp = 1").join(begins, keys).join(total, F.col("label") == F.col("_label"))
+    c = F.col("_tp0") - F.col("_t0") + 1
+    curve = hits.select(*keys, F.col("_pos").alias("_k"), (c / F.col("n_truths")).alias("r"), (c / (F.col("_pos") - F.col("_p0") + 1)).alias("p"))
+    found = average_precision(curve, keys, mode)
+    every = judged.select(*keys).distinct().join(total, F.col("label") == F.col("_label")).drop("_label")
+    zero = [F.coalesce(n, F.lit(0.0)).alias(n) for n in ("ap", "recall")]
+    return every.join(found, keys, "left").select("label", "threshold", "n_truths", *zero)
 
 
 def average_precision(curve: DataFrame, keys: list[str], mode: str = "area") -> DataFrame:

@@ -80,14 +80,16 @@ def shuffled(df: DataFrame, seed: int, key: str = "pos", chunk: int | None = Non
 
 
 def mixed(sources: list[DataFrame], weights: list[float], seed: int, key: str = "pos") -> DataFrame:
-    """All rows of the sources with ``source`` and ``mix_key``: in its order, each source's rows spread in proportion to its weight.
+    """All rows of the sources with ``source`` and ``mix_key``: in its order, a draw of a source by its weight each time, until it is empty.
 
-    The key is the time of a row's arrival when a source's rows come at a rate of its weight.
+    Row r of n rows in a source's seeded order comes at time (r + u) / weight, u uniform in [0, 1), so that sources advance at rates
+    of their weights for as long as they have rows; a rank within a source is a place by range partition.
     """
     out = None
     for k, (df, weight) in enumerate(zip(sources, weights, strict=True)):
-        u = (F.pmod(F.xxhash64(F.lit(seed), F.lit(k), F.col(key)), F.lit(1 << 30)) + 1) / float((1 << 30) + 1)
-        one = df.withColumn("source", F.lit(k)).withColumn("mix_key", -F.log(u) / float(weight))
+        drawn = positions(df.withColumn("_hash", F.xxhash64(F.lit(seed), F.lit(k), F.col(key))), ["_hash", key], "_rank")
+        u = F.pmod(F.xxhash64(F.col("_hash"), F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
+        one = drawn.withColumn("source", F.lit(k)).withColumn("mix_key", (F.col("_rank") + u) / float(weight)).drop("_hash", "_rank")
         out = one if out is None else out.unionByName(one)
     return out
 
@@ -107,9 +109,10 @@ def evenly_spaced(df: DataFrame, k: int, pos: str = "pos") -> DataFrame:
 
 def flag_batches(df: DataFrame, flag: str, size: int, order: str = "pos") -> DataFrame:
     """``df`` with ``batch`` and ``slot``: all rows of a batch share a flag. A last short batch repeats its flag's first rows."""
-    numbered = stored(df.withColumn("_n", F.row_number().over(Window.partitionBy(flag).orderBy(order)) - 1))
-    count = numbered.groupBy(flag).agg(F.count("*").alias("_count"))
-    met = numbered.join(count, flag)
+    # Places in the order of (flag, order), less the flag's first: no flag is one task.
+    numbered = positions(df, [flag, order], "_n")
+    count = numbered.groupBy(F.col(flag).alias("_flag")).agg(F.count("*").alias("_count"), F.min("_n").alias("_n0"))
+    met = numbered.join(F.broadcast(count), F.col(flag).eqNullSafe(F.col("_flag"))).withColumn("_n", F.col("_n") - F.col("_n0")).drop("_flag", "_n0")  # two flags, or a few
     # Row j fills every place i with i % count = j, up to a whole number of batches.
     full = F.ceil(F.col("_count") / size) * size
     places = F.sequence(F.col("_n").cast("long"), full - 1, F.col("_count"))
@@ -122,3 +125,43 @@ def collated(df: DataFrame, batch: str, column: str, order: str) -> DataFrame:
     rows = F.array_sort(F.collect_list(F.struct(order, column)))
     grouped = df.groupBy(batch).agg(F.transform(rows, lambda r: r[column]).alias("rows"), F.max(F.size(column)).alias("_w"))
     return grouped.select(batch, F.transform("rows", lambda a: F.concat(a, F.array_repeat(F.lit(0.0), F.col("_w") - F.size(a)))).alias("rows"))
+
+
+def sharded_rows(n: int, shards: int, shard: int, strategy: str | None = None) -> int:
+    """How many rows ``sharded`` gives a shard, without a scan."""
+    if strategy == "drop_last":
+        return n // shards
+    if strategy == "pad_last":
+        return -(-n // shards)
+    return n // shards + (shard < n % shards)
+
+
+def batch_count(n: Column, size: int, drop_last: bool = False) -> Column:
+    """Batches that n rows of a worker make."""
+    return F.floor(n / size) if drop_last else F.ceil(n / size)
+
+
+def reservoir_shuffled(df: DataFrame, reservoir: int, take: int, seed: int) -> DataFrame:
+    """Each partition's rows in a bounded shuffle: ``reservoir`` rows are held, ``take`` more are read, and ``take`` random ones of all go on."""
+    from collections.abc import Iterator
+
+    import numpy as np
+    import pandas as pd
+
+    def shuffle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyspark import TaskContext
+
+        rng = np.random.default_rng([seed, TaskContext.get().partitionId()])
+        held = None
+        for batch in batches:
+            for k in range(0, len(batch), take):
+                part = batch.iloc[k : k + take]
+                held = part if held is None else pd.concat([held, part], ignore_index=True)
+                if len(held) > reservoir:
+                    order = rng.permutation(len(held))
+                    yield held.iloc[order[reservoir:]]
+                    held = held.iloc[order[:reservoir]]
+        if held is not None:
+            yield held.iloc[rng.permutation(len(held))]
+
+    return df.mapInPandas(shuffle, df.schema)

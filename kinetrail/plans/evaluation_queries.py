@@ -30,7 +30,7 @@ def g29_navigation_summary(spark, sf_dir):
 
 #: Boxes made of line items: one axis, images are suppliers, classes return flags, every fourth part a truth.
 _BOXES = """boxes AS (SELECT l_suppkey AS image, l_returnflag AS label, row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax) AS id,
-l_partkey % 400 / 10.0 AS x, 4.0 + l_linenumber % 3 AS s, CAST(l_extendedprice AS DOUBLE) AS score, l_partkey % 4 = 0 AS is_truth FROM lineitem WHERE l_orderkey % 5 = 0),
+l_partkey % 400 / 10.0 AS x, 4.0 + l_linenumber % 3 AS s, CAST(l_extendedprice AS DOUBLE) AS score, l_partkey % 4 = 0 AS is_truth FROM lineitem),
 pair AS (SELECT p.image, p.label, p.id AS pred_id, p.score, t.id AS gt_id,
 greatest(least(p.x + p.s / 2, t.x + t.s / 2) - greatest(p.x - p.s / 2, t.x - t.s / 2), 0) AS i, p.s + t.s AS u FROM (SELECT * FROM boxes WHERE NOT is_truth) p
 LEFT JOIN (SELECT * FROM boxes WHERE is_truth) t ON t.image = p.image AND t.label = p.label),
@@ -47,7 +47,7 @@ def _boxes(spark, sf_dir):
     from kinetrail.tables import positions
 
     order = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax"]
-    rows = positions(read(spark, sf_dir, "lineitem").where("l_orderkey % 5 = 0"), order, "id")
+    rows = positions(read(spark, sf_dir, "lineitem"), order, "id")
     boxes = rows.select(F.col("l_suppkey").alias("image"), F.col("l_returnflag").alias("label"), (F.col("id") + 1).alias("id"), (F.col("l_partkey") % 400 / 10.0).alias("x"), (F.col("l_linenumber") % 3 + 4.0).alias("s"), F.col("l_extendedprice").alias("score"), "l_partkey")
     truth = F.col("l_partkey") % 4 == 0
     p = boxes.where(~truth).select("image", "label", F.col("id").alias("pred_id"), "score", F.col("x").alias("p_x"), F.col("s").alias("p_sx"))
@@ -72,10 +72,10 @@ def g7_ap_11_points(spark, sf_dir):
     return _ap(spark, sf_dir, "11points")
 
 
-@query("""WITH g AS (SELECT l_suppkey % 20 AS scene, l_tax * 10 AS score, row_number() OVER (PARTITION BY l_suppkey % 20 ORDER BY l_extendedprice DESC, l_orderkey * 10 + l_linenumber) AS r FROM lineitem WHERE l_orderkey % 100 < 3)
+@query("""WITH g AS (SELECT l_suppkey % 20 AS scene, l_tax * 10 AS score, row_number() OVER (PARTITION BY l_suppkey % 20 ORDER BY l_extendedprice DESC, l_orderkey * 10 + l_linenumber) AS r FROM lineitem)
 SELECT scene, CAST(f AS DOUBLE) AS friction, k, round(sum(CASE WHEN score > 0 AND score <= f THEN 1 ELSE 0 END) / k, 6) AS accuracy FROM g, (SELECT unnest([0.2, 0.4, 0.8]) AS f), range(1, 21) t(k) WHERE r <= k GROUP BY 1, 2, 3""")
 def g11_grasp_accuracy(spark, sf_dir):
-    rows = read(spark, sf_dir, "lineitem").where("l_orderkey % 100 < 3")
+    rows = read(spark, sf_dir, "lineitem")
     g = rows.select((F.col("l_suppkey") % 20).alias("scene"), (F.col("l_tax") * 10).alias("score"), F.col("l_extendedprice").alias("confidence"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("grasp_id"))
     got = metrics.grasp_accuracy(g, ["scene"], [0.2, 0.4, 0.8])
     return got.select("scene", "friction", F.col("k").cast("long").alias("k"), *rounded("accuracy"))

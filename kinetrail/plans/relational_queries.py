@@ -15,10 +15,11 @@ def g28_episode_dim(spark, sf_dir):
     return dataset(spark, sf_dir)["episodes"].select("episode_index", "dataset_begin_index", "frame_num")
 
 
-@query("""SELECT k AS pos, "index", value FROM (SELECT (i * 7) % 500 AS "index", i AS k FROM range(0, 200) t(i)) JOIN frames USING ("index")""")
+@query("""SELECT a."index" AS pos, b."index", b.value FROM frames a JOIN frames b ON b."index" = a."index" * 7 % (SELECT count(*) FROM events)""")
 def p3_select_by_index(spark, sf_dir):
-    asked = spark.range(200).select(F.col("id").alias("pos"), (F.col("id") * 7 % 500).alias("index"))
-    return asked.join(frames_of(spark, sf_dir), "index").select("pos", "index", "value")
+    frames = frames_of(spark, sf_dir)
+    asked = frames.select(F.col("index").alias("pos"), (F.col("index") * 7 % read(spark, sf_dir, "events").count()).alias("index"))
+    return asked.join(frames, "index").select("pos", "index", "value")
 
 
 @query("""SELECT "index", episode_index, value AS reading FROM frames""")
@@ -47,9 +48,9 @@ def j1_meta_expand(spark, sf_dir):
     return got.groupBy("l_partkey", F.col("part.p_name").alias("p_name"), F.col("part.p_brand").alias("p_brand")).agg(F.count("*").alias("n"), F.round(F.sum("l_quantity"), 6).alias("quantity"))
 
 
-@query("""SELECT k AS pos, key, c_name FROM (SELECT i AS k, (i * 37) % 4000 AS key FROM range(0, 500) t(i)) LEFT JOIN customer ON c_custkey = key""")
+@query("""SELECT o_orderkey AS pos, o_custkey + o_orderkey % 3 AS key, c_name FROM orders LEFT JOIN customer ON c_custkey = o_custkey + o_orderkey % 3""")
 def j2_batched_fetch(spark, sf_dir):
-    asked = spark.range(500).select(F.col("id").alias("pos"), (F.col("id") * 37 % 4000).alias("key"))
+    asked = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("pos"), (F.col("o_custkey") + F.col("o_orderkey") % 3).alias("key"))
     return lookups.fetched(asked, read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key"), "c_name"), "key")
 
 
@@ -215,11 +216,12 @@ def l13_worker_quotas(spark, sf_dir):
     return sharding.worker_quotas(workers, "base", "target").select("worker", "quota")
 
 
-@query("""SELECT CASE event_type WHEN 'view' THEN 0 ELSE 1 END AS source, count(*) AS n_rows, round(count(*) / sum(count(*)) OVER (), 6) AS share FROM events WHERE event_type IN ('view', 'click') GROUP BY 1""")
+@query("""SELECT CAST(dense_rank() OVER (ORDER BY event_type) - 1 AS INT) AS source, count(*) AS n_rows, round(count(*) / sum(count(*)) OVER (), 6) AS share FROM events GROUP BY event_type""")
 def g26_mix_summary(spark, sf_dir):
     events = read(spark, sf_dir, "events")
-    parts = [events.where(F.col("event_type") == t).select(F.col("event_id").alias("pos")) for t in ("view", "click")]
-    return sharding.mix_summary(sharding.mixed(parts, [2.0, 1.0], 3)).select("source", "n_rows", *rounded("share"))
+    types = sorted(r[0] for r in events.select("event_type").distinct().collect())  # a handful
+    parts = [events.where(F.col("event_type") == t).select(F.col("event_id").alias("pos")) for t in types]
+    return sharding.mix_summary(sharding.mixed(parts, [1.0 + k % 2 for k in range(len(parts))], 3)).select("source", "n_rows", *rounded("share"))
 
 
 @query("SELECT count(*) AS n, count(DISTINCT event_id) AS n_distinct, CAST(min(event_id) AS BIGINT) AS lo, true AS permuted FROM events")
@@ -285,11 +287,11 @@ def g18_quantile_stats(spark, sf_dir):
     return got.withColumn("joint", F.col("joint").cast("long"))
 
 
-@query("""SELECT vec_id, k, round(sqrt(CASE WHEN k = 0 THEN 1.0 ELSE 2.0 END / 8) * sum(x * cos(pi() * (2 * t + 1) * k / 16)), 6) AS c
-FROM (SELECT vec_id, t, CAST(embedding[t + 1] AS DOUBLE) AS x FROM embeddings, range(0, 8) r(t)), range(0, 8) s(k) GROUP BY vec_id, k""")
+@query("""SELECT vec_id, k, round(sqrt(CASE WHEN k = 0 THEN 1.0 ELSE 2.0 END / 64) * sum(x * cos(pi() * (2 * t + 1) * k / 128)), 6) AS c
+FROM (SELECT vec_id, t, CAST(embedding[t + 1] AS DOUBLE) AS x FROM embeddings, range(0, 64) r(t)), range(0, 64) s(k) GROUP BY vec_id, k""")
 def c10_dct(spark, sf_dir):
-    steps = F.slice(F.col("embedding").cast("array<double>"), 1, 8)
-    got = read(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(codecs.dct(steps, 8)).alias("k", "c"))
+    steps = F.col("embedding").cast("array<double>")
+    got = read(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(codecs.dct(steps, 64)).alias("k", "c"))
     return got.select("vec_id", F.col("k").cast("long").alias("k"), *rounded("c"))
 
 

@@ -155,9 +155,9 @@ def w6_state_sampling(spark, sf_dir):
     return some.select("index", F.get("h", F.lit(0)).alias("h0"), F.get("p", F.lit(1))["value"].alias("p1"), F.get("p", F.lit(1))["real"].alias("real"))
 
 
-@query("""SELECT "index" FROM frames f WHERE frame_index % 3 = 0 AND (episode_index % 2 = 1 OR frame_index BETWEEN 2 AND 9 OR frame_index BETWEEN 20 AND 29)""")
+@query("""SELECT "index" FROM frames f WHERE episode_index % 2 = 1 OR frame_index BETWEEN 2 AND 9 OR frame_index BETWEEN 20 AND 29""")
 def f7_span_mask(spark, sf_dir):
-    rows = frames_of(spark, sf_dir).where("frame_index % 3 = 0")
+    rows = frames_of(spark, sf_dir)
     even = rows.select("episode_index").distinct().where("episode_index % 2 = 0")
     spans = even.select("episode_index", F.explode(F.array(*[F.struct(F.lit(a).alias("start"), F.lit(b).alias("end")) for a, b in ((2, 10), (20, 30))])).alias("s")).select("episode_index", "s.*")
     return filters.in_spans(rows, spans, ["episode_index"]).select("index")
