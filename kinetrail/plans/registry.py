@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from uuid import uuid4
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinetrail.sources.store import packaged
-from kinetrail.tables import read
+from kinetrail.sources.store import exists, packaged
+from kinetrail.tables import read, shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -44,13 +45,22 @@ def nanoseconds_of(ts: str = "ts") -> Column:
     return (whole * 1000000 + (F.date_part(F.lit("SECOND"), F.col(ts)) * 1000000).cast("long")) * 1000
 
 
+#: Saved datasets by application and source.
+_SAVED: dict[tuple[str, str], str] = {}
+
+
 def dataset(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """Events as a trajectory dataset: frames, episodes and tasks."""
-    raw = read(spark, sf_dir, "events")
-    parts = packaged(raw, ["user_id"], ["ts", "event_id"])
-    at = nanoseconds_of()
-    frames = parts["frames"].withColumns({"timestamp_min": at, "timestamp_max": at})
-    return {"frames": frames, "episodes": parts["episodes"]}
+    """Events as a trajectory dataset, frames and episodes: packaged and saved once in an application, read with pruned columns by each query."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    at = _SAVED.get(key)
+    if at is None or not exists(spark, f"{at}/episodes"):
+        at = f"{shared_dir(spark).rstrip('/')}/kinetrail/dataset-{uuid4().hex}"
+        parts = packaged(read(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"])
+        when = nanoseconds_of()
+        parts["frames"].withColumns({"timestamp_min": when, "timestamp_max": when}).write.parquet(f"{at}/frames")
+        parts["episodes"].write.parquet(f"{at}/episodes")
+        _SAVED[key] = at
+    return {p: spark.read.parquet(f"{at}/{p}") for p in ("frames", "episodes")}
 
 
 def frames_of(spark: SparkSession, sf_dir: str) -> DataFrame:
