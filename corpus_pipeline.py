@@ -44,7 +44,7 @@ STAGES = [
     ("mixing sources", source_mix),
     ("best-fit packing", best_fit_packing),
 ]
-#: The stages hash, cluster, learn and tokenize in ways SQL cannot express; tests compare with brute force.
+#: The stages hash, cluster, learn and tokenize in ways SQL cannot express. tests/llm hold each operator against brute force, and test the stages' columns and counts together.
 ORACLE_SQL = None
 
 
