@@ -148,3 +148,10 @@ def gaussian_wasserstein(a: list[Column], size_a: list[Column], b: list[Column],
     """2-Wasserstein distance of axis-aligned boxes as Gaussians with deviations of half their sizes."""
     centre = _sum([(x - y) ** 2 for x, y in zip(a, b, strict=True)])
     return F.sqrt(centre + _sum([((s - t) / 2) ** 2 for s, t in zip(size_a, size_b, strict=True)]))
+
+
+def intrinsic_4x4(k: Column) -> Column:
+    """A camera's 3 x 3 intrinsic (9 numbers, row order) in a 4 x 4."""
+    at = [F.get(k, F.lit(i)).cast("double") for i in range(9)]
+    zero, one = F.lit(0.0), F.lit(1.0)
+    return F.array(*at[:3], zero, *at[3:6], zero, *at[6:], zero, zero, zero, zero, one)

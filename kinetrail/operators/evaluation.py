@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -17,7 +17,7 @@ class Metric:
 
     update: Mapping[str, Column]
     merge: Mapping[str, str]
-    result: Column
+    result: Callable[[Column], Column]
 
 
 @dataclass(frozen=True)
@@ -38,17 +38,13 @@ class MetricSet:
         out = []
         for m, metric in self.of.items():
             named = named.withColumn(m, F.struct(*[F.col(f"{m}_{s}").alias(s) for s in metric.update]))
-            out.append(F.transform(F.array(m), _on(metric.result))[0].alias(m))
+            out.append(metric.result(F.col(m)).alias(m))
         return named.select(*by, *out)
 
     def compute(self, rows: DataFrame, by: list[str]) -> DataFrame:
         return self.results(self.states(rows, by), by)
 
 
-def _on(result):
-    return lambda state: result(state) if callable(result) else result
-
-
 def mean_of(column: str) -> Metric:
     return Metric({"total": F.sum(column), "n": F.count(column)}, {"total": "sum", "n": "sum"}, lambda s: s["total"] / s["n"])
 

@@ -90,3 +90,11 @@ def job_slice(rows: DataFrame, jobs: int, job: int, pos: str = "pos") -> DataFra
     n = rows.count()
     size = -(-n // jobs)
     return rows.where((F.col(pos) >= job * size) & (F.col(pos) < (job + 1) * size))
+
+
+def saved(table: DataFrame, path: str, replace_existing: bool = False) -> DataFrame:
+    """``table`` published at ``path`` and read from there."""
+    spark = table.sparkSession
+    with published(spark, path, replace_existing) as staged:
+        table.write.parquet(staged)
+    return spark.read.parquet(path)
