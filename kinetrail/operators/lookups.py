@@ -75,16 +75,16 @@ def texts_of(rows: DataFrame, key: str, text: str, order: str) -> DataFrame:
 def transform_paths(edges: DataFrame, root: str, depth: int = 16) -> DataFrame:
     """(frame, matrix): each frame's 4 x 4 transform to ``root`` from (parent, child, matrix), row by row; a join for each level of the tree.
 
-    matrix is child to parent, 16 numbers in row order.
+    Deeper trees than ``depth`` are refused. matrix is child to parent, 16 numbers in row order.
     """
     from kinetrail.functions.geometry import product
 
     level = edges.where(F.col("parent") == root).select(F.col("child").alias("frame"), "matrix")
     out = level
-    for _ in range(depth - 1):
+    for _ in range(depth):
         below = edges.select("parent", "child", F.col("matrix").alias("_own"))
         level = level.join(below, F.col("frame") == F.col("parent")).select(F.col("child").alias("frame"), product(F.col("matrix"), F.col("_own")).alias("matrix"))
         if level.isEmpty():
-            break
+            return out
         out = out.unionByName(level)
-    return out
+    raise ValueError(f"a tree of more than {depth} levels below {root}")
