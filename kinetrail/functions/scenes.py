@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from kinetrail.functions.geometry import moved
+from kinetrail.tables import stored
 
 CLOSE = 1e-9
 
@@ -156,3 +157,37 @@ def collision_counts(grasps: DataFrame, points: DataFrame, by: list[str], region
     turned = [reduce(add, [F.get("_r", F.lit(3 * i + j)) * away[i] for i in range(3)]) for j in range(3)] if rotation is not None else away
     counts = met.groupBy(*by, key).agg(*[F.count_if(in_workspace(turned, *r)).alias(n) for n, r in regions.items()])
     return grasps.select(*by, key).join(counts, [*by, key], "left").select(*by, key, *[F.coalesce(n, F.lit(0)).alias(n) for n in regions])
+
+
+def suppressed(grasps: DataFrame, by: list[str], key: str, score: str, distance: float, degrees: float, rotation: str | None = None) -> DataFrame:
+    """Grasps that no better kept one of their scene lies within ``distance`` of and is turned by at most ``degrees`` from; equal scores go by key.
+
+    The greedy choice by falling score, but in rounds over all scenes at once: undecided grasps without a
+    better undecided neighbour are kept and their neighbours go. Neighbours meet by cells once; a
+    round is two joins on their links, and a chain of n ever worse neighbours takes n / 2 rounds.
+    """
+    axes = ("x", "y", "z")
+    turned = [] if rotation is None else [F.col(rotation).alias("_r")]
+    one = grasps.select(*by, F.col(key).alias("_id"), F.col(score).alias("_s"), *axes, *turned)
+    cell = [F.floor(F.col(a) / distance) for a in axes]
+    near = F.array(*[F.struct(*[(c + d - 1).alias(f"_{a}") for a, c, d in zip(axes, cell, step, strict=True)]) for step in np.ndindex(3, 3, 3)])
+    around = one.select(*by, *[F.col(c).alias(f"{c}2") for c in one.columns if c not in by], F.explode(near).alias("_c")).select("*", "_c.*").drop("_c")
+    met = one.withColumns({f"_{a}": c for a, c in zip(axes, cell, strict=True)}).join(around, [*by, *[f"_{a}" for a in axes]])
+    close = reduce(add, [(F.col(a) - F.col(f"{a}2")) ** 2 for a in axes]) <= distance**2
+    if rotation is not None:  # the angle between two rotations by the trace of one times the other's inverse
+        trace = F.aggregate(F.zip_with("_r", "_r2", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
+        close = close & ((trace - 1) / 2 >= math.cos(math.radians(degrees)))
+    better = (F.col("_s") > F.col("_s2")) | ((F.col("_s") == F.col("_s2")) & (F.col("_id") < F.col("_id2")))
+    links = stored(met.where(close & better).select(*by, F.col("_id").alias("_good"), F.col("_id2").alias("_bad")))
+    gone = None
+    while not links.isEmpty():
+        waiting = links.select(*by, F.col("_bad").alias("_good")).distinct()
+        kept = links.select(*by, "_good").distinct().join(waiting, [*by, "_good"], "left_anti")
+        lost = stored(links.join(kept, [*by, "_good"], "left_semi").select(*by, F.col("_bad").alias("_lost")).distinct())
+        gone = lost if gone is None else gone.unionByName(lost)
+        for side in ("_good", "_bad"):
+            links = links.join(lost.withColumnRenamed("_lost", side), [*by, side], "left_anti")
+        links = stored(links)
+    if gone is None:
+        return grasps
+    return grasps.join(gone.withColumnsRenamed({"_lost": key}), [*by, key], "left_anti").select(*grasps.columns)

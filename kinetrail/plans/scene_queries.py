@@ -168,3 +168,10 @@ def c35_collision_counts(spark, sf_dir):
     rows = _components(spark, sf_dir).select("vec_id", (F.col("vec_id") % 20).alias("scene"), F.col("e0").alias("x"), F.col("e1").alias("y"), F.col("e2").alias("z"))
     regions = {"fingers": ([-0.1] * 3, [0.1] * 3), "palm": ([0.0, -0.1, -0.1], [0.2, 0.1, 0.1])}
     return scenes.collision_counts(rows, rows.drop("vec_id"), ["scene"], regions, "vec_id").select("vec_id", "fingers", "palm")
+
+
+@query()
+def l24_grasp_suppression(spark, sf_dir):
+    # Rounds of a greedy choice are beyond SQL; tests hold the operator against the choice one by one.
+    rows = _components(spark, sf_dir).select("vec_id", (F.col("vec_id") % 20).alias("scene"), F.col("e0").alias("x"), F.col("e1").alias("y"), F.col("e2").alias("z"), F.col("e3").alias("score"))
+    return scenes.suppressed(rows, ["scene"], "vec_id", "score", 0.1, 30).select("scene", "vec_id", *rounded("score"))

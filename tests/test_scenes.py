@@ -96,3 +96,18 @@ def test_log_files_become_frames(spark, tmp_path):
     frames = got["frames"].orderBy("index").collect()
     assert [r.timestamp_min for r in frames] == [0, 20, 40, 60, 80] * 2 and [r.state for r in frames] == [0, 1, 2, 3, 4] * 2
     assert [r.image for r in frames] == ["i0", "i1", None, "i2", "i3"] * 2  # 40 is 11 from 51, 60 is 9
+
+
+def test_suppression_like_one_by_one(spark):
+    rng = np.random.default_rng(8)
+    axis = [[float(v) for v in np.array([[np.cos(a), -np.sin(a), 0], [np.sin(a), np.cos(a), 0], [0, 0, 1]]).ravel()] for a in rng.uniform(0, 1.5, 240)]
+    rows = [(k % 2, k, *map(float, rng.uniform(0, 0.4, 3)), float(rng.integers(0, 40)), axis[k]) for k in range(240)]
+    df = spark.createDataFrame(rows, "scene long, g long, x double, y double, z double, score double, r array<double>")
+    kept = []
+    for row in sorted(rows, key=lambda r: (-r[5], r[1])):
+        worse = (np.linalg.norm(np.subtract(row[2:5], k[2:5])) <= 0.12 and (np.dot(row[6], k[6]) - 1) / 2 >= math.cos(math.radians(30)) for k in kept if k[0] == row[0])
+        if not any(worse):
+            kept.append(row)
+    got = scenes.suppressed(df, ["scene"], "g", "score", 0.12, 30, "r")
+    assert sorted(r.g for r in got.collect()) == sorted(k[1] for k in kept) and len(kept) < 200
+    assert scenes.suppressed(df.limit(0), ["scene"], "g", "score", 0.12, 30, "r").count() == 0
