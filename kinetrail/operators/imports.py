@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kinetrail.functions import geometry
 from kinetrail.operators import temporal
 from kinetrail.sources.store import packaged
 from kinetrail.tables import positions
@@ -111,3 +112,32 @@ def collated(rows: DataFrame, order: list[str], size: int, columns: Mapping[str,
     kept = F.array_sort(F.collect_list(F.struct("_pos", *columns)))
     batches = positions(rows, order, "_pos").groupBy(F.floor(F.col("_pos") / size).alias("batch")).agg(kept.alias("_rows"))
     return batches.select("batch", *[f(F.col(f"_rows.{c}")).alias(c) for c, f in columns.items()])
+
+
+#: Fields of the public JSON message layouts for frame transforms and camera calibration.
+TRANSFORMS = "transforms array<struct<parent_frame_id: string, child_frame_id: string, translation: struct<x: double, y: double, z: double>, rotation: struct<x: double, y: double, z: double, w: double>>>"
+CALIBRATION = "frame_id string, width long, height long, D array<double>, K array<double>"
+
+
+def transforms_of(messages: DataFrame, topic: str, keys: list[str]) -> DataFrame:
+    """(keys, parent, child, matrix): a row for each transform in the messages of a topic, as 4 x 4."""
+    each = decoded(messages, topic, TRANSFORMS).select(*keys, F.explode("message.transforms").alias("t"))
+    place = F.array(*[F.col(f"t.translation.{a}") for a in "xyz"])
+    matrix = geometry.pose_matrix(place, F.array(*[F.col(f"t.rotation.{a}") for a in "wxyz"]))
+    return each.select(*keys, F.col("t.parent_frame_id").alias("parent"), F.col("t.child_frame_id").alias("child"), matrix.alias("matrix"))
+
+
+def transform_messages(rows: DataFrame, topic: str, keys: list[str]) -> DataFrame:
+    """(keys, topic, data): rows (parent, child, translation of three, rotation w x y z) of equal keys as one JSON message."""
+    place = F.struct(*[F.get("translation", F.lit(k)).alias(a) for k, a in enumerate("xyz")])
+    turn = F.struct(*[F.get("rotation", F.lit("wxyz".index(a))).alias(a) for a in "xyzw"])
+    one = F.struct(F.col("parent").alias("parent_frame_id"), F.col("child").alias("child_frame_id"), place.alias("translation"), turn.alias("rotation"))
+    made = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(one)).alias("transforms"))
+    return made.select(*keys, F.lit(topic).alias("topic"), F.encode(F.to_json(F.struct("transforms")), "UTF-8").alias("data"))
+
+
+def calibrations_of(messages: DataFrame, topic: str, keys: list[str]) -> DataFrame:
+    """(keys, frame, width, height, distortion, intrinsic): a camera's calibration messages, the intrinsic as 4 x 4."""
+    m = F.col("message")
+    found = decoded(messages, topic, CALIBRATION)
+    return found.select(*keys, m["frame_id"].alias("frame"), m["width"].alias("width"), m["height"].alias("height"), m["D"].alias("distortion"), geometry.intrinsic_4x4(m["K"]).alias("intrinsic"))

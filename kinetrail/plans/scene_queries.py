@@ -175,3 +175,21 @@ def l24_grasp_suppression(spark, sf_dir):
     # Rounds of a greedy choice are beyond SQL; tests hold the operator against the choice one by one.
     rows = _components(spark, sf_dir).select("vec_id", (F.col("vec_id") % 20).alias("scene"), F.col("e0").alias("x"), F.col("e1").alias("y"), F.col("e2").alias("z"), F.col("e3").alias("score"))
     return scenes.suppressed(rows, ["scene"], "vec_id", "score", 0.1, 30).select("scene", "vec_id", *rounded("score"))
+
+
+@query("SELECT l_orderkey, l_partkey::VARCHAR AS child, round(l_quantity, 6)::DOUBLE AS x, round(l_tax, 6)::DOUBLE AS y, -1.0::DOUBLE AS turned FROM lineitem")
+def s13_transform_batches(spark, sf_dir):
+    # The lines of an order as one message of transforms, each turned by a quarter about z, and back.
+    rows = read(spark, sf_dir, "lineitem").select("l_orderkey", F.lit("base").alias("parent"), F.col("l_partkey").cast("string").alias("child"), F.array(*[c.cast("double") for c in (F.col("l_quantity"), F.col("l_tax"), F.lit(0))]).alias("translation"), F.array(*map(F.lit, (1.0, 0.0, 0.0, 1.0))).alias("rotation"))
+    got = imports.transforms_of(imports.transform_messages(rows, "/tf", ["l_orderkey"]), "/tf", ["l_orderkey"])
+    return got.select("l_orderkey", "child", *[F.round(F.get("matrix", F.lit(k)), 6).alias(n) for k, n in ((3, "x"), (7, "y"), (1, "turned"))])
+
+
+@query("SELECT p_partkey, 'cam' AS frame, p_size::BIGINT AS width, p_size + 0.5::DOUBLE AS fx, 1.0::DOUBLE AS last FROM part")
+def s13_calibrations(spark, sf_dir):
+    size = F.col("p_size").cast("double")
+    k = F.array(*[size + 0.5 if i in (0, 4) else F.lit(float(i == 8)) for i in range(9)])
+    message = F.struct(F.lit("cam").alias("frame_id"), F.col("p_size").alias("width"), F.col("p_size").alias("height"), F.array(F.lit(0.1)).alias("D"), k.alias("K"))
+    messages = read(spark, sf_dir, "part").select("p_partkey", F.lit("calibration").alias("topic"), F.to_json(message).alias("data"))
+    got = imports.calibrations_of(messages, "calibration", ["p_partkey"])
+    return got.select("p_partkey", "frame", "width", F.get("intrinsic", F.lit(0)).alias("fx"), F.get("intrinsic", F.lit(15)).alias("last"))
