@@ -83,3 +83,26 @@ def from_dct_tokens(tokens: Column, n: int, scale: float, least: int) -> Column:
 def token_text(tokens: Column, base: int = 0) -> Column:
     """Tokens from 0 as characters; ``base`` is added to each code point (at most 0xD7FF)."""
     return F.array_join(F.transform(tokens, lambda t: F.decode(F.unhex(F.lpad(F.hex((t + base).cast("long")), 4, "0")), "UTF-16BE")), "")
+
+
+def action_text(steps: Column, grippers: int, arm: str = "<arm>", gripper: str = "<gripper>") -> Column:
+    """Steps of integer tokens as text: the arms' tokens step by step, then those of the last ``grippers`` joints, each part behind its mark."""
+    part = lambda start, n: token_text(F.flatten(F.transform(steps, lambda s: F.slice(s, start(s), n(s)))))
+    arms = part(lambda s: F.lit(1), lambda s: F.size(s) - grippers)
+    return F.concat(F.lit(arm), arms, F.lit(gripper), part(lambda s: F.lit(-grippers), lambda s: F.lit(grippers)))
+
+
+def from_action_text(text: Column, joints: int, grippers: int, arm: str = "<arm>", gripper: str = "<gripper>") -> Column:
+    """Steps of tokens from what ``action_text`` wrote; null unless each mark stands once and both parts have the same steps."""
+    marks = f"^{_quoted(arm)}(.*){_quoted(gripper)}(.*)$"
+    codes = lambda k: F.transform(F.filter(F.split(F.regexp_extract(text, f"(?s){marks}", k), ""), lambda c: c != ""), lambda c: F.ascii(c))
+    n, arms, tips = joints - grippers, codes(1), codes(2)
+    steps = F.floor(F.size(arms) / n).cast("int")
+    made = F.transform(F.sequence(F.lit(0), steps - 1), lambda k: F.concat(F.slice(arms, k * n + 1, n), F.slice(tips, k * grippers + 1, grippers)))
+    once = (F.size(F.split(text, _quoted(arm))) == 2) & (F.size(F.split(text, _quoted(gripper))) == 2) & F.startswith(text, F.lit(arm))
+    whole = once & (F.size(arms) == steps * n) & (F.size(tips) == steps * grippers)
+    return F.when(whole & (steps > 0), made).when(whole, F.array().cast("array<array<int>>"))
+
+
+def _quoted(mark: str) -> str:
+    return f"\\Q{mark}\\E"

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -155,3 +157,49 @@ def intrinsic_4x4(k: Column) -> Column:
     at = [F.get(k, F.lit(i)).cast("double") for i in range(9)]
     zero, one = F.lit(0.0), F.lit(1.0)
     return F.array(*at[:3], zero, *at[3:6], zero, *at[6:], zero, zero, zero, zero, one)
+
+
+@dataclass(frozen=True)
+class Joint:
+    """A joint of a chain: where it sits on the link before (4x4, row order), its axis, and how it moves: turn, slide or fixed."""
+
+    origin: tuple[float, ...] = (1.0, 0.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 0.0, 1.0)
+    axis: tuple[float, float, float] = (0.0, 0.0, 1.0)
+    kind: str = "turn"
+
+    def pose(self, at: Column | None) -> Column:
+        """The link's pose on the one before for the joint's value: each cell is linear in its sine and cosine, or in itself."""
+        origin, k = np.array(self.origin, float).reshape(4, 4), np.array(self.axis, float)
+        k = k / np.linalg.norm(k)
+        still, one, two = np.eye(4), np.zeros((4, 4)), np.zeros((4, 4))
+        if self.kind == "turn":
+            still[:3, :3] = np.outer(k, k)
+            one[:3, :3] = np.eye(3) - np.outer(k, k)
+            two[:3, :3] = [[0, -k[2], k[1]], [k[2], 0, -k[0]], [-k[1], k[0], 0]]
+            values = (F.cos(at), F.sin(at))
+        elif self.kind == "slide":
+            one[:3, 3] = k
+            values = (at,)
+        elif self.kind == "fixed":
+            values = ()
+        else:
+            raise ValueError(f"a joint turns, slides or is fixed, not {self.kind}")
+        parts = [(origin @ m).ravel().tolist() for m in (still, one, two)]
+        return F.array(*[_sum([F.lit(parts[0][i]), *[parts[1 + j][i] * v for j, v in enumerate(values) if parts[1 + j][i]]]) for i in range(16)])
+
+
+def link_poses(joints: list[Joint], values: Column) -> Column:
+    """Poses on the base of all links of a chain, from the values of its joints that move, in order; null where a value is missing."""
+    steps, moving = [], 0
+    for joint in joints:
+        steps.append(joint.pose(None if joint.kind == "fixed" else F.get(values, F.lit(moving))))
+        moving += joint.kind != "fixed"
+    unit = F.array(F.array(*[F.lit(float(i % 5 == 0)) for i in range(16)]))
+    poses = F.aggregate(F.array(*steps), unit, lambda done, m: F.concat(done, F.array(product(F.element_at(done, -1), m))))
+    known = (F.size(values) >= moving) & F.forall(F.slice(values, 1, moving), lambda v: v.isNotNull()) if moving else F.lit(True)
+    return F.when(known, F.slice(poses, 2, len(joints)))
+
+
+def base_to_camera(camera_on_hand: Column, hand: Column) -> Column:
+    """World-to-camera matrix of a camera fixed to a hand, from its pose on the hand and the hand's pose on the base."""
+    return product(inverse_rigid(camera_on_hand), inverse_rigid(hand))

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kinetrail.schema import refuse_reserved
+from kinetrail.schema import INDEX, refuse_reserved
 from kinetrail.tables import positions
 
 
@@ -69,12 +69,17 @@ def merged_episodes(episodes: list[DataFrame]) -> tuple[DataFrame, DataFrame, Da
     return out, mapping, offsets
 
 
-def repacked(frames: DataFrame, episodes: DataFrame, kept: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(frames, episodes) of the chosen frames (``kept``: index), renumbered without gaps.
+def repacked(frames: DataFrame, episodes: DataFrame, kept: DataFrame, columns: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(frames, episodes) of the chosen frames (``kept``: index), renumbered without gaps; of their own columns all or ``columns``.
 
     Episodes that stay complete keep success, truncated and info, and their previous link if
     that episode stayed complete too; others lose them.
     """
+    if columns is not None:
+        missing = set(columns) - set(frames.columns)
+        if missing:
+            raise ValueError(f"no columns {sorted(missing)}")
+        frames = frames.select(*[c for c in frames.columns if c in INDEX or c in columns])
     some = frames.join(kept, "index", "left_semi")
     own = some.groupBy("episode_index").agg(F.count("*").alias("_n"))
     left = own.join(episodes, "episode_index").withColumn("_complete", F.col("_n") == F.col("frame_num"))
@@ -106,8 +111,14 @@ def upgraded(table: DataFrame, version: int, steps: dict[int, Callable[[DataFram
     return table
 
 
-def merged_texts(rows: DataFrame, by: list[str], order: str, text: str, separator: str) -> DataFrame:
-    """(keys, text, spans): texts joined in order with a separator, and where each one lies, from 0 and end exclusive."""
+def merged_texts(rows: DataFrame, by: list[str], order: str, text: str, separator: str, target: str | None = None) -> DataFrame:
+    """(keys, text, spans): texts joined in order with a separator, and where each one lies, from 0 and end exclusive.
+
+    With ``target``, of texts that name the same target only the first is taken; those without one all are.
+    """
+    if target is not None:
+        firsts = rows.where(F.col(target).isNotNull()).groupBy(*by, target).agg(F.min(F.struct(order, text)).alias("_first")).select(*by, "_first.*")
+        rows = firsts.unionByName(rows.where(F.col(target).isNull()).select(*firsts.columns))
     listed = F.array_sort(F.collect_list(F.struct(order, text)))
     grouped = rows.groupBy(*by).agg(F.transform(listed, lambda r: r[text]).alias("_texts"))
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("spans"))

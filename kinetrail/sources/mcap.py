@@ -12,6 +12,7 @@ import struct
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Fixed values of the public container format.
@@ -50,6 +51,8 @@ def _unpacked(chunk: bytes, low: int | None, high: int | None) -> bytes:
         import zstandard
 
         return zstandard.ZstdDecompressor().decompress(body, max_output_size=size)
+    if how == "lz4":
+        return pa.Codec("lz4").decompress(body, size, asbytes=True)
     if how:
         raise ValueError(f"compression {how} is not supported")
     return body
@@ -137,6 +140,8 @@ def packed(messages: Iterable[tuple[str, int, bytes]], encoding: str = "json", c
             import zstandard
 
             raw = zstandard.ZstdCompressor().compress(body)
+        elif compression == "lz4":
+            raw = pa.Codec("lz4").compress(body, asbytes=True)
         times = [m[1] for m in held]
         out.append(_record(CHUNK, struct.pack("<QQQI", min(times), max(times), size, 0) + _string(compression) + struct.pack("<Q", len(raw)) + raw))
         held.clear()

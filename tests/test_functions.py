@@ -86,3 +86,49 @@ def test_strict_json_and_reserved_names():
     assert schema.strict_json({"a": [1, 2.5, None, {"b": "c"}]}) and not schema.strict_json({"a": float("nan")}) and not schema.strict_json({1: 2})
     with pytest.raises(ValueError):
         schema.refuse_reserved("index")
+
+
+def test_action_text_comes_back_or_is_refused(spark):
+    steps = F.array(*[F.array(*map(F.lit, s)) for s in ([1, 2, 3], [5, 6, 7])])
+    text, back = one(spark, codecs.action_text(steps, 1), codecs.from_action_text(codecs.action_text(steps, 1), 3, 1))
+    assert text == "<arm>\x01\x02\x05\x06<gripper>\x03\x07" and back == [[1, 2, 3], [5, 6, 7]]
+    lines = F.lit("<arm>\n\r\u2028a<gripper>\n\x85")
+    assert one(spark, codecs.from_action_text(lines, 3, 1))[0] == [[10, 13, 10], [0x2028, 97, 0x85]]
+    for bad in ("<arm>ab", "ab<gripper>c", "<arm>ab<arm>cd<gripper>ef", "<arm>abc<gripper>d", "<arm>ab<gripper>cd", None):
+        assert one(spark, codecs.from_action_text(F.lit(bad).cast("string"), 3, 1))[0] is None
+    assert one(spark, codecs.from_action_text(F.lit("<arm><gripper>"), 3, 1))[0] == []
+
+
+def test_link_poses_against_matrices(spark):
+    rng = np.random.default_rng(3)
+
+    def rigid():
+        q, _ = np.linalg.qr(rng.normal(size=(3, 3)))
+        m = np.eye(4)
+        m[:3, :3], m[:3, 3] = q * np.sign(np.linalg.det(q)), rng.normal(size=3)
+        return m
+
+    def turned(axis, angle):
+        k = np.array(axis) / np.linalg.norm(axis)
+        cross = np.array([[0, -k[2], k[1]], [k[2], 0, -k[0]], [-k[1], k[0], 0]])
+        m = np.eye(4)
+        m[:3, :3] = np.eye(3) + math.sin(angle) * cross + (1 - math.cos(angle)) * cross @ cross
+        return m
+
+    origins, axes = [rigid() for _ in range(4)], [tuple(rng.normal(size=3)) for _ in range(4)]
+    kinds, values = ["turn", "slide", "fixed", "turn"], [0.7, -0.4, 2.1]
+    slid = np.eye(4)
+    slid[:3, 3] = -0.4 * np.array(axes[1]) / np.linalg.norm(axes[1])
+    want, at = [], np.eye(4)
+    for origin, moved in zip(origins, [turned(axes[0], 0.7), slid, np.eye(4), turned(axes[3], 2.1)], strict=True):
+        at = at @ origin @ moved
+        want.append(at.ravel())
+    chain = [geometry.Joint(tuple(o.ravel().tolist()), a, k) for o, a, k in zip(origins, axes, kinds, strict=True)]
+    assert np.allclose(one(spark, geometry.link_poses(chain, numbers(*values)))[0], want)
+    assert one(spark, geometry.link_poses(chain, numbers(0.7, None, 2.1)))[0] is None
+    assert one(spark, geometry.link_poses(chain, numbers(0.7)))[0] is None
+    camera = rigid()
+    seen = one(spark, geometry.base_to_camera(numbers(*camera.ravel()), numbers(*want[-1])))[0]
+    assert np.allclose(seen, np.linalg.inv(np.reshape(want[-1], (4, 4)) @ camera).ravel())
+    with pytest.raises(ValueError, match="turns, slides"):
+        geometry.Joint(kind="spins").pose(F.lit(1.0))

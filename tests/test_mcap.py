@@ -5,7 +5,7 @@ import pytest
 from kinetrail.sources import mcap
 
 
-@pytest.mark.parametrize("compression,summary", [("", True), ("zstd", True), ("zstd", False)])
+@pytest.mark.parametrize("compression,summary", [("", True), ("zstd", True), ("zstd", False), ("lz4", True)])
 def test_written_files_come_back(spark, tmp_path, compression, summary):
     rng = random.Random(1)
     logs = {f"{k}.mcap": [(rng.choice("abc"), 10 * i, str(rng.random()).encode()) for i in range(2500)] for k in range(3)}
