@@ -89,9 +89,10 @@ def annotations(scenes: DataFrame, scene: str, instances: str, views: str) -> Da
     """(scene, place, <instance fields>, visible): a row for each instance, ``visible`` telling for each view whether it names its id.
 
     ``instances`` is an array of structs with ``id``, ``views`` an array of arrays of ids; scenes without instances give none.
+    Views name ids, not rows: instances of one id in a scene are all visible where a view names it. A null id is visible nowhere.
     """
     each = scenes.select(scene, views, F.posexplode(instances).alias("place", "_instance"))
-    return each.withColumn("visible", F.transform(views, lambda ids: F.array_contains(ids, F.col("_instance.id")))).select(scene, "place", "_instance.*", "visible")
+    return each.withColumn("visible", F.transform(views, lambda ids: F.coalesce(F.array_contains(ids, F.col("_instance.id")), F.lit(False)))).select(scene, "place", "_instance.*", "visible")
 
 
 def with_files(episodes: DataFrame, wanted: Column, listing: DataFrame, episode: str) -> DataFrame:

@@ -68,7 +68,9 @@ def t3_ascending(spark, sf_dir):
     return imports.ascending(rows, "user_id", ["log_time", "event_id"]).select("event_id", "log_time")
 
 
-@query("""SELECT l_orderkey AS scene, l_linenumber AS id, l_returnflag AS label, l_quantity > 25 AS large, l_tax > 0.04 AS taxed, count(*) AS n FROM lineitem GROUP BY ALL""")
+@query("""SELECT scene, id, label, large, taxed, count(*) AS n FROM (
+SELECT l_orderkey AS scene, l_linenumber AS id, l_returnflag AS label, bool_or(l_quantity > 25) OVER w AS large, bool_or(l_tax > 0.04) OVER w AS taxed
+FROM lineitem WINDOW w AS (PARTITION BY l_orderkey, l_linenumber, l_partkey, l_suppkey)) GROUP BY ALL""")
 def p18_annotations(spark, sf_dir):
     # Orders as scenes, their lines as instances: the large and the highly taxed ones in two views.
     line = F.struct(F.concat_ws(":", "l_linenumber", "l_partkey", "l_suppkey").alias("id"), "l_linenumber", F.col("l_returnflag").alias("label"))
