@@ -60,24 +60,26 @@ def ascending(messages: DataFrame, log: str, order: list[str]) -> DataFrame:
     return messages.withColumn("log_time", F.when(F.col("log_time") < before, refused).otherwise(F.col("log_time")))
 
 
-def converted(messages: DataFrame, log: str, order: list[str], start: Callable[[object], dict], step: Callable[[dict, object], list[tuple]], flush: Callable[[dict], list[tuple]], schema: str) -> DataFrame:
+def converted(messages: DataFrame, log: str, order: list[str], start: Callable[[object], dict], step: Callable[[dict, object], list[tuple]], flush: Callable[[dict], list[tuple]], schema: str, quiet: int | None = None) -> DataFrame:
     """Rows of a stateful converter run over each log in order.
 
     start(log) gives a state, step(state, message) the rows of a message, flush(state) those that
-    are left when the log ends. Sorted rows stream through, so only the state is held.
+    are left when the log ends, or when its next message comes more than ``quiet`` ns of log_time later: then it begins
+    anew. Sorted rows stream through, so only the state is held.
     """
     names = list(messages.sparkSession.createDataFrame([], schema).columns)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        at, state = None, None
+        at, state, last = None, None, None
         for frame in frames:
             out: list[tuple] = []
             for message in frame.itertuples(index=False):
                 key = getattr(message, log)
-                if state is None or key != at:
+                if state is None or key != at or (quiet is not None and message.log_time - last > quiet):
                     out += flush(state) if state is not None else []
                     at, state = key, start(key)
                 out += step(state, message)
+                last = None if quiet is None else message.log_time
             yield pd.DataFrame(out, columns=names)
         if state is not None:
             yield pd.DataFrame(flush(state), columns=names)

@@ -112,16 +112,28 @@ def last_of_topics(messages: DataFrame, topics: list[str], order: list[str], by:
 
 def carried(batches: DataFrame, by: list[str] | None = None) -> DataFrame:
     """(batch, topic, data, log_time): the newest message of every topic from the batches before, also where the topic has none there."""
-    by = by or []
-    last = batches.groupBy(*by, "batch", "topic").agg(F.max_by(F.struct("data", "log_time"), F.struct("log_time", "data")).alias("m"))
     if not by:
         raise ValueError("name the columns that tell logs apart")
+    last = batches.groupBy(*by, "batch", "topic").agg(F.max_by(F.struct("data", "log_time"), F.struct("log_time", "data")).alias("m"))
     grid = batches.select(*by, "batch").distinct().join(batches.select(*by, "topic").distinct(), by)
     before = Window.partitionBy(*by, "topic").orderBy("batch").rowsBetween(Window.unboundedPreceding, -1)
     met = grid.join(last, [*by, "batch", "topic"], "left").withColumn("_m", F.last("m", True).over(before)).where("_m is not null")
     return met.select(*by, "batch", "topic", "_m.data", "_m.log_time")
 
 
+def last_messages(batches: DataFrame, by: list[str]) -> DataFrame:
+    """(by, batch, topic, data, log_time): the newest message of every topic up to the end of each batch, the batch's own included.
+
+    Batches are cut by time, after equal times have moved to the later one, so a message that was seen before the cut but lies after
+    the batch is not among them: there the topic's message before it counts again.
+    """
+    last = batches.groupBy(*by, "batch", "topic").agg(F.max_by(F.struct("data", "log_time"), F.struct("log_time", "data")).alias("m"))
+    grid = batches.select(*by, "batch").distinct().join(batches.select(*by, "topic").distinct(), by)
+    run = Window.partitionBy(*by, "topic").orderBy("batch").rowsBetween(Window.unboundedPreceding, 0)
+    met = grid.join(last, [*by, "batch", "topic"], "left").withColumn("_m", F.last("m", True).over(run)).where("_m is not null")
+    return met.select(*by, "batch", "topic", "_m.data", "_m.log_time")
+
+
 def aligned(messages: DataFrame, order: list[str], start: Column) -> DataFrame:
     """``messages`` with log times moved so that each topic's first equals ``start``; distances stay."""
     first = messages.groupBy(F.col("topic").alias("_topic")).agg(F.min_by("log_time", F.struct(*order)).alias("_first"))

@@ -6,6 +6,7 @@ from uuid import uuid4
 
 from pyspark.sql import functions as F
 
+from kinetrail.operators import messages
 from kinetrail.plans.registry import nanoseconds_of, query
 from kinetrail.sources import mcap_source
 from kinetrail.tables import read, shared_dir
@@ -24,3 +25,19 @@ def s8_log_source(spark, sf_dir):
     quarter = (high - low) // 4
     got = spark.read.format("mcap").load(at).where((F.col("topic") == "purchase") & (F.col("log_time") >= low + quarter) & (F.col("log_time") < low + 3 * quarter))
     return got.select(F.decode("data", "UTF-8").cast("long").alias("event_id"), "topic", "log_time")
+
+
+_DAYS = """WITH n AS (SELECT user_id, event_id, event_type, value, epoch_ns(ts) // 86400000000000 AS day, row_number() OVER (PARTITION BY user_id ORDER BY epoch_ns(ts) // 86400000000000, event_id) - 1 AS k FROM events),
+b AS (SELECT *, max(k // 3) OVER (PARTITION BY user_id, day) AS batch FROM n)
+"""
+
+
+@query(_DAYS + """SELECT k.user_id, CAST(k.batch AS BIGINT) AS batch, k.event_type AS topic, arg_max(b.value, (b.day, b.value)) AS data FROM (SELECT DISTINCT user_id, batch, event_type FROM (SELECT DISTINCT user_id, batch FROM b) JOIN (SELECT DISTINCT user_id, event_type FROM b) USING (user_id)) k
+JOIN b ON b.user_id = k.user_id AND b.event_type = k.event_type AND b.batch <= k.batch GROUP BY 1, 2, 3""")
+def t5_last_messages(spark, sf_dir):
+    # Days are log times, so that many messages have the same; a batch is cut after three, and messages of the cut's day move on.
+    day = F.floor(nanoseconds_of() / 86_400_000_000_000).cast("long")
+    rows = read(spark, sf_dir, "events").select("user_id", "event_id", F.col("event_type").alias("topic"), F.col("value").alias("data"), day.alias("log_time"))
+    any_topic = rows.withColumns({"kind": F.col("topic"), "topic": F.lit("any")})
+    placed = messages.batched(any_topic, (messages.Monitor("any", 3, 3, 1 << 40),), "user_id", ["log_time", "event_id"]).withColumn("topic", F.col("kind")).drop("kind")
+    return messages.last_messages(placed, ["user_id"]).select("user_id", "batch", "topic", "data")
