@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kinetrail.functions import geometry
+from kinetrail.functions import geometry, wire
 from kinetrail.operators import temporal
 from kinetrail.sources.store import packaged
 from kinetrail.tables import positions
@@ -21,6 +21,24 @@ def decoded(messages: DataFrame, topic: str, ddl: str, strict: bool = True) -> D
     return messages.where(F.col("topic") == topic).withColumn("message", F.from_json(text, ddl, {"mode": "FAILFAST" if strict else "PERMISSIVE"}))
 
 
+def decoded_by_encoding(messages: DataFrame, topic: str, layout: wire.Layout, strict: bool = True) -> DataFrame:
+    """Messages of a topic with struct ``message``, read as each one's column ``encoding`` says: json, protobuf or cdr; others fail the job, or give null."""
+    known = ("json", "protobuf", "cdr")
+    rows = messages.where(F.col("topic") == topic)
+    if strict:
+        refused = F.raise_error(F.concat(F.lit("encoding is not supported: "), F.coalesce("encoding", F.lit("null")))).cast("string")
+        rows = rows.withColumn("encoding", F.when(F.col("encoding").isin(*known), F.col("encoding")).otherwise(refused))
+    mode = {"mode": "FAILFAST" if strict else "PERMISSIVE"}
+    of = lambda encoding: F.when(F.col("encoding") == encoding, F.col("data"))  # noqa: E731  (null elsewhere, so that only its own bodies are read)
+    structs = [F.from_json(F.decode(of("json"), "UTF-8"), layout.ddl(), mode), *[wire.decoded(of(e), layout, e, strict) for e in known[1:]]]
+    return rows.withColumn("message", F.coalesce(*structs))
+
+
+def encoded_as(message: Column, layout: wire.Layout, encoding: str) -> Column:
+    """A struct as the binary body of a message, in json, protobuf or cdr."""
+    return F.encode(F.to_json(message), "UTF-8") if encoding == "json" else wire.encoded(message, layout, encoding)
+
+
 @dataclass(frozen=True)
 class Stream:
     """A topic, the DDL of its messages, and the frame columns made of their fields (column to field)."""

@@ -6,7 +6,8 @@ from uuid import uuid4
 
 from pyspark.sql import functions as F
 
-from kinetrail.operators import messages
+from kinetrail.functions.wire import Field, Layout
+from kinetrail.operators import imports, messages
 from kinetrail.plans.registry import nanoseconds_of, query
 from kinetrail.sources import mcap_source
 from kinetrail.tables import read, shared_dir
@@ -41,3 +42,22 @@ def t5_last_messages(spark, sf_dir):
     any_topic = rows.withColumns({"kind": F.col("topic"), "topic": F.lit("any")})
     placed = messages.batched(any_topic, (messages.Monitor("any", 3, 3, 1 << 40),), "user_id", ["log_time", "event_id"]).withColumn("topic", F.col("kind")).drop("kind")
     return messages.last_messages(placed, ["user_id"]).select("user_id", "batch", "topic", "data")
+
+
+_EVENT = Layout((Field("id", "int64", 1), Field("user", "sint64", 2), Field("value", "double", 3), Field("kinds", "string", 4, -1), Field("at", Layout((Field("sec", "int32", 1), Field("nanosec", "uint32", 2))), 5), Field("twice", "int64", 6, -1)))
+
+
+@query("SELECT event_id, user_id, value, event_type, epoch_ns(ts) AS log_time, event_id * 2 AS twice FROM events")
+def s10_binary_messages(spark, sf_dir):
+    # Each third of the events in an encoding of its own; the reader goes by the message's encoding.
+    time = nanoseconds_of()
+    at = F.struct(F.floor(time / 1_000_000_000).cast("int").alias("sec"), F.pmod(time, F.lit(1_000_000_000)).alias("nanosec"))
+    message = F.struct(F.col("event_id").alias("id"), F.col("user_id").alias("user"), F.col("value"), F.array("event_type").alias("kinds"), at.alias("at"), F.array(F.lit(-1).cast("long"), F.col("event_id") * 2).alias("twice"))
+    kinds = ("json", "protobuf", "cdr")
+    rows = read(spark, sf_dir, "events").select(F.lit("events").alias("topic"), message.alias("m"), F.element_at(F.array(*map(F.lit, kinds)), (F.pmod("event_id", F.lit(3)) + 1).cast("int")).alias("encoding"))
+    of = lambda e: F.when(F.col("encoding") == e, F.col("m"))
+    sent = rows.select("topic", "encoding", F.coalesce(*[imports.encoded_as(of(e), _EVENT, e) for e in kinds]).alias("data"))
+    m = F.col("message")
+    got = imports.decoded_by_encoding(sent, "events", _EVENT)
+    time = m["at"]["sec"].cast("long") * 1_000_000_000 + m["at"]["nanosec"]
+    return got.select(m["id"].alias("event_id"), m["user"].alias("user_id"), m["value"].alias("value"), F.get(m["kinds"], F.lit(0)).alias("event_type"), time.alias("log_time"), F.get(m["twice"], F.lit(1)).alias("twice"))
