@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 import math
 
 from pyspark.sql import Column, DataFrame, Window
@@ -94,6 +95,43 @@ def mixed(sources: list[DataFrame], weights: list[float], seed: int, key: str =
     return out
 
 
+def active_mix(rows: DataFrame, source: str, order: list[str], active: int, seed: int | None = None) -> DataFrame:
+    """``rows`` of many sources with ``mix_pos``, their place in a mix that has at most ``active`` sources open at a time.
+
+    Each draw takes the next row of one of the open sources, with weights in proportion to their whole numbers of rows; when a draw finds
+    its source empty, the next source of the list opens in its place. Draws of such weights are what independent arrivals at
+    such rates give: a source of n rows that opens at time s has its r-th row at s + (g1 + ... + gr) / n, with exponential gaps g, and is
+    found empty at the arrival behind its last row. So a source's times are prefix sums over its rows by range partition, the times at which
+    sources open are a fold over the sources (a row a source on the driver), and the mix is the order of all times.
+
+    With ``seed``, sources and the rows of each are shuffled, and gaps are drawn, all by hashes; without it, sources open by name, rows
+    come in ``order``, gaps are 1, and with ``active`` 1 sources follow one another. Equal times go by the sources' places. A null source is a
+    source, the last. ``order`` must tell a source's rows apart for reruns to agree.
+    """
+    if active < 1:
+        raise ValueError("at least one source must be active")
+    hashed = lambda *c: F.xxhash64(F.lit(seed), *c)
+    gap = F.lit(1.0) if seed is None else -F.log((F.pmod(hashed(F.lit("gap"), source, *order), F.lit(1 << 52)) + 1) / float(1 << 52))
+    end_gap = F.lit(1.0) if seed is None else -F.log((F.pmod(hashed(F.lit("end"), source), F.lit(1 << 52)) + 1) / float(1 << 52))
+    place = F.lit(0) if seed is None else hashed(F.lit("source"), source)
+    marked = rows.withColumns({"_none": F.col(source).isNull(), "_hash": F.lit(0) if seed is None else hashed(source, *order), "_gap": gap})
+    timed = stored(positions(marked, ["_none", source, "_hash", *order], "_row", "_gap", "_before"))
+    sums = timed.groupBy(source).agg(F.count("*").alias("n"), F.min("_before").alias("base"), F.sum("_gap").alias("gaps"))
+    each = sums.select(F.col(source).alias("_source"), "n", "base", ((F.col("gaps") + end_gap) / F.col("n")).alias("lasts"), place.alias("_place"), F.col(source).isNull().alias("_none"))
+    known = each.orderBy("_place", "_none", "_source").collect()  # a row a source
+    free = [0.0] * active
+    opened = []
+    for k, r in enumerate(known):
+        start = heapq.heappop(free)
+        heapq.heappush(free, start + r.lasts)
+        opened.append((r["_source"], k, r.n, r.base, start))
+    kind = rows.schema[source].dataType.simpleString()
+    starts = rows.sparkSession.createDataFrame(opened, f"_source {kind}, _k long, _n long, _base double, _start double")
+    met = timed.join(starts, F.col(source).eqNullSafe(F.col("_source")))
+    met = met.withColumn("_time", F.col("_start") + (F.col("_before") - F.col("_base") + F.col("_gap")) / F.col("_n"))
+    return positions(met.select(*rows.columns, "_time", "_k", "_row"), ["_time", "_k", "_row"], "mix_pos").drop("_time", "_k", "_row")
+
+
 def mix_summary(mix: DataFrame) -> DataFrame:
     """(source, n_rows, share) of a mix."""
     rows = mix.groupBy("source").agg(F.count("*").alias("n_rows"))

@@ -7,9 +7,9 @@ from uuid import uuid4
 from pyspark.sql import functions as F
 
 from kinetrail.functions.wire import Field, Layout
-from kinetrail.operators import imports, messages
+from kinetrail.operators import imports, messages, sharding
 from kinetrail.plans.registry import nanoseconds_of, query
-from kinetrail.sources import mcap_source
+from kinetrail.sources import mcap_source, store
 from kinetrail.tables import read, shared_dir
 
 _TIMES = "WITH e AS (SELECT event_id, event_type, epoch_ns(ts) AS log_time FROM events), s AS (SELECT min(log_time) AS lo, max(log_time) AS hi FROM e) "
@@ -61,3 +61,38 @@ def s10_binary_messages(spark, sf_dir):
     got = imports.decoded_by_encoding(sent, "events", _EVENT)
     time = m["at"]["sec"].cast("long") * 1_000_000_000 + m["at"]["nanosec"]
     return got.select(m["id"].alias("event_id"), m["user"].alias("user_id"), m["value"].alias("value"), F.get(m["kinds"], F.lit(0)).alias("event_type"), time.alias("log_time"), F.get(m["twice"], F.lit(1)).alias("twice"))
+
+
+@query("""WITH RECURSIVE n AS (SELECT c_mktsegment AS source, count(*) AS n, row_number() OVER (ORDER BY c_mktsegment) AS k FROM customer GROUP BY 1),
+f AS (SELECT CAST(0 AS BIGINT) AS k, CAST(0 AS DOUBLE) AS a, CAST(0 AS DOUBLE) AS b, CAST(0 AS DOUBLE) AS start UNION ALL
+SELECT n.k, least(greatest(f.a, f.b), least(f.a, f.b) + (CAST(n.n AS DOUBLE) + 1.0) / n.n), greatest(greatest(f.a, f.b), least(f.a, f.b) + (CAST(n.n AS DOUBLE) + 1.0) / n.n), least(f.a, f.b) FROM f JOIN n ON n.k = f.k + 1),
+r AS (SELECT c_custkey, c_mktsegment, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_custkey) AS r FROM customer)
+SELECT c_custkey, c_mktsegment, row_number() OVER (ORDER BY f.start + CAST(r AS DOUBLE) / n.n, n.k, r) - 1 AS mix_pos FROM r JOIN n ON n.source = c_mktsegment JOIN f ON f.k = n.k""")
+def l14_active_mix(spark, sf_dir):
+    # Five segments, two of them open at a time.
+    return sharding.active_mix(read(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment"), "c_mktsegment", ["c_custkey"], 2)
+
+
+#: Every 97th event has no ratio, events of the type error whose value is over 90 no unit; every 13th user has no metadata.
+_FAILED = """WITH e AS (SELECT *, CASE WHEN event_id % 97 = 0 THEN 'no ratio' WHEN event_type = 'error' AND value > 90 THEN 'no unit' END AS reason FROM events),
+o AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r FROM e),
+b AS (SELECT user_id, min(r) FILTER (reason IS NOT NULL) AS bad, count(*) AS n, arg_min(reason, r) FILTER (reason IS NOT NULL) AS why, user_id % 13 = 0 AS skip FROM o GROUP BY 1)
+"""
+
+
+def _with_failures(spark, sf_dir):
+    ratio = F.when(F.try_divide(F.lit(1), F.pmod("event_id", F.lit(97))).isNull(), F.lit("no ratio"))
+    unit = F.when((F.col("event_type") == "error") & (F.col("value") > 90), F.lit("no unit"))
+    skip = F.when(F.try_divide(F.lit(1), F.pmod(F.first("user_id"), F.lit(13))).isNull(), F.lit("no metadata"))
+    return store.packaged_with_failures(read(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"], F.coalesce(ratio, unit), skip)
+
+
+@query(_FAILED + """, x AS (SELECT user_id, CASE WHEN bad IS NULL THEN n ELSE bad - 1 END AS frame_num, row_number() OVER (ORDER BY user_id) - 1 AS episode_index FROM b WHERE NOT skip)
+SELECT o.event_id, x.episode_index, o.r - 1 AS frame_index, row_number() OVER (ORDER BY x.episode_index, o.r) - 1 AS "index" FROM o JOIN x ON x.user_id = o.user_id AND o.r <= x.frame_num""")
+def s6_frames_before_failures(spark, sf_dir):
+    return _with_failures(spark, sf_dir)["frames"].select("event_id", "episode_index", "frame_index", "index")
+
+
+@query(_FAILED + """SELECT user_id, CASE WHEN skip THEN 'episode' ELSE 'frame' END AS kind, CASE WHEN skip THEN 'no metadata' ELSE why END AS reason, CAST(CASE WHEN skip THEN 0 ELSE bad - 1 END AS BIGINT) AS kept, CAST(CASE WHEN skip THEN n ELSE n - bad + 1 END AS BIGINT) AS lost FROM b WHERE skip OR bad IS NOT NULL""")
+def s6_quarantine(spark, sf_dir):
+    return _with_failures(spark, sf_dir)["quarantine"].drop("at")
