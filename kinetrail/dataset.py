@@ -30,13 +30,23 @@ class TrajectoryDataset:
 
         return cls(**{p: spark.read.option("mergeSchema", "true").parquet(f"{path}/{p}") for p in PARTS if p in PARTS[:2] or exists(spark, f"{path}/{p}")})
 
-    def save(self, path: str, max_rows_per_file: int = 0, replace_existing: bool = False) -> None:
-        """Writes all tables beside the target, then moves them there as one folder."""
+    def save(self, path: str, max_rows_per_file: int = 0, replace_existing: bool = False, max_shard_bytes: int | None = None) -> None:
+        """Writes all tables beside the target, then moves them there as one folder.
+
+        With ``max_shard_bytes`` frames lie in files of consecutive indices of about so many bytes (as ``sharding.row_bytes`` counts, before
+        Parquet compresses them) at most, but for one larger row in a file.
+        """
+        from kinetrail.operators import sharding
         from kinetrail.sources.store import published
 
         with published(self.frames.sparkSession, path, replace_existing) as at:
             for p in PARTS:
                 if (df := getattr(self, p)) is not None:
+                    if p == "frames" and max_shard_bytes is not None:
+                        cut = sharding.byte_shards(df, max_shard_bytes, ["index"])
+                        many = (cut.agg(F.max("shard")).first()[0] or 0) + 1
+                        # A shard is a partition, and so a file.
+                        df = cut.repartitionById(many, F.col("shard").cast("int")).sortWithinPartitions("index").drop("bytes", "shard")
                     df.write.option("maxRecordsPerFile", max_rows_per_file).parquet(f"{at}/{p}")
 
     def index(self) -> DataFrame:

@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from kinetrail.tables import positions, stored
+
+#: Parts that may begin in one bucket of ``routed``.
+CROWD = 64
+
 
 def expanded(frames: DataFrame, dimensions: dict[str, DataFrame]) -> DataFrame:
     """Each ``<name>_index`` replaced by the dimension's row as struct ``<name>``; null for null and unknown keys.
@@ -24,17 +29,29 @@ def fetched(keys: DataFrame, table: DataFrame, key: str) -> DataFrame:
 
 
 def routed(asked: DataFrame, parts: DataFrame) -> DataFrame:
-    """``asked`` (pos) with part and the place in it; parts (part, size) lie end to end, negative positions count from the end."""
-    laid = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each part
-    bounds = parts.select("part", "size", F.coalesce(F.sum("size").over(laid), F.lit(0)).alias("_start"))
-    n, many = parts.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()
-    # An equi join on buckets as wide as an average part: a part names all that it reaches, twice the parts in sum.
+    """``asked`` (pos) with part and the place in it; parts (part, size) lie end to end, negative positions count from the end.
+
+    Where parts begin are prefix sums by range partition. A position meets its part by an equi join on buckets of the line of positions; a
+    bucket is as wide as an average part, and one that more parts than ``CROWD`` begin in is cut again, to single positions, so that one huge
+    part among many small ones crowds no bucket.
+    """
+    laid = positions(parts.where("size > 0").select("part", "size"), ["part"], "_place", "size", "_start").drop("_place")
+    n, many = parts.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count(F.when(F.col("size") > 0, 1))).first()
     width = max(-(-n // max(many, 1)), 1)
-    last = F.col("_start") + F.greatest(F.col("size"), F.lit(1)) - 1
-    named = bounds.where("size > 0").withColumn("_bucket", F.explode(F.sequence(F.floor(F.col("_start") / width), F.floor(last / width))))
+    bucket = lambda at: F.floor(at / width)
+    crowded = laid.groupBy(bucket(F.col("_start")).alias("_crowd")).count().where(F.col("count") > CROWD).select("_crowd")
+    last = F.col("_start") + F.col("size") - 1
+    named = laid.withColumn("_bucket", F.explode(F.sequence(bucket(F.col("_start")), bucket(last))))
+    marked = named.join(crowded, F.col("_bucket") == F.col("_crowd"), "left")
+    # In a crowded bucket a part names each of its positions there, the bucket's width in sum; elsewhere the whole bucket, as -1.
+    low, high = F.greatest("_start", F.col("_bucket") * width), F.least(last, F.col("_bucket") * width + width - 1)
+    named = marked.withColumn("_at", F.explode(F.when(F.col("_crowd").isNull(), F.array(F.lit(-1).cast("long"))).otherwise(F.sequence(low.cast("long"), high.cast("long"))))).drop("_crowd")
     at = F.when(F.col("pos") < 0, F.col("pos") + n).otherwise(F.col("pos"))
-    inside = (F.floor(at / width) == F.col("_bucket")) & (at >= F.col("_start")) & (at < F.col("_start") + F.col("size"))
-    return asked.join(named, inside).withColumn("local", at - F.col("_start")).drop("_start", "_bucket", "size")
+    sought = asked.withColumns({"_pos": at, "_b": bucket(at)}).join(crowded, F.col("_b") == F.col("_crowd"), "left")
+    sought = sought.withColumn("_exact", F.when(F.col("_crowd").isNull(), F.lit(-1).cast("long")).otherwise(F.col("_pos"))).drop("_crowd")
+    inside = (F.col("_b") == F.col("_bucket")) & (F.col("_exact") == F.col("_at")) & (F.col("_pos") >= F.col("_start")) & (F.col("_pos") < F.col("_start") + F.col("size"))
+    out = sought.join(named, inside).withColumn("local", F.col("_pos") - F.col("_start"))
+    return out.select(*asked.columns, "part", "local")
 
 
 def previous_episode(episodes: DataFrame, columns: list[str]) -> DataFrame:
@@ -75,15 +92,15 @@ def texts_of(rows: DataFrame, key: str, text: str, order: str) -> DataFrame:
 def transform_paths(edges: DataFrame, root: str, depth: int = 16) -> DataFrame:
     """(frame, matrix): each frame's 4 x 4 transform to ``root`` from (parent, child, matrix), row by row; a join for each level of the tree.
 
-    Deeper trees than ``depth`` are refused. matrix is child to parent, 16 numbers in row order.
+    Deeper trees than ``depth`` are refused. matrix is child to parent, 16 numbers in row order. Each level is a stored table, computed once.
     """
     from kinetrail.functions.geometry import product
 
-    level = edges.where(F.col("parent") == root).select(F.col("child").alias("frame"), "matrix")
+    level = stored(edges.where(F.col("parent") == root).select(F.col("child").alias("frame"), "matrix"))
     out = level
     for _ in range(depth):
         below = edges.select("parent", "child", F.col("matrix").alias("_own"))
-        level = level.join(below, F.col("frame") == F.col("parent")).select(F.col("child").alias("frame"), product(F.col("matrix"), F.col("_own")).alias("matrix"))
+        level = stored(level.join(below, F.col("frame") == F.col("parent")).select(F.col("child").alias("frame"), product(F.col("matrix"), F.col("_own")).alias("matrix")))
         if level.isEmpty():
             return out
         out = out.unionByName(level)

@@ -165,6 +165,40 @@ def collated(df: DataFrame, batch: str, column: str, order: str) -> DataFrame:
     return grouped.select(batch, F.transform("rows", lambda a: F.concat(a, F.array_repeat(F.lit(0.0), F.col("_w") - F.size(a)))).alias("rows"))
 
 
+def row_bytes(df: DataFrame, columns: list[str] | None = None) -> Column:
+    """About the bytes of a row: 8 a number, the length of texts and binaries, and the sum over arrays, maps and structs."""
+    from pyspark.sql import types as T
+
+    def of(value: Column, kind: T.DataType) -> Column:
+        if isinstance(kind, T.StringType | T.BinaryType):
+            return F.coalesce(F.octet_length(value).cast("long"), F.lit(0))
+        if isinstance(kind, T.StructType):
+            return sum((of(value[f.name], f.dataType) for f in kind), F.lit(0).cast("long"))
+        if isinstance(kind, T.ArrayType):
+            if isinstance(kind.elementType, T.NumericType | T.BooleanType | T.DatetimeType):
+                return F.coalesce(F.size(value).cast("long") * 8, F.lit(0))
+            return F.coalesce(F.aggregate(value, F.lit(0).cast("long"), lambda a, x: a + of(x, kind.elementType)), F.lit(0))
+        if isinstance(kind, T.MapType):
+            return of(F.map_keys(value), T.ArrayType(kind.keyType)) + of(F.map_values(value), T.ArrayType(kind.valueType))
+        return F.lit(8).cast("long")
+
+    return sum((of(F.col(c), df.schema[c].dataType) for c in columns or df.columns), F.lit(0).cast("long"))
+
+
+def byte_shards(df: DataFrame, limit: int, order: list[str], size: Column | None = None) -> DataFrame:
+    """``df`` with ``bytes`` and ``shard``: consecutive rows in ``order`` of at most ``limit`` bytes in sum, but for one larger row at a shard's end.
+
+    A shard is where a row's prefix sum falls in steps of the limit less the largest row; rows over half the limit do not count for that, so that
+    one of them may overrun its shard, by itself alone. Sums are made by range partition. Shards may be empty and have no number then.
+    """
+    if limit < 1:
+        raise ValueError("the limit must be a byte at least")
+    sized = df.withColumn("bytes", row_bytes(df) if size is None else size.cast("long"))
+    laid = positions(sized, order, "_row", "bytes", "_before")
+    largest = laid.agg(F.coalesce(F.max(F.when(F.col("bytes") <= limit // 2, F.col("bytes"))), F.lit(0))).first()[0]
+    return laid.withColumn("shard", F.floor(F.col("_before") / (limit - largest)).cast("long")).drop("_row", "_before")
+
+
 def sharded_rows(n: int, shards: int, shard: int, strategy: str | None = None) -> int:
     """How many rows ``sharded`` gives a shard, without a scan."""
     if strategy == "drop_last":

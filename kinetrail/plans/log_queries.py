@@ -6,10 +6,11 @@ from uuid import uuid4
 
 from pyspark.sql import functions as F
 
+from kinetrail.functions import depths, tables
 from kinetrail.functions.wire import Field, Layout
 from kinetrail.operators import imports, messages, sharding
-from kinetrail.plans.registry import nanoseconds_of, query
-from kinetrail.sources import mcap_source, store
+from kinetrail.plans.registry import nanoseconds_of, query, rounded
+from kinetrail.sources import mcap_source, robots, store
 from kinetrail.tables import read, shared_dir
 
 _TIMES = "WITH e AS (SELECT event_id, event_type, epoch_ns(ts) AS log_time FROM events), s AS (SELECT min(log_time) AS lo, max(log_time) AS hi FROM e) "
@@ -96,3 +97,75 @@ def s6_frames_before_failures(spark, sf_dir):
 @query(_FAILED + """SELECT user_id, CASE WHEN skip THEN 'episode' ELSE 'frame' END AS kind, CASE WHEN skip THEN 'no metadata' ELSE why END AS reason, CAST(CASE WHEN skip THEN 0 ELSE bad - 1 END AS BIGINT) AS kept, CAST(CASE WHEN skip THEN n ELSE n - bad + 1 END AS BIGINT) AS lost FROM b WHERE skip OR bad IS NOT NULL""")
 def s6_quarantine(spark, sf_dir):
     return _with_failures(spark, sf_dir)["quarantine"].drop("at")
+
+
+@query("""SELECT user_id, topic, first, n FROM (SELECT user_id, event_type AS topic, min(event_id) AS first, count(*) AS n FROM (
+SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS run FROM events) GROUP BY user_id, event_type, run)""")
+def x7_converter_function(spark, sf_dir):
+    def step(state, row):
+        done = run(state) if state.get("topic") not in (None, row["topic"]) else []
+        if done or not state:
+            state |= {"user": row["user_id"], "topic": row["topic"], "first": row["event_id"], "n": 0}
+        state["n"] += 1
+        return done
+
+    def run(state):
+        return [(state["user"], state["topic"], state["first"], state["n"])] if state else []
+
+    rows = read(spark, sf_dir, "events").select("user_id", F.col("event_type").alias("topic"), "event_id")
+    return tables.converted(rows, ["user_id"], ["event_id"], tables.converter(dict, step, run, "user_id long, topic string, first long, n long"))
+
+
+@query("""WITH f AS (SELECT event_id, value, row_number() OVER (ORDER BY event_id) - 1 AS i FROM events)
+SELECT a.event_id, a.i AS "index", h.value AS half, d.value AS double FROM f a LEFT JOIN f h ON h.i = a.i // 2 LEFT JOIN f d ON d.i = a.i * 2""")
+def x3_row_sampler(spark, sf_dir):
+    from kinetrail.tables import positions
+
+    frames = positions(read(spark, sf_dir, "events").select("event_id", "value"), ["event_id"], "index")
+    choose = tables.sampler(lambda row: {"value": [row["index"] // 2, row["index"] * 2]})
+    got = tables.sampled(frames, frames.select("event_id", "index"), ["value"], choose)
+    return got.select("event_id", "index", F.get("value", F.lit(0)).alias("half"), F.get("value", F.lit(1)).alias("double"))
+
+
+#: Two arms on a base: a turning one of two links, as long as the robot's number says, and a sliding one with a finger that follows it.
+_ARMS = """<robot name="r"><link name="base"/><link name="upper"/><link name="lower"/><link name="tip"/><link name="slide"/><link name="finger"/>
+<joint name="shoulder" type="revolute"><parent link="base"/><child link="upper"/><origin xyz="0 0 0.5"/><axis xyz="0 0 1"/></joint>
+<joint name="elbow" type="continuous"><parent link="upper"/><child link="lower"/><origin xyz="{0} 0 0"/><axis xyz="0 0 1"/></joint>
+<joint name="hand" type="fixed"><parent link="lower"/><child link="tip"/><origin xyz="0.25 0 0"/></joint>
+<joint name="rail" type="prismatic"><parent link="base"/><child link="slide"/><axis xyz="0 1 0"/></joint>
+<joint name="grip" type="prismatic"><parent link="slide"/><child link="finger"/><axis xyz="0 0 1"/><mimic joint="rail" multiplier="-0.5" offset="1"/></joint></robot>"""
+
+
+@query("""SELECT c_custkey, round((n + 1) * cos(a) + 0.25 * cos(3 * a), 6) AS tip_x, round((n + 1) * sin(a) + 0.25 * sin(3 * a), 6) AS tip_y, round(a / 4, 6) AS finger_y, round(1 - a / 8, 6) AS finger_z, 2 AS apart
+FROM (SELECT c_custkey, c_nationkey AS n, CAST(c_acctbal AS DOUBLE) / 7001 AS a FROM customer)""")
+def c18_robot_descriptions(spark, sf_dir):
+    customers = read(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").cast("string").alias("robot"), (F.col("c_acctbal").cast("double") / 7001).alias("a"))
+    parts = _ARMS.split("{0}")
+    described = customers.select("robot").distinct().withColumn("text", F.concat(F.lit(parts[0]), (F.col("robot").cast("int") + 1).cast("string"), F.lit(parts[1])))
+    joints = robots.joint_table(described, "robot", "text")
+    state = F.create_map(F.lit("shoulder"), F.col("a"), F.lit("elbow"), F.col("a") * 2, F.lit("rail"), F.col("a") / 4)
+    posed = customers.withColumn("p", robots.link_poses(joints, "robot", state, ["tip", "finger"]))
+    # The elbow and the rail: one joint apart on the base, and one along the arm.
+    apart = robots.joint_distances(joints).where("a = 'elbow' and b = 'rail'").select(F.col("robot").alias("_robot"), F.col("distance").alias("apart"))
+    at = lambda link, k: F.get(F.col("p")[link], F.lit(k))
+    got = posed.join(apart, F.col("robot") == F.col("_robot")).select("c_custkey", at("tip", 3).alias("tip_x"), at("tip", 7).alias("tip_y"), at("finger", 7).alias("finger_y"), at("finger", 11).alias("finger_z"), "apart")
+    return got.select("c_custkey", *rounded("tip_x", "tip_y", "finger_y", "finger_z"), "apart")
+
+
+@query("""WITH p AS (SELECT vec_id, generate_subscripts(embedding, 1) - 1 AS k, least(greatest(2 + 4 * CAST(unnest(embedding) AS DOUBLE), 0.5), 4.0) AS d FROM embeddings),
+b AS (SELECT vec_id, (k // 8) // 2 * 4 + k % 8 // 2 AS cell, least(floor((d - 0.5) / 3.5 * 7), 6) AS low, (d - 0.5) / 3.5 * 7 AS place FROM p),
+w AS (SELECT vec_id, cell, low AS bin, 1 - (place - low) AS w FROM b UNION ALL SELECT vec_id, cell, low + 1, place - low FROM b)
+SELECT vec_id, cell, CAST(bin AS BIGINT) AS bin, round(sum(w) / 4, 6) AS share FROM w GROUP BY 1, 2, 3 HAVING round(sum(w) / 4, 6) > 0""")
+def c32_depth_bins(spark, sf_dir):
+    # Vectors as 8 x 8 depth images.
+    images = read(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: 2 + 4 * x.cast("double")).alias("depths"))
+    cells = images.select("vec_id", F.posexplode(depths.bin_labels("depths", 8, 8, (2,), 8, 0.5, 4.0)).alias("cell", "shares"))
+    got = cells.select("vec_id", F.col("cell").cast("long").alias("cell"), F.posexplode("shares").alias("bin", "share"))
+    return got.select("vec_id", "cell", F.col("bin").cast("long").alias("bin"), F.round("share", 6).alias("share")).where("share > 0")
+
+
+@query("""WITH s AS (SELECT doc_id, strlen(coalesce(text, '')) + 16 AS bytes FROM documents), l AS (SELECT *, coalesce(sum(bytes) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM s)
+SELECT doc_id, bytes, CAST(before // (40000 - (SELECT max(bytes) FROM s WHERE bytes <= 20000)) AS BIGINT) AS shard FROM l""")
+def s5_byte_shards(spark, sf_dir):
+    rows = read(spark, sf_dir, "documents").select("doc_id", "text", "n_chars")
+    return sharding.byte_shards(rows, 40_000, ["doc_id"]).select("doc_id", "bytes", "shard")

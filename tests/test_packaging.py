@@ -102,3 +102,44 @@ def test_even_draws_against_a_walk(spark):
         assert mixed(spark, SIZES, active, None) == [(s, k) for _, _, s, k in want]
     with pytest.raises(ValueError, match="at least one"):
         mixed(spark, SIZES, 0, None)
+
+
+def test_shards_by_bytes(spark, tmp_path):
+    import pyarrow.parquet as pq
+
+    from kinetrail.dataset import TrajectoryDataset
+
+    rng = random.Random(5)
+    sizes = [rng.randrange(10, 300) for _ in range(300)] + [5000] + [20] * 50
+    frames = spark.createDataFrame([(k, 0, "x" * n) for k, n in enumerate(sizes)], "index long, episode_index long, data string")
+    cut = sharding.byte_shards(frames, 1000, ["index"]).orderBy("index").collect()
+    assert [r.bytes for r in cut] == [n + 16 for n in sizes] and [r.shard for r in cut] == sorted(r.shard for r in cut)
+    for shard in {r.shard for r in cut}:
+        held = [r.bytes for r in cut if r.shard == shard]
+        assert sum(held) <= 1000 or (held[-1] > 500 and sum(held[:-1]) <= 1000)
+    TrajectoryDataset(frames, spark.createDataFrame([(0,)], "episode_index long")).save(str(tmp_path / "set"), max_shard_bytes=1000)
+    files = [pq.read_table(f).to_pylist() for f in (tmp_path / "set" / "frames").glob("*.parquet")]
+    held = sorted(([r["index"] for r in f] for f in files if f))
+    assert [i for f in held for i in f] == list(range(351)) and len(held) == len({r.shard for r in cut})
+    assert TrajectoryDataset.load(spark, str(tmp_path / "set")).frames.columns == ["index", "episode_index", "data"]
+    nested = spark.createDataFrame([("ab", [1, 2, 3], ["x", "yz"], {"k": "vv"}, (1, "é"), None)], "a string, b array<int>, c array<string>, d map<string, string>, e struct<x: int, y: string>, f string")
+    assert nested.select(sharding.row_bytes(nested)).first()[0] == 2 + 24 + 3 + 3 + 10 + 0
+
+
+def test_positions_of_one_huge_part_and_many_small_ones(spark):
+    from kinetrail.operators import lookups
+
+    parts = [(k, 1 + k % 3 if k != 700 else 1_000_000) for k in range(2000)] + [(2001, 0)]
+    starts, at = [], 0
+    for part, size in parts:
+        starts.append((at, part, size))
+        at += size
+    rng = random.Random(4)
+    asked = [rng.randrange(at) for _ in range(300)] + [rng.randrange(2000) for _ in range(200)] + [-1, -5, at - 1, at, 0]
+    want = []
+    for pos in asked:
+        real = pos + at if pos < 0 else pos
+        want += [(pos, part, real - start) for start, part, size in starts if start <= real < start + size]
+    df = spark.createDataFrame([(p,) for p in asked], "pos long")
+    got = lookups.routed(df, spark.createDataFrame(parts, "part long, size long"))
+    assert sorted((r.pos, r.part, r.local) for r in got.collect()) == sorted(want)
