@@ -5,6 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -73,6 +75,22 @@ def part_ap(predictions: DataFrame, truths: DataFrame, part: str, thresholds: li
     return found.select(F.col("label.part").alias(part), F.col("label.label").alias("label"), *[c for c in found.columns if c != "label"])
 
 
+def area_ap(predictions: DataFrame, truths: DataFrame, areas: dict[str, tuple[float, float]], area: Column, thresholds: list[float], iou: Column, mode: str = "area", name: str = "area") -> DataFrame:
+    """(area, label, ...): average precision for truths of each range [low, high] of ``area``, an expression over truths, all ranges in one pass.
+
+    Truths outside a range are ignored there: they do not count, and predictions that claim them are neither true nor false. A class without a
+    truth in a range has no row.
+    """
+    every = F.explode(F.array(*map(F.lit, areas))).alias(name)
+    sized = truths.withColumn("_area", area)
+    bound = lambda k: reduce(lambda done, a: done.when(F.col(name) == a, F.lit(float(areas[a][k]))), areas, F)
+    ranged = sized.select("*", every)
+    ignored = (F.col("_area") < bound(0)) | (F.col("_area") > bound(1))
+    if "ignore" in truths.columns:
+        ignored = ignored | F.col("ignore")
+    return part_ap(predictions.select("*", every), ranged.withColumn("ignore", F.coalesce(ignored, F.lit(True))).drop("_area"), name, thresholds, iou, mode)
+
+
 def by_class(results: DataFrame, columns: list[str]) -> DataFrame:
     """(label, image, items): detections of an image regrouped by class, best first."""
     items = F.sort_array(F.collect_list(F.struct("score", *columns)), asc=False)

@@ -150,7 +150,7 @@ def flag_batches(df: DataFrame, flag: str, size: int, order: str = "pos") -> Dat
     # Places in the order of (flag, order), less the flag's first: no flag is one task.
     numbered = positions(df, [flag, order], "_n")
     count = numbered.groupBy(F.col(flag).alias("_flag")).agg(F.count("*").alias("_count"), F.min("_n").alias("_n0"))
-    met = numbered.join(F.broadcast(count), F.col(flag).eqNullSafe(F.col("_flag"))).withColumn("_n", F.col("_n") - F.col("_n0")).drop("_flag", "_n0")  # two flags, or a few
+    met = numbered.join(count, F.col(flag).eqNullSafe(F.col("_flag"))).withColumn("_n", F.col("_n") - F.col("_n0")).drop("_flag", "_n0")
     # Row j fills every place i with i % count = j, up to a whole number of batches.
     full = F.ceil(F.col("_count") / size) * size
     places = F.sequence(F.col("_n").cast("long"), full - 1, F.col("_count"))
@@ -208,6 +208,12 @@ def sharded_rows(n: int, shards: int, shard: int, strategy: str | None = None) -
     return n // shards + (shard < n % shards)
 
 
+def shard_rows(n: Column, shards: int, shard: Column, strategy: str | None = None) -> Column:
+    """``sharded_rows`` for a column of sizes and one of shards."""
+    whole, more = F.floor(n / shards), n % shards
+    return (whole if strategy == "drop_last" else F.ceil(n / shards) if strategy == "pad_last" else whole + (shard < more).cast("long")).cast("long")
+
+
 def batch_count(n: Column, size: int, drop_last: bool = False) -> Column:
     """Batches that n rows of a worker make."""
     return F.floor(n / size) if drop_last else F.ceil(n / size)

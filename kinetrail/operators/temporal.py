@@ -109,6 +109,24 @@ def chunk(frames: DataFrame, columns: list[str], hist_steps: int = 1, pred_steps
     return frames.withColumns({c: F.array(*[at(c, o) for o in offsets]) for c in columns})
 
 
+def sampled_states(frames: DataFrame, columns: list[str], hist: int, pred: int) -> DataFrame:
+    """``frames`` with ``<column>_hist``, the ``hist`` values up to each frame, and ``<column>_pred``, the ``pred`` ones after it as (value, real).
+
+    The first value is repeated before an episode's start, the last one behind its end, where real is false. A window of ``hist + pred`` frames
+    is read for each, not the episode (``sequences.history`` and ``prediction`` do the same for arrays).
+    """
+    window = _by_index()
+    whole = window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    made = {}
+    for c in columns:
+        boxed = F.struct(F.col(c).alias("value"))  # a null value is a value, a null box is no row
+        first, last = F.first(boxed).over(whole), F.last(boxed).over(whole)
+        made[f"{c}_hist"] = F.array(*[F.coalesce(F.lag(boxed, k).over(window), first)["value"] if k else F.col(c) for k in range(hist - 1, -1, -1)])
+        ahead = [F.lead(boxed, k).over(window) for k in range(1, pred + 1)]
+        made[f"{c}_pred"] = F.array(*[F.struct(F.coalesce(a, last)["value"].alias("value"), a.isNotNull().alias("real")) for a in ahead])
+    return frames.withColumns(made)
+
+
 def gather(frames: DataFrame, columns: list[str], order: str = INDEX, key: str = EPISODE) -> DataFrame:
     """Every row with all its episode's values of ``columns``: one array an episode, joined back."""
     rows = F.sort_array(F.collect_list(F.struct(order, *columns)))

@@ -64,11 +64,13 @@ def j4_previous_episode(spark, sf_dir):
     return lookups.previous_episode(linked, ["price"]).select(F.col("episode_index").alias("o_orderkey"), "prev_price")
 
 
-@query("""SELECT pos, r_regionkey AS part, pos - s AS local FROM (SELECT r_regionkey, coalesce(sum(n) OVER (ORDER BY r_regionkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s, n
-FROM (SELECT n_regionkey AS r_regionkey, CAST(count(*) AS BIGINT) AS n FROM nation GROUP BY 1)), range(0, 25) t(pos) WHERE pos >= s AND pos < s + n""")
+@query("""SELECT pos, part, pos - s AS local FROM (SELECT o_custkey AS part, CAST(count(*) AS BIGINT) AS n, CAST(coalesce(sum(count(*)) OVER (ORDER BY o_custkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS s FROM orders GROUP BY 1)
+JOIN (SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS pos FROM orders) ON pos >= s AND pos < s + n""")
 def j9_route_index(spark, sf_dir):
-    sizes = read(spark, sf_dir, "nation").groupBy(F.col("n_regionkey").alias("part")).agg(F.count("*").alias("size"))
-    return lookups.routed(spark.range(25).withColumnRenamed("id", "pos"), sizes)
+    # Customers end to end by their numbers of orders; every position is sought.
+    orders = read(spark, sf_dir, "orders")
+    sizes = orders.groupBy(F.col("o_custkey").alias("part")).agg(F.count("*").alias("size"))
+    return lookups.routed(positions(orders.select("o_orderkey"), ["o_orderkey"], "pos").select("pos"), sizes)
 
 
 @query("""SELECT n_nationkey, n_name, n_regionkey FROM nation WHERE n_nationkey % 5 <> 0 UNION ALL SELECT n_nationkey, 'override', n_regionkey FROM nation WHERE n_nationkey % 5 = 0""")

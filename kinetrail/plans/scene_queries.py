@@ -158,9 +158,17 @@ def f10_in_cloud(spark, sf_dir):
     return scenes.in_cloud(lines, lines.where("l_returnflag = 'A'"), "l_suppkey", ("l_quantity", "l_tax")).select("l_orderkey", "l_linenumber", "l_quantity")
 
 
-@query("SELECT i AS view, round(sqrt(1 - z * z) * cos(i * pi() * (sqrt(5) - 1)), 6) AS x, round(sqrt(1 - z * z) * sin(i * pi() * (sqrt(5) - 1)), 6) AS y, round(z, 6) AS z FROM (SELECT i, (2 * i + 1) / 300.0::DOUBLE - 1 AS z FROM range(0, 300) t(i))")
+@query("""WITH s AS (SELECT s_suppkey, row_number() OVER (ORDER BY s_suppkey) - 1 AS i, count(*) OVER () AS n FROM supplier), d AS (SELECT s_suppkey, i, (2 * i + 1) / n::DOUBLE - 1 AS z FROM s)
+SELECT s_suppkey, round(sqrt(1 - z * z) * cos(i * pi() * (sqrt(5) - 1)), 6) AS x, round(sqrt(1 - z * z) * sin(i * pi() * (sqrt(5) - 1)), 6) AS y, round(z, 6) AS z, round(sqrt(1 - z * z), 6) AS side FROM d""")
 def c38_viewpoints(spark, sf_dir):
-    return scenes.viewpoints(spark, 300).select("view", *rounded("x", "y", "z"))
+    # A view for each supplier, and how far the second axis of a frame that looks along it turns from level.
+    from kinetrail.tables import positions
+
+    suppliers = positions(read(spark, sf_dir, "supplier").select("s_suppkey"), ["s_suppkey"], "at")
+    views = scenes.viewpoints(spark, suppliers.count())
+    turned = scenes.view_rotation([F.col("x"), F.col("y"), F.col("z")], F.lit(0.0))
+    got = suppliers.join(views, F.col("at") == F.col("view")).withColumn("side", F.abs(F.get(turned, F.lit(8))))
+    return got.select("s_suppkey", *rounded("x", "y", "z", "side"))
 
 
 @query(f"""WITH e AS (SELECT vec_id, vec_id % 20 AS scene, {_E} FROM embeddings)

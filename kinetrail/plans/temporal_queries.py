@@ -148,11 +148,9 @@ JOIN (SELECT episode_index AS e, count(*) AS n FROM frames GROUP BY 1) s ON s.e
 JOIN (SELECT episode_index AS eh, frame_index AS fh, value FROM frames) h0 ON eh = a.episode_index AND fh = greatest(a.frame_index - 2, 0)
 JOIN (SELECT episode_index AS ep, frame_index AS fp, value FROM frames) p1 ON ep = a.episode_index AND fp = least(a.frame_index + 2, n - 1)""")
 def w6_state_sampling(spark, sf_dir):
-    rows = frames_of(spark, sf_dir).select("index", "episode_index", "frame_index", "value")
-    got = temporal.gather(rows.select("*", F.col("index").alias("at")), ["value"], "at")
-    at = F.col("frame_index").cast("int")
-    some = got.select("index", sequences.history(F.col("value"), at, 3).alias("h"), sequences.prediction(F.col("value"), at, 2).alias("p"))
-    return some.select("index", F.get("h", F.lit(0)).alias("h0"), F.get("p", F.lit(1))["value"].alias("p1"), F.get("p", F.lit(1))["real"].alias("real"))
+    got = temporal.sampled_states(frames_of(spark, sf_dir).select("index", "episode_index", "value"), ["value"], 3, 2)
+    p1 = F.get("value_pred", F.lit(1))
+    return got.select("index", F.get("value_hist", F.lit(0)).alias("h0"), p1["value"].alias("p1"), p1["real"].alias("real"))
 
 
 @query("""SELECT "index" FROM frames f WHERE episode_index % 2 = 1 OR frame_index BETWEEN 2 AND 9 OR frame_index BETWEEN 20 AND 29""")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from kinetrail.functions import geometry
 from kinetrail.operators import evaluation, filters, lookups, messages, metrics, sharding, transforms
-from kinetrail.plans.evaluation_queries import _boxes
+from kinetrail.plans.evaluation_queries import _BOXES, _boxes
 from kinetrail.plans.registry import query, rounded
 from kinetrail.tables import positions, read
 
@@ -118,6 +118,23 @@ def g8_split_means(spark, sf_dir):
     return got.select("split", "threshold", *[F.round(c, 5).alias(c) for c in ("map", "mar")])
 
 
+_AREAS = """WITH """ + _BOXES.rstrip() + """, areas AS (SELECT unnest(['small', 'medium', 'large']) AS area, unnest([0.0, 4.5, 5.5]) AS lo, unnest([4.5, 5.5, 100.0]) AS hi),
+ranged AS (SELECT f.*, a.area, f.hit AND NOT (g.s BETWEEN a.lo AND a.hi) AS ign FROM first f CROSS JOIN areas a LEFT JOIN boxes g ON g.id = f.gt),
+whole AS (SELECT area, label AS l, count(*) AS n FROM boxes, areas WHERE is_truth AND s BETWEEN lo AND hi GROUP BY 1, 2),
+steps AS (SELECT r.area, label, thr, n, row_number() OVER w AS k, sum(tp::INT) OVER w AS c FROM ranged r JOIN whole ON l = label AND whole.area = r.area WHERE NOT ign WINDOW w AS (PARTITION BY r.area, thr, label ORDER BY score DESC, image, pred_id ROWS UNBOUNDED PRECEDING)),
+points AS (SELECT area, label, thr, n, k, c / n AS r, c / k AS p FROM steps)
+SELECT area, label, CAST(thr AS DOUBLE) AS threshold, n AS n_truths, round(sum(env * (r - prev)), 6) AS ap, round(max(r), 6) AS recall FROM (SELECT *, max(p) OVER (PARTITION BY area, thr, label ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS env,
+coalesce(lag(r) OVER (PARTITION BY area, thr, label ORDER BY k), 0) AS prev FROM points) GROUP BY 1, 2, 3, 4"""
+
+
+@query(_AREAS)
+def g8_area_ap(spark, sf_dir):
+    p, t = _boxes(spark, sf_dir)
+    areas = {"small": (0.0, 4.5), "medium": (4.5, 5.5), "large": (5.5, 100.0)}
+    got = evaluation.area_ap(p, t, areas, F.col("t_sx"), [0.25, 0.5], metrics.iou_axis_aligned("p", "t", ("x",)))
+    return got.select("area", "label", "threshold", "n_truths", *rounded("ap", "recall"))
+
+
 @query("""SELECT l_returnflag AS label, l_suppkey AS image, count(*) AS n, max(l_extendedprice) AS best FROM lineitem GROUP BY 1, 2""")
 def g9_results_by_class(spark, sf_dir):
     rows = read(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("label"), F.col("l_suppkey").alias("image"), F.col("l_extendedprice").alias("score"), "l_orderkey")
@@ -185,26 +202,28 @@ def j18_transform_paths(spark, sf_dir):
     return lookups.transform_paths(edges, "root").select(F.col("frame").cast("long").alias("frame"), F.get("matrix", F.lit(3)).alias("x"))
 
 
-@query("SELECT n_nationkey, row_number() OVER (ORDER BY n_nationkey DESC) - 1 AS place FROM nation")
+@query("SELECT o_orderkey, row_number() OVER (ORDER BY o_orderdate DESC, o_orderkey) - 1 AS place FROM orders")
 def l20_by_time(spark, sf_dir):
     # Places in the sorted table, by range partition.
-    rows = read(spark, sf_dir, "nation").select("n_nationkey", (-F.col("n_nationkey")).alias("log_time"), F.col("n_name").alias("topic"))
-    return positions(messages.in_order(rows), ["log_time", "topic"], "place").select("n_nationkey", "place")
+    rows = read(spark, sf_dir, "orders").select("o_orderkey", F.unix_micros(F.col("o_orderdate").cast("timestamp")).alias("log_time"), F.lpad(F.col("o_orderkey").cast("string"), 12, "0").alias("topic"))
+    sorted_rows = messages.in_order(rows, descending=True).withColumn("late", -F.col("log_time"))
+    return positions(sorted_rows, ["late", "topic"], "place").select("o_orderkey", "place")
 
 
-@query("SELECT r_name, count(*) AS n FROM nation JOIN region ON r_regionkey = n_regionkey GROUP BY 1")
+@query("SELECT c_mktsegment, count(*) AS n FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY 1")
 def l2_sql_over_tables(spark, sf_dir):
     from kinetrail.dataset import TrajectoryDataset
 
-    nation, region = read(spark, sf_dir, "nation"), read(spark, sf_dir, "region")
-    return TrajectoryDataset(nation, nation, tasks=region).sql("SELECT r_name, count(*) AS n FROM {episodes} JOIN {tasks} ON r_regionkey = n_regionkey GROUP BY 1")
+    orders, customers = read(spark, sf_dir, "orders"), read(spark, sf_dir, "customer")
+    return TrajectoryDataset(orders, orders, tasks=customers).sql("SELECT c_mktsegment, count(*) AS n FROM {episodes} JOIN {tasks} ON c_custkey = o_custkey GROUP BY 1")
 
 
-@query("SELECT i AS shard, CAST(n // 7 + CASE WHEN i < n % 7 THEN 1 ELSE 0 END AS BIGINT) AS plain, CAST(n // 7 AS BIGINT) AS dropped, CAST((n + 6) // 7 AS BIGINT) AS padded FROM (SELECT count(*) AS n FROM orders), range(0, 7) t(i)")
+@query("""SELECT o_custkey, i AS shard, CAST(n // 7 + CASE WHEN i < n % 7 THEN 1 ELSE 0 END AS BIGINT) AS plain, CAST(n // 7 AS BIGINT) AS dropped, CAST((n + 6) // 7 AS BIGINT) AS padded FROM (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1), range(0, 7) t(i)""")
 def l7_sharded_rows(spark, sf_dir):
-    n = read(spark, sf_dir, "orders").count()
-    rows = [(k, sharding.sharded_rows(n, 7, k), sharding.sharded_rows(n, 7, k, "drop_last"), sharding.sharded_rows(n, 7, k, "pad_last")) for k in range(7)]
-    return spark.createDataFrame(rows, "shard long, plain long, dropped long, padded long")
+    # Each customer's orders as a dataset of seven shards.
+    sizes = read(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count("*").alias("n")).select("*", F.explode(F.sequence(F.lit(0), F.lit(6))).alias("shard"))
+    of = lambda strategy, name: sharding.shard_rows(F.col("n"), 7, F.col("shard"), strategy).alias(name)
+    return sizes.select("o_custkey", F.col("shard").cast("long").alias("shard"), of(None, "plain"), of("drop_last", "dropped"), of("pad_last", "padded"))
 
 
 @query("SELECT event_id, value FROM events")
