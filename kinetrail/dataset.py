@@ -9,8 +9,9 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
+from kinetrail.features import features_of
 from kinetrail.operators import filters, lookups, temporal
-from kinetrail.schema import INDEX, refuse_reserved
+from kinetrail.schema import DIMENSIONS, INDEX, refuse_reserved
 
 PARTS = ("frames", "episodes", "tasks", "robots", "instructions")
 
@@ -25,10 +26,56 @@ class TrajectoryDataset:
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> TrajectoryDataset:
-        """Opens a saved dataset; tables that it lacks are None."""
+        """Opens a saved dataset with its features; tables that it lacks are None, tables that do not belong together are refused."""
         from kinetrail.sources.store import exists
 
-        return cls(**{p: spark.read.option("mergeSchema", "true").parquet(f"{path}/{p}") for p in PARTS if p in PARTS[:2] or exists(spark, f"{path}/{p}")})
+        made = cls(**{p: spark.read.option("mergeSchema", "true").parquet(f"{path}/{p}") for p in PARTS if p in PARTS[:2] or exists(spark, f"{path}/{p}")})
+        made.check()
+        return made
+
+    def check(self) -> None:
+        """Refuses tables without their keys, frames that name a dimension which is not there, and features that are not as stored."""
+        for p in ("frames", "episodes"):
+            if "episode_index" not in getattr(self, p).columns:
+                raise ValueError(f"{p} has no episode_index")
+        for d in DIMENSIONS:
+            table = getattr(self, f"{d}s")
+            if table is not None and f"{d}_index" not in table.columns:
+                raise ValueError(f"{d}s has no {d}_index")
+        for p in PARTS:
+            if getattr(self, p) is not None:
+                features_of(getattr(self, p))
+
+    def strays(self) -> DataFrame:
+        """(part, key, n): keys of frames that no row of the part has; empty if all tables belong together."""
+        out = None
+        for p in PARTS[1:]:
+            key = f"{p.removesuffix('s')}_index"
+            if (table := getattr(self, p)) is not None and key in self.frames.columns:
+                asked = self.frames.where(F.col(key).isNotNull()).groupBy(F.col(key).cast("long").alias("key")).agg(F.count("*").alias("n"))
+                lost = asked.join(table.select(F.col(key).cast("long").alias("key")), "key", "left_anti").select(F.lit(p).alias("part"), "key", "n")
+                out = lost if out is None else out.unionByName(lost)
+        return out
+
+    def at(self, which: int | slice | list[int] | str) -> DataFrame:
+        """Frames by place: one (negative from the end), a slice (its step may be negative), a list with repeats; or a column by name.
+
+        ``pos`` is the order asked for. Places beyond the end are an error for single ones and lists, as for Python's lists. Frames are
+        numbered by index from 0, so that no row is counted but for the dataset's length.
+        """
+        if isinstance(which, str):
+            return self.frames.select("index", which)
+        if isinstance(which, slice):
+            start, stop, step = which.indices(self.frames.count())
+            away = F.col("index") - start
+            inside = (F.col("index") >= start) & (F.col("index") < stop) if step > 0 else (F.col("index") <= start) & (F.col("index") > stop)
+            return self.frames.where(inside & (away % abs(step) == 0)).withColumn("pos", F.floor(away / step).cast("long"))
+        n = self.frames.count()
+        asked = [which] if isinstance(which, int) else which
+        if bad := [i for i in asked if not -n <= i < n]:
+            raise IndexError(f"place {bad[0]} of {n} frames")
+        rows = self.frames.sparkSession.createDataFrame([(k, i + n if i < 0 else i) for k, i in enumerate(asked)], "pos long, index long")
+        return rows.join(self.frames, "index")
 
     def save(self, path: str, max_rows_per_file: int = 0, replace_existing: bool = False, max_shard_bytes: int | None = None) -> None:
         """Writes all tables beside the target, then moves them there as one folder.

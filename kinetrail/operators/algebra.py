@@ -8,12 +8,14 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kinetrail.features import agreed
 from kinetrail.schema import INDEX, refuse_reserved
 from kinetrail.tables import positions
 
 
 def concatenated(datasets: list[DataFrame]) -> DataFrame:
-    """All rows with ``dataset_index``; columns and types must be the same."""
+    """All rows with ``dataset_index``; columns, types and features must be the same."""
+    agreed(datasets)
     first = datasets[0]
     for df in datasets[1:]:
         if sorted(df.dtypes) != sorted(first.dtypes):

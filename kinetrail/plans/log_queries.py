@@ -10,7 +10,7 @@ from kinetrail.functions import depths, tables
 from kinetrail.functions.wire import Field, Layout
 from kinetrail.operators import imports, messages, sharding
 from kinetrail.plans.registry import nanoseconds_of, query, rounded
-from kinetrail.sources import mcap_source, robots, store
+from kinetrail.sources import arrow_source, mcap_source, robots, store
 from kinetrail.tables import read, shared_dir
 
 _TIMES = "WITH e AS (SELECT event_id, event_type, epoch_ns(ts) AS log_time FROM events), s AS (SELECT min(log_time) AS lo, max(log_time) AS hi FROM e) "
@@ -169,3 +169,15 @@ SELECT doc_id, bytes, CAST(before // (40000 - (SELECT max(bytes) FROM s WHERE by
 def s5_byte_shards(spark, sf_dir):
     rows = read(spark, sf_dir, "documents").select("doc_id", "text", "n_chars")
     return sharding.byte_shards(rows, 40_000, ["doc_id"]).select("doc_id", "bytes", "shard")
+
+
+@query("""SELECT l_orderkey, round(sum(l_quantity * l_tax), 4) AS total FROM lineitem GROUP BY 1""")
+def s1_arrow_files(spark, sf_dir):
+    # Written as Arrow files, three columns read back.
+    arrow_source.register(spark)
+    at = f"{shared_dir(spark).rstrip('/')}/kinetrail/arrow-{uuid4().hex}"
+    rows = read(spark, sf_dir, "lineitem")
+    rows.write.format("arrowfile").mode("append").save(at)
+    kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in ("l_orderkey", "l_quantity", "l_tax"))
+    got = spark.read.format("arrowfile").schema(kinds).load(at)
+    return got.groupBy("l_orderkey").agg(F.round(F.sum(F.col("l_quantity") * F.col("l_tax")), 4).alias("total"))

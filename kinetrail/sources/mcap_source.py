@@ -71,19 +71,22 @@ class Part(ds.InputPartition):
     value: object = field(default=None)
 
 
+def stored_at(uri: str) -> tuple[stores.FileSystem, str]:
+    """The store of a path or URI, and the path in it."""
+    return stores.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (stores.LocalFileSystem(), uri)
+
+
 def opened(uri: str):
-    store, path = stores.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (stores.LocalFileSystem(), uri)
+    store, path = stored_at(uri)
     return store.open_input_file(path)
 
 
-def listed(paths: Sequence[str]) -> list[str]:
+def listed(paths: Sequence[str], endings: tuple[str, ...] = (".mcap",)) -> list[str]:
     """Files to read, in order."""
     out = []
     for uri in paths:
-        head = uri[: uri.index("://") + 3] if "://" in uri else ""
-        store, path = stores.FileSystem.from_uri(uri) if head or uri.startswith("file:") else (stores.LocalFileSystem(), uri)
-        if uri.startswith("file:"):
-            head = "file://" if "://" in uri else "file:"
+        store, path = stored_at(uri)
+        head = "file://" if uri.startswith("file:") else uri[: uri.index("://") + 3] if "://" in uri else ""
         info = store.get_file_info(path)
         if info.type == stores.FileType.NotFound:
             raise FileNotFoundError(uri)
@@ -91,7 +94,8 @@ def listed(paths: Sequence[str]) -> list[str]:
             out.append(uri)
             continue
         found = store.get_file_info(stores.FileSelector(path, recursive=True))
-        out += sorted(head + f.path for f in found if f.type == stores.FileType.File and f.path.endswith(".mcap") and not f.base_name.startswith(("_", ".")))
+        kept = [f for f in found if f.type == stores.FileType.File and f.path.endswith(endings) and not f.base_name.startswith(("_", "."))]
+        out += sorted(head + f.path for f in kept if "/_staged-" not in f.path)  # files of a write that is not committed
     return out
 
 
@@ -215,9 +219,8 @@ class McapWriter(ds.DataSourceWriter):
             raise ValueError(f"a log needs the columns {sorted(missing)}")
         self.options, self.overwrite, self.job = options, overwrite, uuid.uuid4().hex
 
-    def _store(self):
-        uri = self.options["path"]
-        return stores.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (stores.LocalFileSystem(), uri)
+    def _store(self) -> tuple[stores.FileSystem, str]:
+        return stored_at(self.options["path"])
 
     def write(self, rows: Iterator) -> Written:
         store, path = self._store()
