@@ -35,9 +35,9 @@ HOT_BYTES = 256
 ROUNDS = 3
 PRIOR = 1000.0
 #: Distinct words a task holds before it passes counts on; words and bytes of words in one step of the recursion.
-HELD = 300_000
-STEP_WORDS = 65_536
-STEP_BYTES = 4_000_000
+HELD = 200_000
+STEP_WORDS = 16_384
+STEP_BYTES = 1_000_000
 #: Words longer than this are walked one at a time.
 LONG = 96
 START = 0x2581
@@ -375,11 +375,13 @@ def score(docs: DataFrame, path: str) -> DataFrame:
     v = vocabulary(path)
     words = written(word_scores(counts, v, fit(counts, v)))
     top = words.join(frequent(counts), "word").toPandas()
-    hot = spark.sparkContext.broadcast(dict(zip(map(bytes, top["word"]), zip(top["c"].tolist(), top["score"].tolist(), strict=True), strict=True)))
     whole = float(np.log10(totals.n + totals.v + 1))
+    c = top["c"].to_numpy(np.int64)
+    values = zip((c > 0).tolist(), (np.log10(c + 1) - whole).tolist(), top["score"].tolist(), strict=True)
+    hot = spark.sparkContext.broadcast(dict(zip(map(bytes, top["word"]), values, strict=True)))
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = {w: (c > 0, float(np.log10(c + 1)) - whole, s) for w, (c, s) in hot.value.items()}
+        table = hot.value
         for batch in batches:
             sums: list[list] = [[], [], [], []]
             bounds, rest, often = [0], [], []
