@@ -152,6 +152,18 @@ def gaussian_wasserstein(a: list[Column], size_a: list[Column], b: list[Column],
     return F.sqrt(centre + _sum([((s - t) / 2) ** 2 for s, t in zip(size_a, size_b, strict=True)]))
 
 
+def box_wasserstein(a: list[Column], size_a: list[Column], turn_a: Column, b: list[Column], size_b: list[Column], turn_b: Column) -> Column:
+    """Distance of boxes at any rotation (3 x 3, row order) as Gaussians whose deviations are their sizes, turned; at least the root of 1e-7."""
+
+    def spread(size: list[Column], turn: Column) -> list[Column]:
+        at = lambda i, k: F.get(turn, F.lit(3 * i + k))
+        return [_sum([at(i, k) * size[k] * at(j, k) for k in range(3)]) for i in range(3) for j in range(3)]
+
+    centre = _sum([(x - y) * (x - y) for x, y in zip(a, b, strict=True)])
+    apart = _sum([(x - y) * (x - y) for x, y in zip(spread(size_a, turn_a), spread(size_b, turn_b), strict=True)])
+    return F.sqrt(F.greatest(centre + apart, F.lit(1e-7)))
+
+
 def intrinsic_4x4(k: Column) -> Column:
     """A camera's 3 x 3 intrinsic (9 numbers, row order) in a 4 x 4."""
     at = [F.get(k, F.lit(i)).cast("double") for i in range(9)]

@@ -140,6 +140,42 @@ TRANSFORMS = "transforms array<struct<parent_frame_id: string, child_frame_id: s
 CALIBRATION = "frame_id string, width long, height long, D array<double>, K array<double>"
 
 
+#: Fields of the public JSON message layouts for joint states and stamped poses.
+JOINT_STATE = "name array<string>, position array<double>, velocity array<double>, effort array<double>"
+POSE = "frame_id string, position struct<x: double, y: double, z: double>, orientation struct<x: double, y: double, z: double, w: double>"
+
+
+def joints_of(messages: DataFrame, topic: str, keys: list[str], names: list[str] | None = None) -> DataFrame:
+    """(keys, names, position, velocity, effort) of a topic's joint states; with ``names`` in their order, null for joints a message lacks."""
+    found = decoded(messages, topic, JOINT_STATE)
+    m = F.col("message")
+    if names is None:
+        return found.select(*keys, m["name"].alias("names"), *[m[c].alias(c) for c in ("position", "velocity", "effort")])
+    at = lambda c, n: F.get(m[c], (F.array_position(m["name"], F.lit(n)) - 1).cast("int"))
+    return found.select(*keys, F.array(*map(F.lit, names)).alias("names"), *[F.array(*[at(c, n) for n in names]).alias(c) for c in ("position", "velocity", "effort")])
+
+
+def joint_messages(rows: DataFrame, topic: str, keys: list[str]) -> DataFrame:
+    """(keys, topic, data): rows (names, position, and velocity and effort where they have such columns) as JSON messages."""
+    fields = [F.col("names").alias("name"), *[(F.col(c) if c in rows.columns else F.lit(None).cast("array<double>")).alias(c) for c in ("position", "velocity", "effort")]]
+    return rows.select(*keys, F.lit(topic).alias("topic"), F.encode(F.to_json(F.struct(*fields)), "UTF-8").alias("data"))
+
+
+def poses_of(messages: DataFrame, topic: str, keys: list[str]) -> DataFrame:
+    """(keys, frame, matrix): a topic's stamped poses as 4 x 4."""
+    m = F.col("message")
+    place, turn = F.array(*[m["position"][a] for a in "xyz"]), F.array(*[m["orientation"][a] for a in "wxyz"])
+    return decoded(messages, topic, POSE).select(*keys, m["frame_id"].alias("frame"), geometry.pose_matrix(place, turn).alias("matrix"))
+
+
+def pose_messages(rows: DataFrame, topic: str, keys: list[str]) -> DataFrame:
+    """(keys, topic, data): rows (frame, translation of three, rotation w x y z) as JSON messages."""
+    place = F.struct(*[F.get("translation", F.lit(k)).alias(a) for k, a in enumerate("xyz")])
+    turn = F.struct(*[F.get("rotation", F.lit("wxyz".index(a))).alias(a) for a in "xyzw"])
+    body = F.struct(F.col("frame").alias("frame_id"), place.alias("position"), turn.alias("orientation"))
+    return rows.select(*keys, F.lit(topic).alias("topic"), F.encode(F.to_json(body), "UTF-8").alias("data"))
+
+
 def transforms_of(messages: DataFrame, topic: str, keys: list[str]) -> DataFrame:
     """(keys, parent, child, matrix): a row for each transform in the messages of a topic, as 4 x 4."""
     each = decoded(messages, topic, TRANSFORMS).select(*keys, F.explode("message.transforms").alias("t"))

@@ -6,9 +6,9 @@ from uuid import uuid4
 
 from pyspark.sql import functions as F
 
-from kinetrail.functions import depths, tables
+from kinetrail.functions import depths, geometry, tables
 from kinetrail.functions.wire import Field, Layout
-from kinetrail.operators import imports, messages, sharding
+from kinetrail.operators import assembly, imports, messages, sharding
 from kinetrail.plans.registry import nanoseconds_of, query, rounded
 from kinetrail.sources import arrow_source, mcap_source, robots, store
 from kinetrail.tables import read, shared_dir
@@ -181,3 +181,55 @@ def s1_arrow_files(spark, sf_dir):
     kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in ("l_orderkey", "l_quantity", "l_tax"))
     got = spark.read.format("arrowfile").schema(kinds).load(at)
     return got.groupBy("l_orderkey").agg(F.round(F.sum(F.col("l_quantity") * F.col("l_tax")), 4).alias("total"))
+
+
+@query("""SELECT event_id, value AS elbow, CASE WHEN event_type = 'error' THEN NULL ELSE value * 2 END AS wrist FROM events""")
+def s13_joint_messages(spark, sf_dir):
+    # To messages and back; errors have no wrist, and names come in another order than is asked for.
+    rows = read(spark, sf_dir, "events").withColumn("_bad", F.col("event_type") == "error")
+    names = F.when(F.col("_bad"), F.array(F.lit("elbow"))).otherwise(F.array(F.lit("wrist"), F.lit("elbow")))
+    place = F.when(F.col("_bad"), F.array("value")).otherwise(F.array(F.col("value") * 2, F.col("value")))
+    sent = imports.joint_messages(rows.select("event_id", names.alias("names"), place.alias("position")), "/joints", ["event_id"])
+    got = imports.joints_of(sent, "/joints", ["event_id"], ["elbow", "wrist"])
+    return got.select("event_id", F.get("position", F.lit(0)).alias("elbow"), F.get("position", F.lit(1)).alias("wrist"))
+
+
+@query("""SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY kind, turn, text, part) - 1 AS idx, topic, turn AS log_time, data FROM (
+SELECT conv_id, turn, coalesce(text, '') AS text, 0 AS part, CASE role WHEN 'user' THEN 1 ELSE 2 END AS kind, CASE role WHEN 'user' THEN 'user' ELSE 'said' END AS topic, coalesce(text, '') AS data FROM conversations
+UNION ALL SELECT conv_id, turn, coalesce(text, ''), 1, 2, 'length', CAST(length(coalesce(text, '')) AS VARCHAR) FROM conversations WHERE role IS DISTINCT FROM 'user')""")
+def s12_dict_records(spark, sf_dir):
+    rows = read(spark, sf_dir, "conversations").withColumn("text", F.coalesce("text", F.lit("")))
+    message = F.struct(F.col("turn").cast("long").alias("log_time"), F.col("text").alias("data"))
+    own = F.coalesce(F.col("role") == "user", F.lit(False))
+    logs = rows.groupBy("conv_id").agg(*[F.array_sort(F.collect_list(F.when(c, message))).alias(n) for n, c in (("user", own), ("other", ~own))])
+    got = assembly.dict_records(logs, ["conv_id"], {"user": None, "other": {"said": lambda d: d, "length": F.length}})
+    return got.select("conv_id", "idx", "topic", "log_time", "data")
+
+
+@query("""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, s.s_nationkey AS nation, CASE WHEN s.s_nationkey % 2 = 0 THEN s.s_nationkey ELSE l_quantity * 2 END AS shift
+FROM lineitem JOIN supplier s ON s.s_suppkey = l_suppkey""")
+def p17_camera_rows(spark, sf_dir):
+    # Suppliers as recordings with one camera, that of every other one moving by the lines' quantities.
+    lines = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity").withColumnsRenamed({"l_suppkey": "recording", "l_quantity": "step"})
+    known = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("recording"), F.concat(F.lit("cam"), "s_nationkey").alias("camera"), F.col("s_nationkey").cast("double").alias("n"))
+    by = lambda x: F.array(*[F.lit(float(k in (0, 5, 10))) if k != 3 else x for k in range(12)])
+    cameras = known.select("recording", "camera", F.array(*[F.col("n") if k == 0 else F.lit(0.0) for k in range(9)]).alias("intrinsic"), F.when(F.col("n") % 2 == 0, by(F.col("n"))).alias("world_to_camera"))
+    moving = lines.select("recording", "step").distinct().join(known.where("n % 2 = 1").select("recording", "camera"), "recording").select("recording", "camera", "step", by(F.col("step").cast("double") * 2).alias("world_to_camera"))
+    got = assembly.camera_rows(lines, cameras, moving, "recording", "step").withColumn("c", F.get("cameras", F.lit(0)))
+    return got.select("l_orderkey", "l_linenumber", "l_partkey", F.col("recording").alias("l_suppkey"), F.col("step").alias("l_quantity"), F.get("c.intrinsic", F.lit(0)).cast("int").alias("nation"), F.get("c.world_to_camera", F.lit(3)).alias("shift"))
+
+
+@query("""WITH e AS (SELECT vec_id, [CAST(x AS DOUBLE) FOR x IN embedding] AS e FROM embeddings), c AS (SELECT vec_id, e, abs(e[7]) AS s1, abs(e[8]) AS s2, abs(e[9]) AS s3, abs(e[10]) AS t1, abs(e[11]) AS t2, abs(e[12]) AS t3, cos(e[13]) AS c, sin(e[13]) AS s FROM e)
+SELECT vec_id, round(sqrt((e[1] - e[4]) ** 2 + (e[2] - e[5]) ** 2 + (e[3] - e[6]) ** 2 + (s1 * c * c + s2 * s * s - t1) ** 2 + 2 * ((s1 - s2) * s * c) ** 2 + (s1 * s * s + s2 * c * c - t2) ** 2 + (s3 - t3) ** 2), 6) AS apart FROM c""")
+def c37_turned_boxes(spark, sf_dir):
+    e = [F.get("embedding", F.lit(k)).cast("double") for k in range(13)]
+    zero = F.lit(0.0)
+    turned, straight = geometry.euler_matrix([e[12], zero, zero]), geometry.euler_matrix([zero, zero, zero])
+    d = geometry.box_wasserstein(e[:3], [F.abs(x) for x in e[6:9]], turned, e[3:6], [F.abs(x) for x in e[9:12]], straight)
+    return read(spark, sf_dir, "embeddings").select("vec_id", F.round(d, 6).alias("apart"))
+
+
+@query("""SELECT doc_id, len(string_split(source, 'e')) - 1 = 0 AS is_unique, len(string_split(source, 'e')) - 1 > 3 AS is_hard, len(list_intersect(regexp_split_to_array(text, '[ \t\n\x0B\f\r]+'), ['front', 'behind', 'back', 'left', 'right', 'facing', 'leftmost', 'rightmost', 'looking', 'across'])) > 0 AS is_view_dep FROM documents""")
+def s21_grounding_flags(spark, sf_dir):
+    rows = read(spark, sf_dir, "documents").select("doc_id", "text", F.slice(F.split("source", "e"), 2, 1000).alias("distractor_ids"))
+    return assembly.grounding_flags(rows).select("doc_id", "is_unique", "is_hard", "is_view_dep")
