@@ -45,13 +45,24 @@ def nanoseconds_of(ts: str = "ts") -> Column:
     return (whole * 1000000 + (F.date_part(F.lit("SECOND"), F.col(ts)) * 1000000).cast("long")) * 1000
 
 
-#: Saved datasets by application and source.
-_SAVED: dict[tuple[str, str], str] = {}
+#: Saved datasets by application, source and the state of its files.
+_SAVED: dict[tuple, str] = {}
+
+
+def _files(spark: SparkSession, path: str) -> tuple:
+    """Names, sizes and times of the files at a path, so that a rewritten table is another one."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = at.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(at, True)
+    out = []
+    while found.hasNext():
+        f = found.next()
+        out.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return tuple(sorted(out))
 
 
 def dataset(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """Events as a trajectory dataset, frames and episodes: packaged and saved once in an application, read with pruned columns by each query."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+    key = (spark.sparkContext.applicationId, sf_dir, _files(spark, f"{sf_dir}/events.parquet"))
     at = _SAVED.get(key)
     if at is None or not exists(spark, f"{at}/episodes"):
         at = f"{shared_dir(spark).rstrip('/')}/kinetrail/dataset-{uuid4().hex}"

@@ -51,3 +51,25 @@ def test_flags_of_texts(spark):
     rows = [("the chair left of it", ["1"]), ("the lefty chair", []), (None, None), ("looking at\tit", list("12345"))]
     got = [tuple(r)[2:] for r in assembly.grounding_flags(spark.createDataFrame(rows, "text string, distractor_ids array<string>")).collect()]
     assert got == [(False, False, True), (True, False, False), (None, None, None), (False, True, True)]
+
+
+def test_clusters_of_boxes(spark):
+    from kinetrail.operators import metrics
+
+    rng = random.Random(8)
+    middles = [(0.0, 0.0, 1.0), (50.0, 0.0, 2.0), (0.0, 80.0, 3.0)]
+    rows = [([m + rng.uniform(-1, 1) for m in middles[k % 3]],) for k in range(300)]
+    got = sorted(metrics.clusters(spark.createDataFrame(rows, "box array<double>"), "box", 3, 1).collect(), key=lambda r: [round(c) for c in r.centre])
+    for r, k in zip(got, (0, 2, 1), strict=True):
+        held = [b for (b,) in rows[k::3]]
+        assert r.n == 100 and all(abs(c - sum(b[i] for b in held) / 100) < 1e-6 for i, c in enumerate(r.centre))
+
+
+def test_a_rewritten_table_is_packaged_anew(spark, tmp_path):
+    from kinetrail.plans import registry
+
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    for n in (10, 25):
+        events.orderBy("event_id").limit(n).write.mode("overwrite").parquet(str(tmp_path / "events.parquet"))
+        assert registry.frames_of(spark, str(tmp_path)).count() == n
+        assert registry.dataset(spark, str(tmp_path))["frames"].inputFiles() == registry.dataset(spark, str(tmp_path))["frames"].inputFiles()

@@ -77,3 +77,18 @@ def test_last_messages_do_not_lie_after_their_batch(spark):
     got = {(r.log, r.batch, r.topic): r.data for r in messages.last_messages(placed, ["log"]).collect()}
     # The second batch begins at time 30: t2 of that time is no last message of the first.
     assert got == {(1, 0, "cam"): "c2", (1, 0, "tf"): "t1", (1, 1, "cam"): "c4", (1, 1, "tf"): "t2", (2, 0, "tf"): "z"}
+
+
+def test_equal_times_by_arrival(spark, tmp_path):
+    from kinetrail.streaming import batching
+
+    rows = [("a", "cam", 10 * (k // 4), str(99 - k), k) for k in range(40)]
+    schema = "log string, topic string, log_time long, data string, seq long"
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+    monitors = (messages.Monitor("cam", 3, 3, 1000),)
+    query = batching.batched_stream(stream, monitors, order=("seq",)).writeStream.format("memory").queryName("arrived").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    got = {r.data: r.batch for r in spark.table("arrived").collect()}
+    table = messages.batched(spark.createDataFrame(rows, schema), monitors, "log", ["log_time", "seq"], keep_equal_times=False)
+    assert got == {r.data: r.batch for r in table.collect()} and len(set(got.values())) == 14
