@@ -1,4 +1,4 @@
-"""Rows put together from several tables: cameras of frames, composed datasets, grounding texts, boxes seen by views, records of topic maps."""
+"""Rows put together from several tables: cameras of frames, composed datasets, rows parsed for training, grounding texts, boxes seen by views, records of topic maps."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ from collections.abc import Callable, Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kinetrail.functions.geometry import intrinsic_4x4, inverse_rigid
 from kinetrail.operators.algebra import concatenated
 from kinetrail.operators.imports import episode_ranges
 
@@ -58,6 +59,43 @@ def composed(datasets: list, parse: Callable[[DataFrame], DataFrame], windows: M
     return frames, ranges
 
 
+def parsed_rows(rows: DataFrame, cameras: list[str], hist_steps: int = 1, depth_scale: float = 1000.0) -> DataFrame:
+    """``rows`` with what a policy is trained on: joint_state, master_joint_state, intrinsic, world_to_camera, depths, text, step_index, step_index_in_chunk, uuid.
+
+    rows: frame_index, joints and actions (arrays of positions, as ``chunk`` makes them), instruction and info (JSON texts) and for each camera
+    a struct (frame_id, intrinsic, pose (parent, child, matrix), height, width) and, where depths were taken, ``<camera>_depth``, an array by row.
+    Matrices and depths are arrays in the order of ``cameras``. Depths are divided by ``depth_scale``; a missing or null one is
+    zeros of the first camera's size. A pose is from the camera to ``world``: one with another parent, or whose child is
+    neither the camera nor its frame, is refused. A null camera or pose has null there, a null or broken JSON text null.
+    """
+    numbers = lambda name: F.col(name).cast("array<array<double>>")
+    zeros = F.array_repeat(F.lit(0.0), F.col(cameras[0])["height"] * F.col(cameras[0])["width"])
+
+    def world_to(name: str) -> Column:
+        camera, pose = F.col(name), F.col(name)["pose"]
+        right = (pose["parent"] == "world") & pose["child"].isin(F.lit(name), camera["frame_id"])
+        refused = F.raise_error(F.concat(F.lit(f"pose of {name} goes from "), F.coalesce(pose["child"], F.lit("null")), F.lit(" to "), F.coalesce(pose["parent"], F.lit("null"))))
+        return F.when(pose.isNull(), F.lit(None)).when(right, inverse_rigid(pose["matrix"])).otherwise(refused.cast("array<double>"))
+
+    def depth(name: str) -> Column:
+        column = f"{name}_depth"
+        return F.coalesce(F.transform(F.col(column).cast("array<double>"), lambda d: d / depth_scale), zeros) if column in rows.columns else zeros
+
+    return rows.withColumns(
+        {
+            "joint_state": numbers("joints"),
+            "master_joint_state": numbers("actions"),
+            "intrinsic": F.array(*[F.when(F.col(c).isNotNull(), intrinsic_4x4(F.col(c)["intrinsic"])) for c in cameras]),
+            "world_to_camera": F.array(*map(world_to, cameras)),
+            "depths": F.array(*map(depth, cameras)),
+            "text": F.get_json_object("instruction", "$.description"),
+            "step_index": F.col("frame_index"),
+            "step_index_in_chunk": F.lit(hist_steps - 1),
+            "uuid": F.get_json_object("info", "$.uuid"),
+        }
+    )
+
+
 def grounding_flags(texts: DataFrame, distractors: str = "distractor_ids", text: str = "text") -> DataFrame:
     """``texts`` with is_unique (no distractor), is_hard (over three), is_view_dep (a word of VIEW_WORDS); null where the column is null."""
     words = F.split(F.col(text), r"\s+")

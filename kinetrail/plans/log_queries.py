@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 from kinetrail.functions import depths, geometry, tables
 from kinetrail.functions.wire import Field, Layout
-from kinetrail.operators import assembly, imports, messages, sharding
-from kinetrail.plans.registry import nanoseconds_of, query, rounded
+from kinetrail.operators import assembly, imports, messages, sharding, temporal
+from kinetrail.plans.registry import frames_of, nanoseconds_of, query, rounded
 from kinetrail.sources import arrow_source, mcap_source, robots, store
 from kinetrail.tables import read, shared_dir
 
@@ -233,3 +233,48 @@ def c37_turned_boxes(spark, sf_dir):
 def s21_grounding_flags(spark, sf_dir):
     rows = read(spark, sf_dir, "documents").select("doc_id", "text", F.slice(F.split("source", "e"), 2, 1000).alias("distractor_ids"))
     return assembly.grounding_flags(rows).select("doc_id", "is_unique", "is_hard", "is_view_dep")
+
+
+@query("""SELECT event_id, round(coalesce(lag(value) OVER w, value), 6) AS before, round(value * 2, 6) AS now, round(coalesce(lead(value) OVER w, value) + 1, 6) AS ahead,
+episode_index + 1 AS focal, -(CAST(episode_index AS DOUBLE) + 1) AS x, round(value + 1, 6) AS y, -1.0 AS z, CASE WHEN frame_index % 2 = 1 THEN round((value + 7) / 1000, 6) ELSE 0.0 END AS depth,
+event_type AS text, 'u' || user_id AS uuid, frame_index AS step_index, 1 AS step_index_in_chunk FROM frames WINDOW w AS (PARTITION BY episode_index ORDER BY frame_index)""")
+def p15_parsed_rows(spark, sf_dir):
+    # Two steps back and one ahead, a camera that is turned a quarter and moved, depths of two pixels at odd steps.
+    rows = temporal.chunk(frames_of(spark, sf_dir).withColumn("now", F.col("value")), ["value"], 2, 1)
+    number = lambda c: F.col(c).cast("double")
+    pose = F.array(*map(F.lit, (0.0, -1.0, 0.0)), number("now") + 1, *map(F.lit, (1.0, 0.0, 0.0)), number("episode_index") + 1, *map(F.lit, (0.0, 0.0, 1.0, 1.0, 0.0, 0.0, 0.0, 1.0)))
+    camera = F.struct(
+        F.lit("lens").alias("frame_id"),
+        F.array(*[number("episode_index") + 1 if k in (0, 4) else F.lit(float(k == 8)) for k in range(9)]).alias("intrinsic"),
+        F.struct(F.lit("world").alias("parent"), F.lit("lens").alias("child"), pose.alias("matrix")).alias("pose"),
+        F.lit(1).alias("height"),
+        F.lit(2).alias("width"),
+    )
+    rows = rows.select(
+        "event_id",
+        "frame_index",
+        F.transform(F.slice("value", 1, 2), lambda v: F.array(v, v * 2)).alias("joints"),
+        F.transform(F.slice("value", 3, 1), lambda v: F.array(v + 1)).alias("actions"),
+        F.to_json(F.struct(F.col("event_type").alias("description"))).alias("instruction"),
+        F.to_json(F.struct(F.concat(F.lit("u"), "user_id").alias("uuid"))).alias("info"),
+        camera.alias("top"),
+        F.when(F.col("frame_index") % 2 == 1, F.array(F.lit(3.0), number("now") + 4)).alias("top_depth"),
+    )
+    got = assembly.parsed_rows(rows, ["top"], hist_steps=2)
+    at = lambda name, *places: F.col(name).getItem(places[0]) if len(places) == 1 else F.col(name).getItem(places[0]).getItem(places[1])
+    total = F.aggregate(at("depths", 0), F.lit(0.0), lambda a, d: a + d)
+    return got.select(
+        "event_id",
+        F.round(at("joint_state", 0, 0), 6).alias("before"),
+        F.round(at("joint_state", 1, 1), 6).alias("now"),
+        F.round(at("master_joint_state", 0, 0), 6).alias("ahead"),
+        at("intrinsic", 0, 5).cast("long").alias("focal"),
+        at("world_to_camera", 0, 3).alias("x"),
+        F.round(at("world_to_camera", 0, 7), 6).alias("y"),
+        at("world_to_camera", 0, 11).alias("z"),
+        F.round(total, 6).alias("depth"),
+        "text",
+        "uuid",
+        "step_index",
+        "step_index_in_chunk",
+    )

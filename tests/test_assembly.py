@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from kinetrail.dataset import TrajectoryDataset
@@ -30,6 +32,40 @@ def test_datasets_as_one(spark):
     assert sorted((r.dataset, r.episode_index, r.episode, r.start, r.end) for r in episodes.collect()) == [(0, 0, 0, 0, 3), (0, 1, 1, 3, 5), (1, 0, 2, 5, 9)]
 
 
+CAMERA = "struct<frame_id: string, intrinsic: array<double>, pose: struct<parent: string, child: string, matrix: array<double>>, height: int, width: int>"
+ROW = f"frame_index long, joints array<array<float>>, actions array<array<float>>, instruction string, info string, top {CAMERA}, hand {CAMERA}, hand_depth array<int>"
+
+
+def test_rows_parsed_for_training(spark):
+    rng = np.random.default_rng(4)
+    turn = np.linalg.qr(rng.normal(size=(3, 3)))[0]
+    pose = np.eye(4)
+    pose[:3, :3], pose[:3, 3] = turn, rng.normal(size=3)
+    k = rng.normal(size=9).tolist()
+    top = ("lens", k, ("world", "lens", pose.ravel().tolist()), 2, 3)
+    hand = ("lens2", k, ("world", "hand", np.eye(4).ravel().tolist()), 2, 3)
+    rows = [
+        (4, [[1.0, 2.0], [3.0, 4.0]], [[5.0]], '{"description": "pick"}', '{"uuid": "a1"}', top, hand, [500, 0, 0, 0, 0, 1000]),
+        (5, None, [], "broken", None, top, None, None),
+        (6, [], [], "{}", "{}", (*top[:2], None, 2, 3), hand, None),
+    ]
+    got = assembly.parsed_rows(spark.createDataFrame(rows, ROW), ["top", "hand"], 2).collect()
+    a, b, c = got
+    assert (a.joint_state, a.master_joint_state, a.text, a.uuid, a.step_index, a.step_index_in_chunk) == ([[1.0, 2.0], [3.0, 4.0]], [[5.0]], "pick", "a1", 4, 1)
+    assert np.allclose(np.reshape(a.world_to_camera[0], (4, 4)), np.linalg.inv(pose)) and np.allclose(np.reshape(a.world_to_camera[1], (4, 4)), np.eye(4))
+    assert np.allclose(np.reshape(a.intrinsic[0], (4, 4))[:3, :3], np.reshape(k, (3, 3))) and a.intrinsic[0][15] == 1.0
+    assert a.depths == [[0.0] * 6, [0.5, 0, 0, 0, 0, 1.0]]
+    assert (b.joint_state, b.master_joint_state, b.text, b.uuid, b.intrinsic[1], b.world_to_camera[1], b.depths) == (None, [], None, None, None, None, [[0.0] * 6] * 2)
+    assert (c.text, c.uuid, c.world_to_camera[0]) == (None, None, None)
+
+
+@pytest.mark.parametrize("pose", [("map", "lens"), ("world", "other"), (None, "lens"), ("world", None)])
+def test_poses_of_other_frames_are_refused(spark, pose):
+    top = ("lens", [1.0] * 9, (*pose, [1.0] * 16), 1, 1)
+    with pytest.raises(Exception, match="pose of top goes from"):
+        assembly.parsed_rows(spark.createDataFrame([(0, [], [], None, None, top, None, None)], ROW), ["top"]).collect()
+
+
 def test_boxes_of_evenly_spaced_views(spark):
     rng = random.Random(3)
     scenes = []
