@@ -2,7 +2,8 @@ r"""Chat formatting: schema fingerprints choose how a record's layout becomes ca
 
 A record (a VARIANT) is described by its nested field paths, ``[]`` standing for any array
 element; the hash of the sorted distinct paths is its fingerprint. Each known layout declares
-where its turns are; the fingerprint selects the declaration. Records of unknown fingerprints
+where its turns are; the fingerprint selects the declaration. Fields that a layout declares as
+optional (ids, names, origins) may be there or not and say nothing. Records of unknown fingerprints
 keep ``layout`` null and have no turns. Everything is DataFrame expressions.
 
 The template writes a turn as ``<turn>role\ntext</turn>\n``. Inside texts and roles ``\``
@@ -33,7 +34,8 @@ class Layout:
 
     ``many``: path of an array of messages with ``role`` and ``text`` fields and names of roles
     to rename; or ``fixed``: pairs of (role, path of its text) in order, absent ones left out.
-    ``paths`` are all field paths of its records; one layout may list several variants.
+    ``paths`` are all field paths of its records; one layout may list several variants. Paths
+    in ``optional`` are left out of its records' fingerprints.
     """
 
     name: str
@@ -41,24 +43,33 @@ class Layout:
     many: tuple[str, str, str] | None = None
     fixed: tuple[tuple[str, str], ...] = ()
     rename: tuple[tuple[str, str], ...] = ()
+    optional: tuple[str, ...] = ()
 
 
 #: The field names of common public chat layouts.
+ABOUT = ("id", "source", "model", "category", "timestamp")
 LAYOUTS = (
-    Layout("messages", (("messages", "messages[].content", "messages[].role"),), many=("messages", "role", "content")),
+    Layout(
+        "messages",
+        (("messages", "messages[].content", "messages[].role"),),
+        many=("messages", "role", "content"),
+        optional=(*ABOUT, "messages[].id", "messages[].name", "messages[].timestamp"),
+    ),
     Layout(
         "sharegpt",
         (("conversations", "conversations[].from", "conversations[].value"),),
         many=("conversations", "from", "value"),
         rename=(("human", "user"), ("gpt", "assistant")),
+        optional=(*ABOUT, "conversations[].weight"),
     ),
-    Layout("instruction", (("instruction", "output"),), fixed=(("user", "instruction"), ("assistant", "output"))),
+    Layout("instruction", (("instruction", "output"),), fixed=(("user", "instruction"), ("assistant", "output")), optional=ABOUT),
     Layout(
         "instruction with input",
         (("input", "instruction", "output"),),
         fixed=(("system", "instruction"), ("user", "input"), ("assistant", "output")),
+        optional=ABOUT,
     ),
-    Layout("prompt", (("completion", "prompt"), ("prompt", "response")), fixed=(("user", "prompt"), ("assistant", "completion"), ("assistant", "response"))),
+    Layout("prompt", (("completion", "prompt"), ("prompt", "response")), fixed=(("user", "prompt"), ("assistant", "completion"), ("assistant", "response")), optional=ABOUT),
 )
 
 
@@ -83,21 +94,21 @@ def field_paths(record: Column) -> Column:
     return F.array_sort(F.array_distinct(F.aggregate(tokens, start, step, lambda acc: acc["out"])))
 
 
-def fingerprint(record: Column) -> Column:
-    return F.xxhash64(F.array_join(field_paths(record), "\n"))
+def fingerprint(paths: Column, optional: tuple[str, ...] = ()) -> Column:
+    """Hash of sorted field paths, those in ``optional`` left out."""
+    told = F.array_except(paths, F.array(*map(F.lit, optional))) if optional else paths
+    return F.xxhash64(F.array_join(told, "\n"))
 
 
 def _print_of(paths: tuple[str, ...]) -> Column:
     return F.xxhash64(F.lit("\n".join(sorted(paths))))
 
 
-def canonical(record: Column, mark: Column, layouts: tuple[Layout, ...] = LAYOUTS) -> tuple[Column, Column]:
-    """(layout name, array of turns) of a VARIANT with the fingerprint ``mark``."""
+def canonical(record: Column, paths: Column, layouts: tuple[Layout, ...] = LAYOUTS) -> tuple[Column, Column]:
+    """(layout name, array of turns) of a VARIANT with the field paths ``paths``."""
     name, turns = F.lit(None).cast("string"), F.array().cast(TURN)
     for layout in reversed(layouts):
-        is_it = F.lit(False)
-        for p in layout.paths:
-            is_it = is_it | (mark == _print_of(p))
+        is_it = fingerprint(paths, layout.optional).isin(*map(_print_of, layout.paths))
         if layout.many:
             made = _messages(record, layout)
         else:
@@ -135,16 +146,53 @@ def records(turns: DataFrame) -> DataFrame:
 
     A conversation is one record, so its turns meet in one task whatever their number.
     """
+    return gathered(turns).select("conv_id", as_messages(F.col("turns")).alias("record"))
+
+
+def gathered(turns: DataFrame) -> DataFrame:
+    """(conv_id, turns): each conversation's turns in order, nulls empty."""
     row = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     listed = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(row)).alias("rows"))
-    messages = F.transform("rows", lambda m: F.struct(m["text"].alias("content"), m["role"].alias("role")))
-    return listed.select("conv_id", F.to_variant_object(F.struct(messages.alias("messages"))).alias("record"))
+    return listed.select("conv_id", F.transform("rows", lambda m: F.struct(m["role"].alias("role"), m["text"].alias("text"))).alias("turns"))
+
+
+def as_messages(turns: Column, **about: Column) -> Column:
+    messages = F.transform(turns, lambda m: F.struct(m["text"].alias("content"), m["role"].alias("role")))
+    return F.to_variant_object(F.struct(messages.alias("messages"), *[c.alias(name) for name, c in about.items()]))
+
+
+def as_sharegpt(turns: Column) -> Column:
+    """Null where a role already has one of the names that the layout writes for others."""
+    layout = next(x for x in LAYOUTS if x.name == "sharegpt")
+    taken = F.exists(turns, lambda m: m["role"].isin(*[old for old, _ in layout.rename]))
+    back = tuple((new, old) for old, new in layout.rename)
+    said = F.transform(turns, lambda m: F.struct(_renamed(m["role"], back).alias("from"), m["text"].alias("value")))
+    return F.when(~taken, F.to_variant_object(F.struct(said.alias("conversations"))))
+
+
+def as_instruction(turns: Column) -> Column:
+    """Null unless a user's turn and an assistant's are all there is."""
+    roles = F.transform(turns, lambda m: m["role"])
+    fits = roles == F.array(F.lit("user"), F.lit("assistant"))
+    text = lambda k: F.get(turns, F.lit(k))["text"]
+    return F.when(fits, F.to_variant_object(F.struct(text(0).alias("instruction"), text(1).alias("output"))))
+
+
+def mixed_records(turns: DataFrame) -> DataFrame:
+    """(conv_id, record): conversations in the layouts that corpora mix, by conv_id modulo 4.
+
+    0, and where nothing else fits: messages; 1: sharegpt; 2: instruction; 3: messages with an id.
+    """
+    kind, listed = F.pmod("conv_id", F.lit(4)), F.col("turns")
+    plain = as_messages(listed)
+    record = F.when(kind == 1, F.coalesce(as_sharegpt(listed), plain)).when(kind == 2, F.coalesce(as_instruction(listed), plain))
+    return gathered(turns).select("conv_id", record.when(kind == 3, as_messages(listed, id=F.col("conv_id"))).otherwise(plain).alias("record"))
 
 
 def formatted(records: DataFrame, key: str = "conv_id") -> DataFrame:
     """(key, layout, formatted, loss): the written text and the loss spans of each record."""
-    marked = records.select(F.col(key).alias("_key"), F.col("record").alias("_record"), fingerprint(F.col("record")).alias("_mark"))
-    name, turns = canonical(F.col("_record"), F.col("_mark"))
+    marked = records.select(F.col(key).alias("_key"), F.col("record").alias("_record"), field_paths(F.col("record")).alias("_paths"))
+    name, turns = canonical(F.col("_record"), F.col("_paths"))
 
     def written(t: Column) -> Column:
         role = F.replace(escaped(t["role"]), F.lit("\n"), F.lit("\\n"))

@@ -21,7 +21,7 @@ HARD = r"\### Assistant: </turn> ok"
 def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     hard = spark.range(1).select(F.explode(F.array(*[F.struct(F.lit(-7).cast("long").alias("conv_id"), F.lit(k).cast("long").alias("turn"), F.lit(r).alias("role"), F.lit(HARD).alias("text")) for k, r in enumerate(("user", "assistant"))])).alias("r")).select("r.*")
-    return chat.digests(chat.formatted(chat.records(rows.unionByName(hard))))
+    return chat.digests(chat.formatted(chat.mixed_records(rows.unionByName(hard))))
 
 
 def op3_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,7 +81,8 @@ WITH every AS (
   UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
   UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
 ), said AS (
-  SELECT conv_id, count(*) AS n_turns,
+  SELECT conv_id, count(*) AS n_turns, ((conv_id % 4) + 4) % 4 AS kind, bool_or(role IN ('human', 'gpt')) AS named,
+    list(role ORDER BY turn, role, text) AS roles,
     string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS turns,
     coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '') AS loss,
     CAST(sum(15 + length(role) + length(text)
@@ -90,7 +91,8 @@ WITH every AS (
       + length(role) - length(replace(role, chr(10), ''))) AS BIGINT) AS formatted_chars
   FROM every GROUP BY conv_id)
 SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256,
-  formatted_chars, 'messages' AS layout FROM said
+  formatted_chars, CASE WHEN kind = 1 AND NOT named THEN 'sharegpt' WHEN kind = 2 AND roles = ['user', 'assistant'] THEN 'instruction' ELSE 'messages' END AS layout
+FROM said
 """
 OP12_SQL = """
 WITH known AS (

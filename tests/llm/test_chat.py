@@ -47,6 +47,10 @@ def test_layouts_by_fingerprint(spark):
         '{"prompt":"q","response":"a"}',
         '{"something":"else"}',
         '{"messages":[]}',
+        '{"id":5,"model":"m","messages":[{"role":"user","content":"q","name":"n"},{"role":"assistant","content":"a"}]}',
+        '{"id":5,"instruction":"q","output":"a","source":"s"}',
+        '{"instruction":"q","output":"a","messages":[{"id":3}]}',
+        '{"messages":[{"role":"user","content":"q","parts":[{"id":1}]}]}',
     ]
     df = spark.createDataFrame(list(enumerate(records)), "conv_id long, j string").select("conv_id", F.parse_json("j").alias("record"))
     got = {r.conv_id: (r.layout, [(t.role, t.text) for t in r.turns]) for r in chat.formatted(df).select("conv_id", "layout", chat.read_turns(F.col("formatted")).alias("turns")).collect()}
@@ -54,6 +58,24 @@ def test_layouts_by_fingerprint(spark):
     assert [got[k] for k in (0, 1, 2, 4, 5)] == [("messages", pair), ("sharegpt", pair), ("instruction", pair), ("prompt", pair), ("prompt", pair)]
     assert got[3] == ("instruction with input", [("system", "s"), *pair])
     assert got[6] == (None, []) and got[7][1] == []
+    assert got[8] == ("messages", pair) and got[9] == ("instruction", pair) and got[10] == got[11] == (None, [])
+
+
+def test_layouts_of_one_corpus_give_the_same_turns(spark):
+    roles = [["user", "assistant"], ["user", "assistant", "user"], ["human", "assistant"], [None, "gpt"], ["assistant", "user"]]
+    rows = [(c, t, r, ["a<b", None, "\\n"][(c + t) % 3]) for c in range(-20, 40) for t, r in enumerate(roles[c % 5])]
+    rows += [(1001, t, "assistant" if t % 2 else "user", f"turn {t} \\ <") for t in range(4000)]  # a long conversation
+    rows += [(None, 0, "user", "no id")]
+    df = spark.createDataFrame(rows, TURNS)
+    for name in ("_key", "_record", "_paths", "rows", "turns", "layout", "loss"):
+        df = df.withColumn(name, F.lit(3))
+    got = chat.digests(chat.formatted(chat.mixed_records(df)))
+    assert rows_of(got.select("conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256")) == expected(rows)
+    layout = {r.conv_id: r.layout for r in got.collect()}
+    for c in range(-20, 40):
+        told = {1: "messages" if c % 5 in (2, 3) else "sharegpt", 2: "instruction" if c % 5 == 0 else "messages"}
+        assert layout[c] == told.get(c % 4, "messages")
+    assert layout[1001] == "sharegpt" and layout[None] == "messages"
 
 
 def test_empty_table_and_query(spark):
