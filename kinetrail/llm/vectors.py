@@ -3,14 +3,17 @@
 Equal vectors are one class. Classes are dealt to ``SHARDS`` shards by hash, and each shard builds
 its graph (Malkov and Yashunin 2016): a class reaches level l with probability 16^-l; its level's
 members are inserted in batches, linked to diverse near ones found by beam search, and
-members that no path reaches are linked from their nearest. Every class then queries every
-shard. A beam that overflows with vectors over the threshold goes on at twice its width, nothing over the threshold
+members that no path reaches are linked from their nearest. A search begins at the best of the lowest level with at
+most ``TOP`` members, all compared, so that a narrow cluster far from all else is entered by its own member. Every class queries
+its own shard and, of any two shards, the classes of one query the other: what is found counts for both sides.
+A beam that overflows with vectors over the threshold goes on at twice its width, nothing over the threshold
 being dropped; a query that has reached the threshold follows only what is within ``LEEWAY`` of it.
 
-Before that, an audit compares the answers with brute force over the shard, to ``AUDIT`` queries of the table (the
+When a graph is built, an audit compares its answers with brute force over the shard, to ``AUDIT`` queries of the table (the
 first classes by hash, a bounded sample) and as many made at the threshold's border from
 the shard's own vectors. The start width doubles until the recall of both reaches TARGET; a shard whose
-graph does not reach it at any width is searched whole. Candidates are verified by cosine in double precision.
+graph does not reach it at a ``WIDEST`` part of its vectors is searched whole, which costs less than wider beams.
+Candidates are verified by cosine in double precision.
 
 A task holds one shard's graph and a block of queries at a time. It returns for each query how many
 rows it links to, and links that connect what is connected: one a query and one a member, not
@@ -43,6 +46,8 @@ SHARD_ROWS = 200_000
 DEGREE = 16
 BUILD_BEAM = 64
 BEAM = 16
+TOP = 4096
+WIDEST = 16
 AUDIT = 256
 LEEWAY = 0.2
 BROADCAST_ROWS = 1_000_000
@@ -168,10 +173,14 @@ def build(x: np.ndarray, draws: np.ndarray) -> dict[str, np.ndarray]:
 
 
 def _descend(x: np.ndarray, layers: list, queries: np.ndarray) -> np.ndarray:
-    entry = np.full((len(queries), 1), layers[0][0][0])
-    for _, links in layers:
+    top = max((k for k, (members, _) in enumerate(layers) if len(members) <= TOP), default=0)
+    members = layers[top][0][:TOP]
+    near = queries @ x[members].T
+    some = min(8, len(members))
+    entry = members[np.argpartition(-near, some - 1, axis=1)[:, :some]]
+    for _, links in layers[top + 1 :]:
         ids, _ = search(x, links, queries, entry, 8)
-        entry = np.maximum(ids, ids[:, :1])
+        entry = np.where(ids < 0, ids[:, :1], ids)
     return entry
 
 
@@ -264,27 +273,33 @@ def _packed(**arrays: np.ndarray) -> bytes:
     return out.getvalue()
 
 
-def _index(rows: pd.DataFrame) -> pd.DataFrame:
-    """One shard's graph, a row for each length of vectors."""
-    rows = rows.sort_values("class")
-    out = []
-    for size, part in rows.groupby(rows["unit"].map(len)):
-        unit = np.frombuffer(b"".join(part["unit"]), np.float64).reshape(len(part), -1)
-        draws = np.array([xxhash.xxh32_intdigest(c) for c in part["class"]]) / 2**32
-        graph = build(unit.astype(np.float32), draws)
-        blob = _packed(unit=unit, rows=part["rows"].to_numpy(), names=part["class"].to_numpy().astype("S32"), **graph)
-        out.append((int(part["shard"].iloc[0]), int(size), blob))
-    return pd.DataFrame(out, columns=["shard", "size", "blob"])
+def _index(threshold: float, sample: list[bytes]):
+    """A shard's graph and the start width its audits set, a row for each length of vectors; a partition is a shard."""
 
+    def index(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = list(batches)
+        rows = pd.concat(held).sort_values("class") if held else pd.DataFrame(columns=["shard", "class", "rows", "unit"])
+        for size, part in rows.groupby(rows["unit"].map(len)):
+            unit = np.frombuffer(b"".join(part["unit"]), np.float64).reshape(len(part), -1)
+            draws = np.array([xxhash.xxh32_intdigest(c) for c in part["class"]]) / 2**32
+            graph = build(unit.astype(np.float32), draws)
+            own = [np.frombuffer(v, np.float64) for v in sample if len(v) == size]
+            beam = _start(_opened(unit, graph), threshold, np.array(own).reshape(len(own), -1))
+            blob = _packed(unit=unit, rows=part["rows"].to_numpy(), names=part["class"].to_numpy().astype("S32"), beam=np.array([beam]), **graph)
+            yield pd.DataFrame({"shard": [int(part["shard"].iloc[0])], "size": [int(size)], "blob": [blob]})
 
-def _answers(threshold: float, sample: list[bytes]):
+    return index
+
+
+def _answers(threshold: float):
     """Answers of shards to blocks of queries; rows come sorted by (shard, slice, kind), a slice's graphs before its queries."""
 
     def members(graphs: dict[int, list]) -> Iterator[pd.DataFrame]:
-        for _, _, _, names, _, root in graphs.values():
+        for _, _, _, names, _, root, counts in graphs.values():
             found = np.array([_find(root, i) for i in range(len(root))])
-            i = np.flatnonzero(found != np.arange(len(root)))
-            yield pd.DataFrame({"class": names[i].astype(str), "linked": names[found[i]].astype(str), "n": 0})
+            i = np.flatnonzero((found != np.arange(len(root))) | (counts > 0))
+            linked = np.where(found[i] == i, None, names[found[i]].astype(str).astype(object))
+            yield pd.DataFrame({"class": names[i].astype(str), "linked": linked, "n": counts[i]})
 
     def answer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         at, held = None, {}
@@ -295,8 +310,9 @@ def _answers(threshold: float, sample: list[bytes]):
                     at, held = (shard, part), {}
                 loaded = np.load(io.BytesIO(blob))
                 if kind == 0:
-                    own = [np.frombuffer(v, np.float64) for v in sample if len(v) == size]
-                    held[size] = _opened(loaded, threshold, np.array(own).reshape(len(own), -1))
+                    unit = loaded["unit"]
+                    n = len(unit)
+                    held[size] = [*_opened(unit, loaded), loaded["names"], (loaded["rows"], int(loaded["beam"][0])), np.arange(n), np.zeros(n, np.int64)]
                 elif size in held:
                     yield _ask(held[size], loaded, threshold)
         yield from members(held)
@@ -315,9 +331,15 @@ def _found(graph: list, queries: np.ndarray, beam: int, floor: float) -> tuple[n
     """Candidates of unit vectors by the graph; by the whole shard if beam is -1."""
     _, x, layers = graph[:3]
     if beam < 0:
-        sims = queries @ x.T
-        order = np.argsort(-sims, axis=1)[:, : max(int((sims >= floor).sum(1).max(initial=0)), 1)]
-        return order, np.take_along_axis(sims, order, 1)
+        near = queries @ x.T
+        r, c = np.nonzero(near >= floor)
+        best = np.lexsort([-near[r, c], r])
+        r, c = r[best], c[best]
+        place = np.arange(len(r)) - np.searchsorted(r, r)
+        ids = np.full((len(queries), int(place.max(initial=0)) + 1), -1)
+        sims = np.full(ids.shape, -np.inf, np.float32)
+        ids[r, place], sims[r, place] = c, near[r, c]
+        return ids, sims
     entry = _descend(x, layers[:-1], queries) if layers[:-1] else np.zeros((len(queries), 1), int)
     return search(x, layers[-1][1], queries, entry, beam, floor)
 
@@ -334,7 +356,7 @@ def border(x: np.ndarray, threshold: float, many: int) -> np.ndarray:
 
 
 def audited(graph: list, queries: np.ndarray, threshold: float, beam: int) -> tuple[int, float]:
-    """(start width, recall) at which the graph finds TARGET of what brute force finds; -1 if it does not at any."""
+    """(start width, recall) at which the graph finds TARGET of what brute force finds; -1 if it takes too wide a one."""
     x, n = graph[1], len(graph[1])
     true = [set(np.flatnonzero(row >= threshold).tolist()) for row in queries @ x.T]
     of = sum(map(len, true))
@@ -345,30 +367,34 @@ def audited(graph: list, queries: np.ndarray, threshold: float, beam: int) -> tu
             got += sum(len(t & set(i[s >= threshold].tolist())) for t, i, s in zip(true[k : k + BATCH], ids, sims, strict=True))
         if got >= TARGET * of:
             return beam, got / of if of else 1.0
-        if beam >= n:
-            return -1, 1.0
         beam *= 2
+        if beam > max(n // WIDEST, BEAM):
+            return -1, 1.0
+
+
+def _opened(unit: np.ndarray, graph) -> list:
+    """Unit vectors and layers of a graph, ready for queries."""
+    n, layers = len(unit), []
+    for at in range(int(graph["levels"][0]), -1, -1):
+        links = np.full((n, graph[f"links{at}"].shape[1]), n)
+        links[graph[f"members{at}"]] = graph[f"links{at}"]
+        layers.append((graph[f"members{at}"], links))
+    return [unit, unit.astype(np.float32), layers]
 
 
-def _opened(loaded, threshold: float, sample: np.ndarray) -> list:
-    """Graph ready for queries, its start width set by the audits."""
-    unit, names = loaded["unit"], loaded["names"]
-    x, n = unit.astype(np.float32), len(unit)
-    layers = []
-    for at in range(int(loaded["levels"][0]), -1, -1):
-        links = np.full((n, loaded[f"links{at}"].shape[1]), n)
-        links[loaded[f"members{at}"]] = loaded[f"links{at}"]
-        layers.append((loaded[f"members{at}"], links))
-    graph, beam = [unit, x, layers], BEAM
-    for asked in (sample.astype(np.float32), border(x, threshold, AUDIT)):
+def _start(graph: list, threshold: float, sample: np.ndarray) -> int:
+    """The start width that the audits set."""
+    beam = BEAM
+    for asked in (sample.astype(np.float32), border(graph[1], threshold, AUDIT)):
         if len(asked) and beam > 0:
             beam, _ = audited(graph, asked, threshold, beam)
-    return [*graph, names, (loaded["rows"], beam), np.arange(n)]
+    return beam
 
 
 def _ask(graph: list, queries, threshold: float) -> pd.DataFrame:
-    unit, _, _, names, (rows, beam), root = graph
-    asked, asker = queries["unit"], queries["names"]
+    """Numbers of rows linked to the queries, and one link each; what other shards' queries link to is counted in the graph."""
+    unit, _, _, names, (rows, beam), root, members = graph
+    asked, asker, many, others = queries["unit"], queries["names"], queries["rows"], bool(queries["others"][0])
     counts, linked = np.zeros(len(asked), np.int64), [None] * len(asked)
     for k in range(0, len(asked), BATCH):
         part = asked[k : k + BATCH]
@@ -378,6 +404,8 @@ def _ask(graph: list, queries, threshold: float) -> pd.DataFrame:
             near = near[(unit[near] @ part[r] >= threshold) & (names[near] != asker[k + r])]
             if len(near):
                 counts[k + r] = rows[near].sum()
+                if others:
+                    members[near] += many[k + r]
                 linked[k + r] = names[near[0]].decode()
                 tops = {_find(root, i) for i in np.unique(root[near]).tolist()}
                 root[list(tops)] = min(tops)
@@ -392,26 +420,31 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, shards: in
     many = -(-classes.count() // shard_rows)
     shards, slices = max(shards, many), max(slices, many)
     sharded = classes.withColumn("shard", F.pmod(F.xxhash64("class"), F.lit(shards)).cast("int"))
-    graphs = written(sharded.select("shard", "class", "rows", "unit").groupBy("shard").applyInPandas(_index, "shard int, size int, blob binary"))
+    # For the audits: a sample of AUDIT vectors comes to the driver.
+    sample = [bytes(r["unit"]) for r in classes.orderBy("class").limit(AUDIT).select("unit").collect()]
+    graphs = written(sharded.select("shard", "class", "rows", "unit").repartitionById(shards, "shard").mapInPandas(_index(threshold, sample), "shard int, size int, blob binary"))
 
     def blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for size, part in batch.groupby(batch["unit"].map(len)):
+            for (shard, size), part in batch.groupby([batch["shard"], batch["unit"].map(len)]):
                 for k in range(0, len(part), BLOCK):
                     some = part.iloc[k : k + BLOCK]
                     unit = np.frombuffer(b"".join(some["unit"]), np.float64).reshape(len(some), -1)
-                    blob = _packed(unit=unit, names=some["class"].to_numpy().astype("S32"))
-                    yield pd.DataFrame({"size": [int(size)], "blob": [blob]})
-
-    every = F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))
-    asked = classes.select("class", "unit").mapInPandas(blocks, "size int, blob binary").withColumn("slice", F.pmod(F.xxhash64("blob"), F.lit(slices)).cast("int"))
-    asked = asked.select(F.lit(1).alias("kind"), every.alias("shard"), "slice", "size", "blob")
+                    data = {"unit": unit, "names": some["class"].to_numpy().astype("S32"), "rows": some["rows"].to_numpy()}
+                    blobs = [_packed(**data, others=np.array([others])) for others in (0, 1)]
+                    yield pd.DataFrame({"own": [int(shard)], "size": [int(size)], "mine": blobs[:1], "others": blobs[1:]})
+
+    # Of two shards one asks the other, each about half of the others.
+    ahead = lambda k: F.pmod(k - F.col("own"), F.lit(shards))
+    turn = lambda k: (2 * ahead(k) < shards) | ((2 * ahead(k) == shards) & (F.col("own") < k))
+    every = F.explode(F.filter(F.sequence(F.lit(0), F.lit(shards - 1)), turn))
+    asked = sharded.select("shard", "class", "rows", "unit").sortWithinPartitions("shard").mapInPandas(blocks, "own int, size int, mine binary, others binary")
+    asked = asked.withColumn("slice", F.pmod(F.xxhash64("mine"), F.lit(slices)).cast("int")).select("*", every.alias("shard"))
+    asked = asked.select(F.lit(1).alias("kind"), "shard", "slice", "size", F.when(F.col("shard") == F.col("own"), F.col("mine")).otherwise(F.col("others")).alias("blob"))
     copies = graphs.select(F.lit(0).alias("kind"), "shard", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("slice"), "size", "blob")
-    # For the audits: a sample of AUDIT vectors comes to the driver.
-    sample = [bytes(r["unit"]) for r in classes.orderBy("class").limit(AUDIT).select("unit").collect()]
     tasks = max(int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")), shards * slices // 8)
     met = copies.unionByName(asked).repartitionByRange(tasks, "shard", "slice").sortWithinPartitions("shard", "slice", "kind")
-    found = written(met.mapInPandas(_answers(threshold, sample), "class string, linked string, n long"))
+    found = written(met.mapInPandas(_answers(threshold), "class string, linked string, n long"))
     linked = components(found.where("linked is not null").select(F.col("class").alias("a"), F.col("linked").alias("b")))
     counts = found.groupBy(F.col("class").alias("_class")).agg(F.sum("n").alias("n"))
     met = classes.select("class", "rows", "least").join(counts, F.col("class") == F.col("_class"), "left").join(linked, F.col("class") == F.col("node"), "left")

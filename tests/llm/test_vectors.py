@@ -59,3 +59,37 @@ def test_query_table_recall(spark):
 
 def test_empty_table(spark):
     assert vectors.near_duplicates(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_a_graph_that_misses_is_searched_whole_before_beams_grow_wide(monkeypatch):
+    x = np.random.default_rng(4).standard_normal((2000, 16))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    graph = vectors.build(x.astype(np.float32), np.random.default_rng(5).random(len(x)))
+    graph["links0"][:] = len(x)  # no path leads on
+    layers = []
+    for at in range(int(graph["levels"][0]), -1, -1):
+        links = np.full((len(x), graph[f"links{at}"].shape[1]), len(x))
+        links[graph[f"members{at}"]] = graph[f"links{at}"]
+        layers.append((graph[f"members{at}"], links))
+    widths, found = [], vectors._found
+    monkeypatch.setattr(vectors, "_found", lambda g, q, beam, floor: widths.append(beam) or found(g, q, beam, floor))
+    asked = x[:300].astype(np.float32)
+    assert vectors.audited([x, x.astype(np.float32), layers], asked, 0.9, vectors.BEAM)[0] == -1
+    assert max(widths) <= len(x) // 16
+    ids, sims = found([x, x.astype(np.float32), layers], asked, -1, 0.9)
+    assert [set(i[s >= 0.9]) for i, s in zip(ids, sims)] == [set(np.flatnonzero(row >= 0.9)) for row in asked @ x.astype(np.float32).T]
+
+
+def test_a_far_narrow_cluster_is_entered_by_its_own_member():
+    rng = np.random.default_rng(6)
+    x = np.vstack([rng.standard_normal((1500, 64)), rng.standard_normal(64) + 0.02 * rng.standard_normal((200, 64))])
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    x = x[rng.permutation(len(x))]
+    graph = vectors._opened(x.astype(np.float64), vectors.build(x, rng.random(len(x))))
+    assert vectors.audited(graph, x, 0.9, vectors.BEAM) == (vectors.BEAM, 1.0)
+
+
+def test_many_shards_count_each_link_for_both_sides(spark):
+    rows = planted(7, 300)
+    few, many = ({(r.vec_id, r.n_links, r.component_id) for r in vectors.near_duplicates(spark.createDataFrame([(i, v, 0) for i, v in rows], SCHEMA), shards=k).collect()} for k in (1, 9))
+    assert few == many and any(n for _, n, _ in few)
