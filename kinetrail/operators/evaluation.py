@@ -5,8 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -81,14 +79,12 @@ def area_ap(predictions: DataFrame, truths: DataFrame, areas: dict[str, tuple[fl
     Truths outside a range are ignored there: they do not count, and predictions that claim them are neither true nor false. A class without a
     truth in a range has no row.
     """
-    every = F.explode(F.array(*map(F.lit, areas))).alias(name)
-    sized = truths.withColumn("_area", area)
-    bound = lambda k: reduce(lambda done, a: done.when(F.col(name) == a, F.lit(float(areas[a][k]))), areas, F)
-    ranged = sized.select("*", every)
-    ignored = (F.col("_area") < bound(0)) | (F.col("_area") > bound(1))
-    if "ignore" in truths.columns:
-        ignored = ignored | F.col("ignore")
-    return part_ap(predictions.select("*", every), ranged.withColumn("ignore", F.coalesce(ignored, F.lit(True))).drop("_area"), name, thresholds, iou, mode)
+    names, ignored = list(areas), []
+    for low, high in areas.values():
+        out = (area < float(low)) | (area > float(high))
+        ignored.append(F.coalesce(out | F.col("ignore") if "ignore" in truths.columns else out, F.lit(True)))
+    found = metrics.ranges_ap(predictions, truths, thresholds, iou, ignored, mode)
+    return found.select(F.element_at(F.array(*map(F.lit, names)), F.col("range") + 1).alias(name), *[c for c in found.columns if c != "range"])
 
 
 def by_class(results: DataFrame, columns: list[str]) -> DataFrame:

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kinetrail.tables import positions
+from kinetrail.tables import positions, stored
 
 
 def success_rates(results: DataFrame, task: str, success: str) -> DataFrame:
@@ -39,6 +44,43 @@ def clamped_sizes(prefix: str, axes: tuple[str, ...] = ("x", "y", "z"), face: fl
     return {f"{prefix}_s{x}": F.when(tiny, F.greatest(s, F.lit(least))).otherwise(s) for x, s in zip(axes, size, strict=True)}
 
 
+def aims(predictions: DataFrame, truths: DataFrame, least: float, iou: Column) -> DataFrame:
+    """``predictions`` with ``_iou`` and ``_gt`` of the best box of its image and class, null where none overlaps by more than ``least``.
+
+    The best overlap first, then the least id of the boxes that have it: aggregates of one number each, so that pairs stream through
+    a join and are never sorted or stored.
+    """
+    boxes = truths.withColumnsRenamed({"image": "_image", "label": "_label"})
+    same = (F.col("image") == F.col("_image")) & (F.col("label") == F.col("_label"))
+    columns = predictions.columns
+    best = predictions.join(boxes, same & (iou > least), "left").groupBy(*columns).agg(F.max(F.when(F.col("gt_id").isNotNull(), iou)).alias("_iou"))
+    return best.join(boxes, same & (iou == F.col("_iou")), "left").groupBy(*columns, "_iou").agg(F.min("gt_id").alias("_gt"))
+
+
+def _counted(combos: int):
+    """Running counts within a range partition sorted by class: (_part, _class, _combo, hits, misses) of each hit, and with ``last`` those of the whole."""
+    columns = [f"{n}{k}" for k in range(combos) for n in ("_tp", "_fp")]
+
+    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        part, sums = TaskContext.get().partitionId(), {}
+        for batch in batches:
+            if not len(batch):
+                continue
+            of, flags = batch["_class"].to_numpy(), batch[columns].to_numpy(np.int64)
+            starts = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
+            for a, b in zip(starts, [*starts[1:], len(of)], strict=True):
+                run = flags[a:b].cumsum(0) + sums.get(of[a], 0)
+                sums[of[a]] = run[-1]
+                for k in range(combos):
+                    hit = np.flatnonzero(flags[a:b, 2 * k])
+                    if len(hit):
+                        yield pd.DataFrame({"_part": part, "_class": of[a], "_combo": k, "hits": run[hit, 2 * k], "misses": run[hit, 2 * k + 1], "last": False})
+        if sums:
+            yield pd.DataFrame([(part, c, k, run[2 * k], run[2 * k + 1], True) for c, run in sums.items() for k in range(combos)], columns=["_part", "_class", "_combo", "hits", "misses", "last"])
+
+    return counted
+
+
 def detection_ap(predictions: DataFrame, truths: DataFrame, thresholds: list[float], iou: Column, mode: str = "area") -> DataFrame:
     """(label, threshold, n_truths, ap, recall): average precision of each class with truths.
 
@@ -47,40 +89,70 @@ def detection_ap(predictions: DataFrame, truths: DataFrame, thresholds: list[flo
     above a threshold the first by score claims a box, later ones are false, as are those
     below; claims on ignored boxes count as neither. Equal scores go by image and id.
     """
-    truths = truths if "ignore" in truths.columns else truths.withColumn("ignore", F.lit(False))
-    met = predictions.join(truths.withColumnsRenamed({"image": "_image", "label": "_label"}), (F.col("image") == F.col("_image")) & (F.col("label") == F.col("_label")), "left").withColumn("_iou", F.when(F.col("gt_id").isNotNull(), iou))
-    aim = met.groupBy("image", "label", "pred_id", "score").agg(F.max(F.struct("_iou", (-F.col("gt_id")).alias("_gt"), "ignore")).alias("b"))
-    aim = aim.withColumn("threshold", F.explode(F.array(*map(F.lit, thresholds)))).withColumn("_hit", F.coalesce(F.col("b._iou") > F.col("threshold"), F.lit(False)))
-    order = [F.col("score").desc(), "image", "pred_id"]
-    claim = Window.partitionBy("threshold", "label", "image", "_hit", F.col("b._gt")).orderBy(*order)
-    ignored = F.col("_hit") & F.coalesce(F.col("b.ignore"), F.lit(False))
-    judged = aim.withColumn("_first", F.row_number().over(claim)).withColumn("tp", (F.col("_hit") & (F.col("_first") == 1) & ~ignored).cast("long")).withColumn("fp", (~ignored & ~(F.col("_hit") & (F.col("_first") == 1))).cast("long"))
-    keys = ["threshold", "label"]
-    # Running counts by range partition, so that a class with most of the rows is many tasks.
-    counted = judged.where("tp + fp = 1").select(*keys, "image", "pred_id", "tp", (-F.col("score")).alias("_down"))
-    ranked = positions(counted, [*keys, "_down", "image", "pred_id"], "_pos", "tp", "_tp0")
-    begins = ranked.groupBy(*keys).agg(F.min("_pos").alias("_p0"), F.min("_tp0").alias("_t0"))
-    total = truths.where(~F.col("ignore")).groupBy(F.col("label").alias("_label")).agg(F.count("*").alias("n_truths"))
+    ignore = F.coalesce("ignore", F.lit(False)) if "ignore" in truths.columns else F.lit(False)
+    return ranges_ap(predictions, truths, thresholds, iou, [ignore], mode).drop("range")
+
+
+def ranges_ap(predictions: DataFrame, truths: DataFrame, thresholds: list[float], iou: Column, ignored: list[Column], mode: str = "area") -> DataFrame:
+    """(label, range, threshold, n_truths, ap, recall): as ``detection_ap``, for each of the conditions ``ignored`` over truths (range, from 0).
+
+    All ranges and thresholds share the pairs, the claims and one order of the predictions, a row for each prediction.
+    """
+    ranges = range(len(ignored))
+    out = [f"_out{a}" for a in ranges]
+    truths = truths.withColumns(dict(zip(out, ignored, strict=True)))
+    flags = truths.select(F.col("image").alias("_image"), F.col("label").alias("_label"), F.col("gt_id").alias("_id"), *out)
+    aim = aims(predictions, truths.drop("ignore", *out), min(thresholds), iou).select("image", "label", "pred_id", "score", "_iou", "_gt")
+    aim = aim.join(flags, (F.col("image") == F.col("_image")) & (F.col("label") == F.col("_label")) & (F.col("_gt") == F.col("_id")), "left")
+    claim = Window.partitionBy("image", "label", "_gt").orderBy(F.col("score").desc(), "pred_id").rowsBetween(Window.unboundedPreceding, 0)
+    combos = [(t, a) for t in thresholds for a in ranges]
+    hit = {t: F.coalesce(F.col("_iou") > t, F.lit(False)) for t in thresholds}
+    first = {t: F.col(f"_first{k}") for k, t in enumerate(thresholds)}
+    judged = aim.withColumns({f"_first{k}": hit[t] & (F.sum(hit[t].cast("long")).over(claim) == 1) for k, t in enumerate(thresholds)})
+    outcomes = []
+    for k, (t, a) in enumerate(combos):
+        left = hit[t] & F.coalesce(F.col(out[a]), F.lit(False))
+        outcomes += [(first[t] & ~left).alias(f"_tp{k}"), (~first[t] & ~left).alias(f"_fp{k}")]
+    counts = [F.count_if(~F.col(o)).alias(f"_boxes{a}") for a, o in enumerate(out)]
+    total = stored(positions(truths.groupBy("label").agg(*counts), ["label"], "_class"))
+    own = judged.join(total.select(F.col("label").alias("_of"), "_class"), F.col("label") == F.col("_of"))
+    order = ["_class", "_down", "image", "pred_id"]
+    ranked = own.select("_class", (-F.col("score")).alias("_down"), "image", "pred_id", *outcomes).repartitionByRange(*order).sortWithinPartitions(*order)
+    names = [c for c in ranked.columns if c == "_class" or c.startswith(("_tp", "_fp"))]
+    pieces = stored(ranked.select(*names).mapInPandas(_counted(len(combos)), "_part int, _class long, _combo int, hits long, misses long, last boolean"))
+    # Each piece of a class begins where the earlier ones end; a row for each partition, class and combination.
+    keys = ["_class", "_combo"]
+    earlier = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    begins = pieces.where("last").select("_part", *keys, *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"_{c}0") for c in ("hits", "misses")])
+    n = F.element_at(F.array(*[F.col(f"_boxes{a}") for a in ranges]), (F.col("_combo") % len(ranges) + 1).cast("int"))
+    sizes = total.select("label", "_class", F.explode(F.array(*[F.lit(k) for k in range(len(combos))])).alias("_combo"), *[f"_boxes{a}" for a in ranges]).select("label", *keys, n.alias("n_truths")).where("n_truths > 0")
     # Between true positives precision falls, so that these are all the curve's points that count.
-    hits = ranked.where("tp = 1").join(begins, keys).join(total, F.col("label") == F.col("_label"))
-    c = F.col("_tp0") - F.col("_t0") + 1
-    curve = hits.select(*keys, F.col("_pos").alias("_k"), (c / F.col("n_truths")).alias("r"), (c / (F.col("_pos") - F.col("_p0") + 1)).alias("p"))
+    met = pieces.where("not last").join(F.broadcast(begins), ["_part", *keys]).join(sizes.drop("label"), keys)
+    c, m = F.col("hits") + F.col("_hits0"), F.col("misses") + F.col("_misses0")
+    curve = met.select(*keys, "_part", c.alias("_k"), ((c - 1) / F.col("n_truths")).alias("_r0"), (c / F.col("n_truths")).alias("r"), (c / (c + m)).alias("p"))
     found = average_precision(curve, keys, mode)
-    every = judged.select(*keys).distinct().join(total, F.col("label") == F.col("_label")).drop("_label")
-    zero = [F.coalesce(n, F.lit(0.0)).alias(n) for n in ("ap", "recall")]
-    return every.join(found, keys, "left").select("label", "threshold", "n_truths", *zero)
+    every = begins.select(*keys).distinct().join(sizes, keys)
+    t = F.element_at(F.array(*[F.lit(t) for t, _ in combos]), F.col("_combo") + 1)
+    zero = [F.coalesce(v, F.lit(0.0)).alias(v) for v in ("ap", "recall")]
+    return every.join(found, keys, "left").select("label", (F.col("_combo") % len(ranges)).alias("range"), t.alias("threshold"), "n_truths", *zero)
 
 
 def average_precision(curve: DataFrame, keys: list[str], mode: str = "area") -> DataFrame:
-    """(keys, ap, recall) of curves (keys, _k, r, p): ``area`` under the falling envelope of precision, or mean at ``11points`` of recall."""
+    """(keys, ap, recall) of curves (keys, _part, _k, _r0, r, p): ``area`` under the falling envelope of precision, or mean at ``11points`` of recall.
+
+    Curves come in pieces that follow each other by ``_part``; _r0 is the recall before a point. A task holds pieces, not curves.
+    """
     if mode == "11points":
         points = [F.coalesce(F.max(F.when(F.col("r") >= t / 10, F.col("p"))), F.lit(0.0)) for t in range(11)]
         return curve.groupBy(*keys).agg((sum(points[1:], points[0]) / 11).alias("ap"), F.max("r").alias("recall"))
-    of = Window.partitionBy(*keys).orderBy("_k")
+    piece = [*keys, "_part"]
+    later = Window.partitionBy(*keys).orderBy(F.col("_part").desc()).rowsBetween(Window.unboundedPreceding, -1)  # a row for each piece
+    tops = curve.groupBy(*piece).agg(F.max("p").alias("_top")).select(*piece, F.max("_top").over(later).alias("_later"))
     # From the far end, so that the maximum runs along; a frame open to the end would be computed anew for each row.
-    ahead = Window.partitionBy(*keys).orderBy(F.col("_k").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    steps = curve.withColumn("_env", F.max("p").over(ahead)).withColumn("_step", F.col("r") - F.coalesce(F.lag("r").over(of), F.lit(0.0)))
-    return steps.groupBy(*keys).agg(F.sum(F.col("_env") * F.col("_step")).alias("ap"), F.max("r").alias("recall"))
+    ahead = Window.partitionBy(*piece).orderBy(F.col("_k").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    steps = curve.withColumn("_env", F.max("p").over(ahead)).join(F.broadcast(tops), piece)
+    each = F.greatest("_env", "_later") * (F.col("r") - F.col("_r0"))
+    return steps.groupBy(*keys).agg(F.sum(each).alias("ap"), F.max("r").alias("recall"))
 
 
 def grasp_accuracy(grasps: DataFrame, by: list[str], frictions: list[float], top: int = 20) -> DataFrame:

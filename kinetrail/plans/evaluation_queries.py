@@ -47,7 +47,7 @@ def _boxes(spark, sf_dir, *more):
     from kinetrail.tables import positions
 
     order = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax"]
-    rows = positions(read(spark, sf_dir, "lineitem"), order, "id")
+    rows = positions(read(spark, sf_dir, "lineitem").select(*order, "l_returnflag", *more), order, "id")
     boxes = rows.select(F.col("l_suppkey").alias("image"), F.col("l_returnflag").alias("label"), (F.col("id") + 1).alias("id"), (F.col("l_partkey") % 400 / 10.0).alias("x"), (F.col("l_linenumber") % 3 + 4.0).alias("s"), F.col("l_extendedprice").alias("score"), "l_partkey", *more)
     truth = F.col("l_partkey") % 4 == 0
     p = boxes.where(~truth).select("image", "label", F.col("id").alias("pred_id"), "score", F.col("x").alias("p_x"), F.col("s").alias("p_sx"), *more)
