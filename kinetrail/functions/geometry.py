@@ -35,17 +35,25 @@ def inverse_rigid(m: Column) -> Column:
     return let(m, cells)
 
 
+def _turned(q: list[Column], s: Column) -> list[Column]:
+    w, x, y, z = q
+    return [
+        1 - s * (y * y + z * z), s * (x * y - w * z), s * (x * z + w * y),
+        s * (x * y + w * z), 1 - s * (x * x + z * z), s * (y * z - w * x),
+        s * (x * z - w * y), s * (y * z + w * x), 1 - s * (x * x + y * y),
+    ]
+
+
+def _scale(q: list[Column]) -> Column:
+    return 2 / _sum([c * c for c in q])
+
+
 def quaternion_matrix(q: Column) -> Column:
     """3x3 rotation of a quaternion, which need not be of unit length."""
 
     def cells(q: Column) -> Column:
-        w, x, y, z = (F.get(q, F.lit(i)) for i in range(4))
-        s = 2 / (w * w + x * x + y * y + z * z)
-        return F.array(
-            1 - s * (y * y + z * z), s * (x * y - w * z), s * (x * z + w * y),
-            s * (x * y + w * z), 1 - s * (x * x + z * z), s * (y * z - w * x),
-            s * (x * z - w * y), s * (y * z + w * x), 1 - s * (x * x + y * y),
-        )
+        parts = [F.get(q, F.lit(i)) for i in range(4)]
+        return let(_scale(parts), lambda s: F.array(*_turned(parts, s)))
 
     return let(q, cells)
 
@@ -60,6 +68,12 @@ def pose_matrix(xyz: Column, q: Column) -> Column:
     return let(quaternion_matrix(q), cells)
 
 
+def pose_of(xyz: list[Column], q: list[Column]) -> Column:
+    """As ``pose_matrix``, of columns or fields: nothing is bound, so that the cells are compiled with their common parts computed once."""
+    r = _turned(q, _scale(q))
+    return F.array(*[x for i in range(3) for x in (*r[3 * i : 3 * i + 3], xyz[i])], *map(F.lit, (0.0, 0.0, 0.0, 1.0)))
+
+
 def euler_matrix(angles: list[Column], order: str = "ZXY") -> Column:
     """3x3 rotation by angles about the axes in turn, each about the moved axes."""
     out = None

@@ -164,8 +164,8 @@ def joint_messages(rows: DataFrame, topic: str, keys: list[str]) -> DataFrame:
 def poses_of(messages: DataFrame, topic: str, keys: list[str]) -> DataFrame:
     """(keys, frame, matrix): a topic's stamped poses as 4 x 4."""
     m = F.col("message")
-    place, turn = F.array(*[m["position"][a] for a in "xyz"]), F.array(*[m["orientation"][a] for a in "wxyz"])
-    return decoded(messages, topic, POSE).select(*keys, m["frame_id"].alias("frame"), geometry.pose_matrix(place, turn).alias("matrix"))
+    place, turn = [m["position"][a] for a in "xyz"], [m["orientation"][a] for a in "wxyz"]
+    return decoded(messages, topic, POSE).select(*keys, m["frame_id"].alias("frame"), geometry.pose_of(place, turn).alias("matrix"))
 
 
 def pose_messages(rows: DataFrame, topic: str, keys: list[str]) -> DataFrame:
@@ -179,8 +179,7 @@ def pose_messages(rows: DataFrame, topic: str, keys: list[str]) -> DataFrame:
 def transforms_of(messages: DataFrame, topic: str, keys: list[str]) -> DataFrame:
     """(keys, parent, child, matrix): a row for each transform in the messages of a topic, as 4 x 4."""
     each = decoded(messages, topic, TRANSFORMS).select(*keys, F.explode("message.transforms").alias("t"))
-    place = F.array(*[F.col(f"t.translation.{a}") for a in "xyz"])
-    matrix = geometry.pose_matrix(place, F.array(*[F.col(f"t.rotation.{a}") for a in "wxyz"]))
+    matrix = geometry.pose_of([F.col(f"t.translation.{a}") for a in "xyz"], [F.col(f"t.rotation.{a}") for a in "wxyz"])
     return each.select(*keys, F.col("t.parent_frame_id").alias("parent"), F.col("t.child_frame_id").alias("child"), matrix.alias("matrix"))
 
 
@@ -189,7 +188,7 @@ def transform_messages(rows: DataFrame, topic: str, keys: list[str]) -> DataFram
     place = F.struct(*[F.get("translation", F.lit(k)).alias(a) for k, a in enumerate("xyz")])
     turn = F.struct(*[F.get("rotation", F.lit("wxyz".index(a))).alias(a) for a in "xyzw"])
     one = F.struct(F.col("parent").alias("parent_frame_id"), F.col("child").alias("child_frame_id"), place.alias("translation"), turn.alias("rotation"))
-    made = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(one)).alias("transforms"))
+    made = rows.groupBy(*keys).agg(F.sort_array(F.collect_list(one)).alias("transforms"))
     return made.select(*keys, F.lit(topic).alias("topic"), F.encode(F.to_json(F.struct("transforms")), "UTF-8").alias("data"))
 
 

@@ -111,3 +111,14 @@ def test_suppression_like_one_by_one(spark):
     got = scenes.suppressed(df, ["scene"], "g", "score", 0.12, 30, "r")
     assert sorted(r.g for r in got.collect()) == sorted(k[1] for k in kept) and len(kept) < 200
     assert scenes.suppressed(df.limit(0), ["scene"], "g", "score", 0.12, 30, "r").count() == 0
+
+
+def test_transforms_are_compiled_and_equal_the_bound_form(spark):
+    rows = [(k, "base", f"c{k % 3}", [1.0 * k, 2.0, -3.0], [0.5 + k, -0.25 * k, 1.0, 2.0]) for k in range(20)] + [(20, "base", "c", None, [1.0, 0.0, 0.0, 1.0])]
+    df = spark.createDataFrame(rows, "id long, parent string, child string, translation array<double>, rotation array<double>")
+    got = imports.transforms_of(imports.transform_messages(df, "/tf", ["id"]), "/tf", ["id"])
+    assert "lambda" not in got._jdf.queryExecution().optimizedPlan().toString()
+    bound = {r.id: r.m for r in df.select("id", geometry.pose_matrix(F.col("translation"), F.col("rotation")).alias("m")).collect()}
+    matrices = {r.id: r.matrix for r in got.collect()}
+    assert len(matrices) == 21 and all(matrices[k] == bound[k] for k in range(20))
+    assert matrices[20][3] is None and matrices[20][0] == bound[20][0]
